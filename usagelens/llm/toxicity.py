@@ -2,7 +2,7 @@
 
 Learning: tokens (runs of letters and digits, lower case) are hashed into BUCKETS buckets, so the
 model has a fixed size. Counts over all documents give the Dirichlet prior of each bucket,
-counts over a sample of labelled documents its log-odds between toxic and clean text; buckets
+document counts over a sample of labelled ones its log-odds between toxic and clean text; buckets
 whose log-odds is within Z standard deviations of none score nothing. Every token's score is
 lowered by DRIFT, so scores fall in ordinary text.
 
@@ -166,9 +166,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[Model, np.ndarray, float]
                     sums[4] += np.bincount(np.concatenate(all_found), minlength=BUCKETS)
                 for kind, found in zip(piece.column(0).to_pylist(), all_found, strict=True):
                     if kind is not None:
-                        sums[kind] += np.bincount(found, minlength=BUCKETS) if len(found) > 4096 else 0
-                        if len(found) <= 4096:
-                            np.add.at(sums[kind], found, 1)
+                        sums[kind][np.unique(found)] += 1  # documents, so that repetition in one doesn't count
         there = np.flatnonzero(sums[4])
         yield pa.RecordBatch.from_arrays(
             [pa.array(there.astype(np.int32)), *[pa.array(sums[i][there]) for i in range(5)]], ["b", "k0", "k1", "k2", "k3", "k4"]
