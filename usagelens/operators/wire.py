@@ -1,0 +1,68 @@
+"""Wire doctor: how the prefix chain changed between consecutive gateway requests."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from usagelens.operators.cache import LEAST_EXPECTED, LEAST_SHORTFALL, READ_SHARE, expiry, with_boundary
+
+EQUAL_CONTENT = ["append", "identical", "marker_rotation"]
+
+
+def transitions(rows: DataFrame, boundaries: DataFrame) -> DataFrame:
+    """rows: request_id, session_id, model, ts_us, usage and chain (comma-joined)."""
+    rows = with_boundary(rows, boundaries).withColumn("c", F.split("chain", ","))
+    stream = Window.partitionBy("session_id", "model").orderBy("ts_us", "request_id")
+    prev = lambda c: F.lag(c).over(stream)
+    rows = rows.select(
+        "*", prev("c").alias("p"), prev("ts_us").alias("prev_us"), prev("write_5m").alias("prev_5m"), prev("write_1h").alias("prev_1h"),
+        prev(F.col("input_tokens") + F.col("cache_read") + F.col("cache_write")).alias("expected"),
+    ).where(F.col("p").isNotNull())
+    differ = F.array_position(F.zip_with("p", "c", lambda a, b: a.eqNullSafe(b)), F.lit(False))
+    was, now, common = F.size("p"), F.size("c"), F.col("common")
+    rows = rows.withColumn("common", F.when(differ == 0, F.least(was, now)).otherwise(differ - 1).cast("int"))
+    kind = (
+        F.when(F.col("boundary_us") > F.col("prev_us"), "compaction")
+        .when((common == was) & (common == now), "identical")
+        .when(common == was, "append")
+        .when(common == now, "truncated")
+        .when((common == was - 1) & (was >= 4), "marker_rotation")
+        .when(common == 0, "tools_changed")
+        .when(common == 1, "system_changed")
+        .otherwise("history_edit")
+    )
+    rows = rows.withColumn("class", kind).withColumn("gap_us", F.expr("(ts_us - prev_us) div 1000000 * 1000000"))
+    scored = F.col("expected") >= LEAST_EXPECTED
+    lost = F.greatest(F.lit(0), F.col("expected") - F.col("cache_read"))
+    event = scored & (lost >= LEAST_SHORTFALL) & (F.col("cache_read") < READ_SHARE * F.col("expected"))
+    cause = (
+        F.when(F.col("class") == "compaction", "compaction")
+        .when(expiry(F.col("gap_us")), "ttl_expiry")
+        .when(F.col("class").isin(EQUAL_CONTENT), "unexplained_miss")
+        .otherwise(F.col("class"))
+    )
+    return rows.select(
+        "request_id", "session_id", "model", "ts_us", "common",
+        F.when(F.col("class") == "history_edit", common - 2).alias("edit_index"),
+        F.when(event, cause).otherwise(F.col("class")).alias("class"), event.alias("is_event"),
+        F.when(scored, F.col("expected")).otherwise(0).cast("long").alias("expected"), F.when(scored, lost).otherwise(0).cast("long").alias("shortfall"),
+    )
+
+
+def by_class(found: DataFrame) -> DataFrame:
+    return found.groupBy("class").agg(
+        F.count("*").alias("transitions"), F.sum(F.col("is_event").cast("long")).alias("events"),
+        F.sum(F.when(F.col("is_event"), F.col("shortfall")).otherwise(0)).alias("shortfall"),
+    )
+
+
+def summary(rows: DataFrame, found: DataFrame) -> DataFrame:
+    streams = rows.groupBy("session_id", "model").count().where("count >= 2").agg(F.count("*").alias("streams"))
+    totals = found.agg(F.count("*").alias("transitions"), F.sum(F.col("is_event").cast("long")).alias("events"))
+    return streams.withColumn("_k", F.lit(1)).join(totals.withColumn("_k", F.lit(1)), "_k").drop("_k")
+
+
+def worst_sessions(found: DataFrame, limit: int = 10) -> DataFrame:
+    rows = found.where("is_event").groupBy("session_id").agg(F.count("*").alias("events"), F.sum("shortfall").alias("shortfall"))
+    return rows.orderBy(F.desc("shortfall"), "session_id").limit(limit)
