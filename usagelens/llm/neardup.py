@@ -5,14 +5,14 @@
    and one key per band. Documents with equal sets are one class from here on, so any number of
    exact copies is one row.
 2. Classes that share a band key are candidates. A bucket of up to SMALL classes gives its
-   pairs; a larger one links each class to the bucket's first one (in a hashed order common to
-   all bands, so a large group meets the same few). Pairs whose similarity, estimated by counting
+   pairs; a larger one links each class to the bucket's class that shares large buckets most, so
+   one near the middle of its group. Pairs whose similarity, estimated by counting
    equal packed minima and corrected for chance collisions, is too far below the threshold
    (about six standard deviations) are dropped; the rest is confirmed exactly on the whole sets.
 3. Components come from alternating star contractions.
 4. In larger buckets that are not one component by then, every class outside the bucket's
-   largest component meets all others of the bucket by packed signature, in blocks; what passes
-   is confirmed too. So no pair that shares a band is lost, however large its bucket.
+   largest component meets all others of the bucket in blocks, by packed signature and then
+   whole set, until it has a link to each component that it can have one to. So no pair that shares a band is lost, however large its bucket.
 
 A pair at the threshold of 0.8 shares no band in 3 of a million cases, more similar ones fewer.
 
@@ -39,7 +39,7 @@ from usagelens.llm.common import materialize
 BANDS, ROWS, BITS = 42, 6, 4
 PERMS = BANDS * ROWS
 SMALL = 8
-BLOCK = 1024
+BLOCK = 256
 THRESHOLD = 80  # percent
 WORD_CACHE = 300_000
 _M = (1 << 64) - 1
@@ -176,11 +176,9 @@ def likely(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs whose whole sets meet the threshold."""
-    pairs = materialize(pairs, "likely")
-    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    needed = classes.join(needed, "node", "left_semi").select(F.col("first").alias("_id"), "node")
+def sets_of(nodes: DataFrame, docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+    """The whole shingle sets (node, data) of these classes, from the text of each one's first document."""
+    needed = classes.join(nodes.distinct(), "node", "left_semi").select(F.col("first").alias("_id"), "node")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,19 +191,27 @@ def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int,
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(data, pa.binary())], ["node", "data"])
 
     texts = docs.select(F.col("doc_id").alias("_d"), "text").join(needed, F.col("_d").eqNullSafe(F.col("_id")))
-    found = texts.select("node", "text").mapInArrow(sets, "node binary, data binary")
-    found = materialize(found, "sets").dropDuplicates(["node"])
+    return materialize(texts.select("node", "text").mapInArrow(sets, "node binary, data binary"), "sets").dropDuplicates(["node"])
+
+
+def linked(left: bytes, right: bytes, percent: int) -> bool:
+    p, q = np.frombuffer(left, dtype=np.uint64), np.frombuffer(right, dtype=np.uint64)
+    if len(p) > len(q):
+        p, q = q, p
+    if 100 * len(p) < percent * len(q):
+        return False
+    same = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
+    return 100 * same >= percent * (len(p) + len(q) - same)
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs whose whole sets meet the threshold."""
+    pairs = materialize(pairs, "likely")
+    found = sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), docs, classes, words)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                p, q = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                if len(p) > len(q):
-                    p, q = q, p
-                at = np.searchsorted(q, p)
-                same = int((q[np.minimum(at, len(q) - 1)] == p).sum())
-                good.append(100 * same >= percent * (len(p) + len(q) - same))
+            good = [linked(x, y, percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     left = found.select(F.col("node").alias("a"), F.col("data").alias("da"))
@@ -234,23 +240,32 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs of small buckets and links to the first of large ones; the rows of large buckets."""
-    rows = classes.select(F.explode("keys").alias("key"), "node")
-    first = F.min(F.struct(F.xxhash64("node").alias("h"), "node"))
-    stats = rows.groupBy("key").agg(F.count("*").alias("n"), first.alias("f")).where("n > 1")
-    rows = rows.join(stats.select("key", "n", F.col("f.node").alias("top")), "key")
-    rows = materialize(rows, "buckets")
-    star = rows.where("n = 2 or n > %d" % SMALL).where("node <> top").select("node", "top")
-    lists = rows.where("n > 2 and n <= %d" % SMALL).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("s"))
+    """Pairs of small buckets and links to the centre of large ones; the rows of large buckets."""
+    rows = classes.select(F.posexplode("keys").alias("band", "key"), "node")
+    stats = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    rows = materialize(rows.join(stats, "key"), "buckets")
+    lists = rows.where("n <= %d" % SMALL).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("s"))
     lists = lists.select("s", F.posexplode("s").alias("i", "a"))
     small = lists.select("a", F.explode(F.slice("s", F.col("i") + 2, SMALL)).alias("b"))
+    large = rows.where("n > %d" % SMALL).select("key", "band", "node", "n")
+    # the class that shares large buckets most is near the middle of its group
+    weight = large.groupBy("node").agg(F.sum("n").alias("w"))
+    tops = large.join(weight, "node").groupBy("key").agg(F.max(F.struct("w", F.xxhash64("node").alias("h"), "node")).alias("t"))
+    star = large.join(tops.select("key", F.col("t.node").alias("top")), "key").where("node <> top")
     pairs = star.select(F.least("node", "top").alias("a"), F.greatest("node", "top").alias("b")).union(small).distinct()
-    return pairs, rows.where("n > %d" % SMALL).select("key", "node")
+    return pairs, large.drop("n")
 
 
-def leftover(large: DataFrame, labels: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
-    """Likely pairs within large buckets that are more than one component, in blocks."""
-    rows = large.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+def leftover(
+    large: DataFrame, labels: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int
+) -> DataFrame:
+    """Links within large buckets that are more than one component, in blocks.
+
+    A class outside the bucket's largest component meets all others of the bucket: first the
+    packed signatures, then, nearest first, the whole sets, until one link to each other
+    component is found. A pair is looked at in the first band it shares only.
+    """
+    rows = large.join(labels, "node", "left").select("key", "band", "node", F.coalesce("label", "node").alias("label"))
     counts = rows.groupBy("key", "label").agg(F.count("*").alias("c"))
     per_key = counts.groupBy("key").agg(
         F.count("*").alias("k"), F.sum("c").alias("n"), F.max(F.struct("c", "label")).alias("most")
@@ -259,28 +274,36 @@ def leftover(large: DataFrame, labels: DataFrame, sigs: DataFrame, least: float)
         "key", F.col("most.label").alias("main"), F.ceil(F.col("n") / BLOCK).alias("all_blocks"),
         F.ceil((F.col("n") - F.col("most.c")) / BLOCK).alias("odd_blocks"),
     )
-    rows = rows.join(split, "key").join(sigs, "node")
+    rows = materialize(rows.join(split, "key"), "odd")
+    held = classes.select("node", "sig", "keys").join(sets_of(rows.select("node"), docs, classes, words), "node")
+    rows = rows.join(held, "node")
     block = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    keys, rest = ["key", "i", "j"], ["band", "node", "label", "sig", "keys", "data"]
     odd = rows.where("label <> main").select(
-        "key", block("odd_blocks").alias("i"), F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("j"), "node", "label", "sig"
+        "key", block("odd_blocks").alias("i"), F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("j"), *rest
     )
     every = rows.select(
-        "key", F.explode(F.sequence(F.lit(0), F.col("odd_blocks") - 1)).alias("i"), block("all_blocks").alias("j"), "node", "label", "sig"
+        "key", F.explode(F.sequence(F.lit(0), F.col("odd_blocks") - 1)).alias("i"), block("all_blocks").alias("j"), *rest
     )
+    least = least_estimate(percent)
 
     def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        out_a, out_b = [], []
+        out = []
         if len(x) and len(y):
-            ys = np.frombuffer(b"".join(y["sig"]), dtype=np.uint8).reshape(len(y), -1)
-            for node, label, sig in zip(x["node"], x["label"], x["sig"], strict=True):
-                near = estimated(np.frombuffer(sig, dtype=np.uint8), ys) >= least
-                for k in np.flatnonzero(near):
-                    if y["label"].iat[k] != label:
-                        out_a.append(min(node, y["node"].iat[k]))
-                        out_b.append(max(node, y["node"].iat[k]))
-        return pd.DataFrame({"a": out_a, "b": out_b}, columns=["a", "b"], dtype=object)
-
-    keys = ["key", "i", "j"]
+            sigs, bands = np.stack([np.frombuffer(s, dtype=np.uint8) for s in y["sig"]]), np.stack(y["keys"].to_numpy())
+            labels, nodes, data = y["label"].to_numpy(), y["node"].to_numpy(), y["data"].to_numpy()
+            band = int(x["band"].iat[0])
+            for one in x.itertuples():
+                near = estimated(np.frombuffer(one.sig, dtype=np.uint8), sigs)
+                fit = (near >= least) & ~(bands[:, :band] == np.asarray(one.keys)[:band]).any(axis=1)
+                at = np.flatnonzero(fit)
+                met = {one.label}
+                for k in at[np.argsort(-near[at], kind="stable")]:
+                    if labels[k] not in met and linked(one.data, data[k], percent):
+                        met.add(labels[k])
+                        out.append((min(one.node, nodes[k]), max(one.node, nodes[k])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype=object)
+
     # new columns, to tell the sides apart, and keys of one type, as cogroup hashes them as they are
     one = lambda df: df.select(*[(F.col(c).cast("long") if c in keys else F.col(c)).alias(c) for c in df.columns])
     odd, every = one(odd), one(every)
@@ -303,10 +326,9 @@ def groups(docs: DataFrame, words: int = 5, percent: int = THRESHOLD) -> DataFra
     links = confirmed(likely(pairs, sigs, least), docs, classes, words, percent)
     labels = components(links)
     if large.take(1):
-        more = materialize(leftover(large, labels, sigs, least), "leftover")
+        more = materialize(leftover(large, labels, docs, classes, words, percent), "leftover")
         if more.take(1):
-            links = links.unionByName(confirmed(more, docs, classes, words, percent))
-            labels = components(links)
+            labels = components(links.unionByName(more))
     named = classes.join(labels, "node", "left").select("node", "first", "class_size", "label")
     least_id = named.where("label is not null").groupBy("label").agg(F.min("first").alias("least"))
     named = named.join(least_id, "label", "left").select("node", F.coalesce("least", "first").alias("component"), "class_size")
