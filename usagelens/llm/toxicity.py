@@ -1,7 +1,8 @@
 """Toxicity by maximum-scoring segments over token log-odds.
 
 Learning: tokens (runs of letters and digits, lower case) are hashed into BUCKETS buckets, so the
-model has a fixed size. Counts over all documents give the Dirichlet prior of each bucket,
+model has a fixed size. Counts over all documents give the Dirichlet prior of each bucket (plus
+EACH, so that rare ones have some),
 document counts over a sample of labelled ones its log-odds between toxic and clean text; buckets
 whose log-odds is within Z standard deviations of none score nothing. Every token's score is
 lowered by DRIFT, so scores fall in ordinary text.
@@ -35,8 +36,8 @@ from pyspark.sql import functions as F
 
 BUCKETS = 1 << 18
 SAMPLE = 20_000
-PRIOR = 20_000.0
-Z, DRIFT = 2.5, 0.05
+PRIOR, EACH = 2_000.0, 0.5
+Z, DRIFT = 2.0, 0.05
 EXPECT = 0.05
 HELD_OUT = 2
 CUT = 0.3
@@ -91,8 +92,8 @@ class Model:
         total = back.sum()
         if not (total and toxic.sum() and clean.sum()):
             return
-        prior = PRIOR * (back + 1e-9) / total
-        odds = lambda y: np.log((y + prior) / (y.sum() + PRIOR - y - prior))
+        prior = PRIOR * back / total + EACH
+        odds = lambda y: np.log((y + prior) / (y.sum() + prior.sum() - y - prior))
         delta = odds(toxic) - odds(clean)
         z = delta / np.sqrt(1 / (toxic + prior) + 1 / (clean + prior))
         self.scores = np.where((np.abs(z) >= Z) & (toxic + clean > 1), delta, 0.0) - DRIFT
