@@ -8,7 +8,7 @@ next shorter one. Each position is given up at most once, so the work is linear,
 is exactly that of merging by rank. Decoding gathers byte ranges by a table of token offsets.
 
 Spark deals the documents; tasks encode Arrow batches. Words and pieces recur, so a task keeps the
-ids of about the last CACHE of them (a full table is put aside and read until the next is full);
+ids of about the last CACHE pieces and WORDS words (a full table is put aside and read until the next is full);
 results don't depend on it. The
 vocabulary (1.5 MB, fixed by the tokenizer file) is broadcast.
 
@@ -30,7 +30,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-CACHE = 250_000
+CACHE, WORDS = 250_000, 400_000
 TOKENIZER = "byte_bpe_50k.json"
 #: Fixed value: the byte-level cutting pattern of this kind of tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -125,9 +125,6 @@ class Bpe:
             longest[end - back] = token  # of matches with one start, longer ones end later
         sizes, follows = self.sizes, self.follows
         last, token = -1, longest[0]
-        at = sizes[token]
-        if at == n:
-            return [token]
         out: list[int] = []
         shut = None  # positions given up
         at = 0
@@ -151,24 +148,30 @@ class Bpe:
         return out
 
     def known(self, piece: str) -> bytes:
-        found = self.cache.get(piece)
-        if found is None:
+        found = self.cache.get(piece) or self.words.get(piece) or self.old_words.get(piece)
+        if not found:
             if len(self.cache) >= CACHE:
                 self.cache, self.old_cache = {}, self.cache
-            if len(self.follows) >= 2 * CACHE:
-                self.follows = dict(self.none_before)
             found = self.old_cache.get(piece)
             if found is None:
-                found = array("i", self.piece(piece.encode().decode("latin-1"))).tobytes()
+                found = self.fresh(piece)
             self.cache[piece] = found
         return found
 
+    def fresh(self, piece: str) -> bytes:
+        if len(self.follows) >= 2 * CACHE:
+            self.follows = dict(self.none_before)
+        return array("i", self.piece(piece.encode().decode("latin-1"))).tobytes()
+
     def word(self, word: str) -> bytes:
         """Ids of a word with the space before it, or of a line end: these are cut alike wherever they stand."""
         found = self.old_words.get(word)
         if found is None:
-            get = self.known
-            found = b"".join([get(p) for p in self.cut.findall(word)])
+            if word.isascii() and word[word.startswith(" ") :].isalpha():  # one piece, kept among the words only
+                found = self.cache.get(word) or self.fresh(word)
+            else:
+                get = self.known
+                found = b"".join([get(p) for p in self.cut.findall(word)])
         self.words[word] = found
         return found
 
@@ -180,7 +183,7 @@ class Bpe:
         if "\x00" in text or " ".join(text.split()) != text.replace("\n", " "):
             get = self.known  # other white space than single spaces and line ends, or some at an end
             return b"".join([get(p) for p in self.cut.findall(text)])
-        if len(self.words) >= CACHE:
+        if len(self.words) >= WORDS:
             self.words, self.old_words = {}, self.words
         get, word = self.words.get, self.word
         return b"".join([get(w) or word(w) for w in text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")])
