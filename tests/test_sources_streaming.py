@@ -1,0 +1,74 @@
+"""Telemetry, gateway log and streams on small inputs."""
+
+import json
+
+from usagelens.sources import files, gateway, otel
+from usagelens.streaming import telemetry
+
+
+def attrs(**kv):
+    return [{"key": k.replace("__", "."), "value": v} for k, v in kv.items()]
+
+
+def metric(start, ts, value, name="token.usage"):
+    point = {"attributes": attrs(type={"stringValue": "input"}), "startTimeUnixNano": str(start), "timeUnixNano": ts, "asInt": str(value)}
+    metrics = [{"name": name, "sum": {"dataPoints": [point]}}, {"name": "h", "histogram": {"dataPoints": [{"count": "1"}]}}]
+    return json.dumps({"resourceMetrics": [{"resource": {"attributes": attrs(session__id={"stringValue": "s"})}, "scopeMetrics": [{"metrics": metrics}]}]})
+
+
+def log(name, ts, **kv):
+    record = {"timeUnixNano": str(ts), "body": {"stringValue": name}, "attributes": attrs(**kv)}
+    return json.dumps({"resourceLogs": [{"resource": {}, "scopeLogs": [{"logRecords": [record]}]}]})
+
+
+def frame(spark, lines):
+    return spark.createDataFrame([(x,) for x in lines], "value string")
+
+
+def test_metrics(spark):
+    ms = 1_000_000
+    df = frame(spark, [metric(100 * ms, 200 * ms, 10), metric(100 * ms, 300 * ms, 25), metric(100 * ms, 250 * ms, 12), metric(200 * ms, 300 * ms, 7), "no json", None])
+    rows = telemetry.latest_series(df).orderBy("value").collect()
+    assert [(r["value"], r["type"]) for r in rows] == [(7.0, "input"), (25.0, "input")]
+    assert otel.skipped(df).first()[0] == 4
+    assert otel.datapoints(df).select("session_id", "attrs").distinct().collect() == [("s", "{}")]
+
+
+def test_events(spark):
+    line = log("app.api_request", 5_000_000_000, duration_ms={"stringValue": "961"}, request_id={"stringValue": "r"}, input_tokens={"doubleValue": 3.7}, z={"intValue": 1}, b={"boolValue": True})
+    r = otel.events(frame(spark, [line]), "app.").first()
+    assert (r["event"], r["ts_us"], r["duration_ms"], r["input_tokens"], r["request_id"], r["attrs"]) == ("api_request", 5_000_000, 961, 3, "r", '{"b":"true","z":"1"}')
+    bare = json.dumps({"resourceLogs": [{"scopeLogs": [{"logRecords": [{"attributes": []}]}]}]})
+    assert otel.events(frame(spark, [bare]), "app.").first()["event"] == "(unknown)"
+
+
+def test_gateway(spark):
+    df = spark.createDataFrame([(1, "a,b"), (2, ""), (3, None)], "id long, prefix_hash_chain string")
+    got = gateway.pull(df, "root", 1)
+    assert [(r["key"], r["chain_len"], r["session_id"]) for r in got.orderBy("pg_id").collect()] == [("root#2", 0, ""), ("root#3", 0, "")]
+    assert gateway.cursors(got).collect() == [("root", 3)]
+
+
+def test_changed_files(spark, tmp_path):
+    for name in "ab":
+        (tmp_path / f"{name}.jsonl").write_text("{}\n")
+    before = spark.createDataFrame(files.states(spark, str(tmp_path)).collect(), "path string, size long, mtime_us long")
+    (tmp_path / "b.jsonl").write_text("{}\n{}\n")
+    assert [r["path"][-7:] for r in files.changed(files.states(spark, str(tmp_path)), before).collect()] == ["b.jsonl"]
+
+
+def test_streams(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    one = log("app.api_request", 5_000_000_000, session__id={"stringValue": "s"}, model={"stringValue": "m"}, input_tokens={"intValue": "4"}, output_tokens={"intValue": "2"})
+    (src / "1.txt").write_text(one + "\n" + one + "\n")
+    exports = spark.readStream.text(str(src))
+    live = telemetry.live_events(exports, "app.")
+    made = {"live": (live, "append"), "usage": (telemetry.usage_windows(otel.events(exports, "app.").selectExpr("*", "timestamp_micros(ts_us) AS ts")), "update"),
+            "span": (telemetry.session_spans(otel.events(exports, "app.")), "update"), "idle": (telemetry.idle_islands(otel.events(exports, "app.").selectExpr("*", "timestamp_micros(ts_us) AS ts")), "append")}
+    for name, (df, mode) in made.items():
+        q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        q.awaitTermination(60)
+    assert spark.table("live").count() == 1
+    assert spark.table("usage").select("requests", "input_tokens", "output_tokens").collect() == [(2, 8, 4)]
+    assert spark.table("span").select("session_id", "started_us").collect() == [("s", 5_000_000)]
