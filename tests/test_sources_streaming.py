@@ -28,7 +28,7 @@ def frame(spark, lines):
 def test_metrics(spark):
     ms = 1_000_000
     df = frame(spark, [metric(100 * ms, 200 * ms, 10), metric(100 * ms, 300 * ms, 25), metric(100 * ms, 250 * ms, 12), metric(200 * ms, 300 * ms, 7), "no json", None])
-    rows = telemetry.latest_series(df).orderBy("value").collect()
+    rows = telemetry.latest_series(otel.datapoints(df)).orderBy("value").collect()
     assert [(r["value"], r["type"]) for r in rows] == [(7.0, "input"), (25.0, "input")]
     assert otel.skipped(df).first()[0] == 4
     assert otel.datapoints(df).select("session_id", "attrs").distinct().collect() == [("s", "{}")]

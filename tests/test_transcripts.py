@@ -35,3 +35,6 @@ def test_transcript(spark, tmp_path):
         ("tool_result", "", "", "/p/b", 3, 1, True),
     }
     assert [(r["session_id"], r["cause"], r["pre_tokens"]) for r in t.compactions(parsed).collect()] == [("s", "auto", 9)]
+    used = t.attributed(t.blocks(parsed))
+    assert used.count() == 7
+    assert [(r["tool"], r["mcp_server"], r["file_path"]) for r in used.where("kind = 'tool_result'").collect()] == [("mcp__kb__get", "kb", "/p/b")]

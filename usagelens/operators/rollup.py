@@ -155,3 +155,11 @@ def model_totals(requests: DataFrame, gateway: DataFrame, pairs: DataFrame) -> D
     )
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return seen.join(loose, "model", "full").select("model", *map(zero, ["requests", "output_tokens", "unpaired", "unpaired_output"]))
+
+
+def telemetry_events(rows: DataFrame) -> DataFrame:
+    """Telemetry events by name: how many, of how many sessions, tokens, cost and span."""
+    return rows.groupBy("event").agg(
+        F.count("*").alias("events"), F.countDistinct("session_id").alias("sessions"), F.sum("input_tokens").alias("input_tokens"),
+        F.sum("cost_usd").alias("cost_usd"), F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"),
+    )

@@ -144,6 +144,43 @@ def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def attribute(key: str, kind: str, value: Column) -> Column:
+    kinds = ("stringValue", "intValue", "doubleValue")  # in JSON those without a value are left out
+    return F.struct(F.lit(key).alias("key"), F.struct(*[(value if k == kind else F.lit(None)).cast("string").alias(k) for k in kinds]).alias("value"))
+
+
+def otel_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event as an export request with one record and one datapoint."""
+    col = F.col
+    nanos = (F.unix_micros(col("ts").cast("timestamp")) * 1000).cast("string")
+    attrs = F.array(
+        attribute("session.id", "stringValue", col("user_id")), attribute("input_tokens", "intValue", col("event_id") % 97),
+        attribute("cost_usd", "doubleValue", (col("event_id") % 8) / 8), attribute("type", "stringValue", col("event_type")),
+    )
+    record = F.struct(nanos.alias("timeUnixNano"), F.struct(F.concat(F.lit("app."), "event_type").alias("stringValue")).alias("body"), attrs.alias("attributes"))
+    point = F.struct(
+        F.array(attribute("session.id", "stringValue", col("user_id")), attribute("type", "stringValue", col("event_type"))).alias("attributes"),
+        F.lit("1000000").alias("startTimeUnixNano"), nanos.alias("timeUnixNano"), (col("event_id") % 97).cast("string").alias("asInt"),
+    )
+    metric = F.struct(F.lit("token.usage").alias("name"), F.struct(F.array(point).alias("dataPoints")).alias("sum"))
+    request = F.struct(
+        F.array(F.struct(F.array(F.struct(F.array(record).alias("logRecords"))).alias("scopeLogs"))).alias("resourceLogs"),
+        F.array(F.struct(F.array(F.struct(F.array(metric).alias("metrics"))).alias("scopeMetrics"))).alias("resourceMetrics"),
+    )
+    return table(spark, sf_dir, "events").select(F.to_json(request).alias("value"))
+
+
+def transcript_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn of a conversation as a transcript line."""
+    role = F.col("role")
+    line = F.struct(
+        F.when(role == "assistant", role).otherwise("user").alias("type"), (role == "system").alias("isMeta"),
+        F.struct(F.col("text").alias("content")).alias("message"),
+    )
+    file = F.concat(F.lit("/p/"), F.col("conv_id").cast("string"), F.lit(".jsonl"))
+    return table(spark, sf_dir, "conversations").select(file.alias("file"), F.col("turn").alias("line"), F.to_json(line).alias("value"))
+
+
 VIEWS = f"""WITH v_request AS (SELECT event_id AS request_id, user_id AS session_id,
   CAST({EPOCH_US} + floor((epoch_us(ts) - {EPOCH_US}) / {SQUEEZE}.0) AS BIGINT) AS ts_us,
   CASE WHEN event_type IN ('click','view','purchase') THEN 'opus' WHEN event_type = 'signup' THEN 'haiku' ELSE 'local' END AS model,

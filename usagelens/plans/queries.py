@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from usagelens.operators import cache, merge, pairing, residency, rollup, search, session, trials, wire
 from usagelens.plans import adapters as a
 from usagelens.plans.adapters import VIEWS
+from usagelens.sources import otel, transcripts
+from usagelens.streaming import telemetry
 
 SINCE = a.EPOCH_US + 3 * 3600 * 1000000
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +31,8 @@ class Tables:
     sessions = property(lambda self: self.of(a.sessions))
     gateway = property(lambda self: self.of(a.gateway))
     trials = property(lambda self: self.of(a.trials))
+    exports = property(lambda self: self.of(a.otel_exports))
+    lines = property(lambda self: self.of(a.transcript_lines))
 
     @property
     def transitions(self) -> DataFrame:
@@ -337,3 +341,21 @@ register(
     "trial_latest", lambda t: merge.last_wins(t.trials.select("run_id", "arm", (F.col("trial_id") % 10).alias("trial_idx"), "trial_id", "status"), ["run_id", "arm", "trial_idx"], ["trial_id"]),
     "SELECT run_id, arm, trial_id % 10 AS trial_idx, max(trial_id) AS trial_id, arg_max(status, trial_id) AS status FROM v_trial GROUP BY 1, 2, 3",
 )
+register(
+    "otel_events", lambda t: rollup.telemetry_events(otel.events(t.exports, "app.")),
+    """SELECT event_type AS event, count(*) AS events, count(DISTINCT user_id) AS sessions, sum(event_id % 97)::BIGINT AS input_tokens, sum(event_id % 8)::DOUBLE / 8 AS cost_usd,
+    min(epoch_us(ts) // 1000 * 1000)::BIGINT AS first_us, max(epoch_us(ts) // 1000 * 1000)::BIGINT AS last_us FROM events GROUP BY 1""",
+)
+register(
+    "otel_tokens", lambda t: telemetry.latest_series(otel.datapoints(t.exports)).groupBy("type").agg(F.count("*").alias("series"), F.sum("value").alias("tokens")),
+    """SELECT event_type AS type, count(*) AS series, sum(event_id % 97)::DOUBLE AS tokens FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY epoch_us(ts) // 1000 DESC, event_id % 97 DESC) AS n FROM events) WHERE n = 1 GROUP BY 1""",
+)
+_SAID = "sum((strlen(text) + 3) // 4)::BIGINT AS est_tokens"
+register(
+    "transcript_blocks", lambda t: transcripts.blocks(transcripts.parse(t.lines)).groupBy("session_id", "kind").agg(F.count("*").alias("blocks"), F.sum("est_tokens").alias("est_tokens")),
+    f"SELECT conv_id::VARCHAR AS session_id, CASE role WHEN 'assistant' THEN 'assistant_text' WHEN 'system' THEN 'meta_text' ELSE 'user_text' END AS kind, count(*) AS blocks, {_SAID} FROM conversations WHERE text <> '' GROUP BY 1, 2",
+)
+register(
+    "ingest_stats", lambda t: transcripts.ingest_stats(t.lines),
+    "SELECT count(DISTINCT conv_id) AS files, count(*) AS lines, 0::BIGINT AS parse_errors FROM conversations",
+)

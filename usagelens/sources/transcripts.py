@@ -6,7 +6,7 @@ that looks like a list stays a text. Lines that are no JSON give no rows; `inges
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _LINE = """type string, uuid string, sessionId string, timestamp string, cwd string, requestId string, subtype string, isMeta boolean,
@@ -51,7 +51,7 @@ def requests(parsed: DataFrame) -> DataFrame:
 
 
 def blocks(parsed: DataFrame) -> DataFrame:
-    """Content parts that hold at least a byte, sized and hashed. Results take their tool from `merge.attribute_results`."""
+    """Content parts that hold at least a byte, sized and hashed (`attributed` gives results their tool)."""
     text = F.struct(F.lit("text").alias("type"), F.col("message.content").alias("text"))
     whole = F.from_json(F.to_json(F.array(text)), _PARTS)
     parts = F.when(F.col("listed"), F.from_json("message.content", _PARTS)).otherwise(whole)
@@ -76,6 +76,18 @@ def blocks(parsed: DataFrame) -> DataFrame:
     )
 
 
+def attributed(rows: DataFrame) -> DataFrame:
+    """Blocks; a result has the tool, server and (if it names none) file of the latest use of its id before it in its file."""
+    before = Window.partitionBy("file", "tool_use_id").orderBy("line", "pos").rowsBetween(Window.unboundedPreceding, -1)
+    use = F.last(F.when(F.col("kind") == "tool_use", F.struct("tool", "mcp_server", "file_path")), ignorenulls=True).over(before)
+    result = (F.col("kind") == "tool_result") & F.col("_u").isNotNull()
+    others = rows.where("kind NOT IN ('tool_use', 'tool_result') OR tool_use_id IS NULL")  # without an id there is nothing to look up
+    took = {c: F.when(result, F.col(f"_u.{c}")).otherwise(F.col(c)) for c in ("tool", "mcp_server")}
+    took["file_path"] = F.when(result & (F.col("file_path") == ""), F.col("_u.file_path")).otherwise(F.col("file_path"))
+    paired = rows.where("kind IN ('tool_use', 'tool_result') AND tool_use_id IS NOT NULL").withColumn("_u", use).withColumns(took).drop("_u")
+    return paired.unionByName(others)
+
+
 def compactions(parsed: DataFrame) -> DataFrame:
     return parsed.where((F.col("type") == "system") & (F.col("subtype") == "compact_boundary")).select(
         "session_id", "ts_us", F.coalesce("compactMetadata.trigger", F.lit("")).alias("cause"), F.col("compactMetadata.preTokens").alias("pre_tokens")

@@ -14,9 +14,9 @@ def live_events(exports: DataFrame, prefix: str, late: str = "1 hour") -> DataFr
     return rows.withWatermark("ts", late).dropDuplicatesWithinWatermark(["key"])
 
 
-def latest_series(exports: DataFrame) -> DataFrame:
+def latest_series(points: DataFrame) -> DataFrame:
     """The latest value of each cumulative series (update mode): an older export that comes late changes nothing."""
-    return otel.datapoints(exports).groupBy("key", "metric", "type", "model").agg(
+    return points.groupBy("key", "metric", "type", "model").agg(
         F.max_by("value", F.struct("ts_us", "value")).alias("value"), F.max("ts_us").alias("ts_us")
     )
 
