@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import defaultdict
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,20 +31,27 @@ def pair(gateway: DataFrame, requests: DataFrame, window_us: int = WINDOW_US) ->
     line = line.withColumn("island", F.sum("_new").over(by)).drop("_new")
 
     def greedy(rows: pd.DataFrame) -> pd.DataFrame:
-        out, free = [], rows[~rows["g"]].sort_values("id")
+        """Gateway rows in order, each against the requests of its usage (or session) in the window only."""
+        free = rows[~rows["g"]].sort_values(["ts_us", "id"])
+        alike, within = defaultdict(list), defaultdict(list)
+        for r in free.itertuples():
+            one = (r.ts_us, r.id, r.session_id, r.input_tokens + r.cache_read)
+            alike[r.input_tokens, r.cache_read, r.cache_write].append(one)
+            within[r.session_id].append(one)
+        out, taken = [], set()
         for x in rows[rows["g"]].sort_values(["ts_us", "id"]).itertuples():
-            near = free[(free["ts_us"] - x.ts_us).abs() <= window_us]
-            if x.session_id:
-                near = near[near["session_id"] == x.session_id]
-            same = near[(near["input_tokens"] == x.input_tokens) & (near["cache_read"] == x.cache_read) & (near["cache_write"] == x.cache_write)]
-            if not len(same) and x.api_class == "chat" and x.session_id:
-                went_in = near["input_tokens"] + near["cache_read"]
-                same = near[went_in.isin([x.input_tokens, x.input_tokens + x.cache_read])]
-            if len(same):
-                skew = (same["ts_us"] - x.ts_us).abs()
-                best = skew.idxmin()  # ties: the first in id order
-                out.append((x.id, free.at[best, "id"], skew[best]))
-                free = free.drop(best)
+            near = lambda found, x=x: (
+                c for c in found[bisect_left(found, (x.ts_us - window_us,)) : bisect_left(found, (x.ts_us + window_us + 1,))]
+                if c[1] not in taken and (not x.session_id or c[2] == x.session_id)
+            )
+            fit = [(abs(c[0] - x.ts_us), c[1]) for c in near(alike.get((x.input_tokens, x.cache_read, x.cache_write), []))]
+            if not fit and x.api_class == "chat" and x.session_id:
+                sums = (x.input_tokens, x.input_tokens + x.cache_read)
+                fit = [(abs(c[0] - x.ts_us), c[1]) for c in near(within.get(x.session_id, [])) if c[3] in sums]
+            if fit:
+                skew, best = min(fit)
+                taken.add(best)
+                out.append((x.id, best, skew))
         return pd.DataFrame(out, columns=["pg_id", "request_id", "skew_us"])
 
     return line.groupBy("output_tokens", "island").applyInPandas(greedy, "pg_id long, request_id long, skew_us long")

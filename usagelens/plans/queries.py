@@ -267,6 +267,14 @@ register(
 _transcript = lambda t: t.requests.where("request_id % 10 <> 5")
 register("gw_pairing", lambda t: pairing.pair(t.gateway, _transcript(t)), None)
 register("model_totals", lambda t: rollup.model_totals(_transcript(t), t.gateway, pairing.pair(t.gateway, _transcript(t))), None)
+_few = lambda t: t.requests.where("request_id % 40 = 7")  # noqa: E731  short transcripts, so that the gateway adds sessions
+register(
+    "model_sessions", lambda t: rollup.model_sessions(_few(t), t.gateway, _few(t).select(F.col("request_id").alias("pg_id"), "request_id"), t.sessions, "opus"),
+    """, S AS (SELECT session_id, input_tokens, output_tokens, ts_us, 'transcript' AS via FROM v_request WHERE model = 'opus' AND request_id % 40 = 7),
+    G AS (SELECT owner AS session_id, input_tokens, output_tokens, ts_us, 'router' AS via FROM v_gw WHERE model = 'opus' AND (session_id <> '' OR pg_id % 40 = 7) AND owner NOT IN (SELECT session_id FROM S)),
+    B AS (SELECT session_id, count(*) AS requests, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens, max(ts_us) AS last_us, via FROM (SELECT * FROM S UNION ALL SELECT * FROM G) GROUP BY session_id, via)
+    SELECT B.*, title, project FROM B JOIN v_session s ON s.session_id = B.session_id ORDER BY last_us DESC, B.session_id::VARCHAR LIMIT 100""",
+)
 register(
     "gw_pairing_scope", lambda t: pairing.in_scope(t.gateway, t.requests, t.gateway.where("pg_id % 2 = 1").select("pg_id"), 5000, 4000).select("pg_id", "ts_us"),
     "SELECT pg_id, ts_us FROM v_gw, (SELECT min(ts_us) - 1800000000 AS lo, max(ts_us) + 1800000000 AS hi FROM v_request WHERE request_id > 4000) WHERE pg_id % 2 <> 1 AND (pg_id > 5000 OR ts_us BETWEEN lo AND hi)",
@@ -359,3 +367,7 @@ register(
     "ingest_stats", lambda t: transcripts.ingest_stats(t.lines),
     "SELECT count(DISTINCT conv_id) AS files, count(*) AS lines, 0::BIGINT AS parse_errors FROM conversations",
 )
+register(
+    "input_values", lambda t: t.lines.select("file", "line", F.array_join(transcripts.string_values("value"), "\n").alias("said")),
+    "SELECT '/p/' || conv_id || '.jsonl' AS file, turn AS line, concat_ws(chr(10), CASE role WHEN 'assistant' THEN role ELSE 'user' END, text) AS said FROM conversations",
+)

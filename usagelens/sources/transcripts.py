@@ -6,10 +6,14 @@ that looks like a list stays a text. Lines that are no JSON give no rows; `inges
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import json
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
-_LINE = """type string, uuid string, sessionId string, timestamp string, cwd string, requestId string, subtype string, isMeta boolean,
+_LINE = """type string, uuid string, sessionId string, timestamp string, cwd string, slug string, requestId string, subtype string, isMeta boolean,
  message struct<id:string,model:string,stop_reason:string,content:string,usage:struct<input_tokens:long,output_tokens:long,
  cache_creation_input_tokens:long,cache_read_input_tokens:long,service_tier:string,speed:string,
  cache_creation:struct<ephemeral_5m_input_tokens:long,ephemeral_1h_input_tokens:long>>>,
@@ -94,6 +98,44 @@ def compactions(parsed: DataFrame) -> DataFrame:
     ).dropDuplicates(["session_id", "ts_us"])
 
 
+def sessions(parsed: DataFrame) -> DataFrame:
+    """Each file's session: first folder and slug, last title (a person's before a model's) and agent name, span.
+
+    Versions from several files go on to `merge.merge_sessions`.
+    """
+    some = lambda c: F.when(F.col(c) != "", F.col("line"))
+    said = lambda c, kind: F.max_by(c, F.when(F.col("type") == kind, some(c)))
+    found = parsed.groupBy("file", "session_id").agg(
+        F.min_by("cwd", some("cwd")).alias("cwd"), F.min_by("slug", some("slug")).alias("slug"),
+        F.coalesce(said("customTitle", "custom-title"), said("aiTitle", "ai-title"), F.lit("")).alias("title"),
+        F.coalesce(said("agentName", "agent-name"), F.lit("")).alias("agent"), F.min("ts_us").alias("started_us"), F.max("ts_us").alias("ended_us"),
+    )
+    return found.withColumns({"cwd": F.coalesce("cwd", F.lit("")), "slug": F.coalesce("slug", F.lit(""))}).withColumn("project", F.regexp_extract("cwd", "([^/]*)/*$", 1))
+
+
+def text_values(value) -> list[str]:
+    if isinstance(value, str):
+        return [value]
+    inner = value.values() if isinstance(value, dict) else value if isinstance(value, list) else []
+    return [x for v in inner for x in text_values(v)]
+
+
+def string_values(column: str) -> Column:
+    """All text values in a column of JSON documents however deep, keys aside, in their order; null for what is no JSON."""
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def found(texts: pd.Series) -> pd.Series:
+        def parsed(text):
+            try:
+                return text_values(json.loads(text))
+            except (TypeError, ValueError, RecursionError):
+                return None
+
+        return texts.map(parsed)
+
+    return found(column)
+
+
 def ingest_stats(lines: DataFrame) -> DataFrame:
     """Files, lines and lines that are no JSON (blank ones aside): one row."""
     bad = F.try_parse_json("value").isNull() & (F.trim("value") != "")
