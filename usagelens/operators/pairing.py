@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import defaultdict
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -30,16 +31,18 @@ def pair(gateway: DataFrame, requests: DataFrame, window_us: int = WINDOW_US) ->
     line = g.unionByName(r).withColumn("_new", F.when(gap <= window_us, 0).otherwise(1))
     line = line.withColumn("island", F.sum("_new").over(by)).drop("_new")
 
-    def greedy(rows: pd.DataFrame) -> pd.DataFrame:
-        """Gateway rows in order, each against the requests of its usage (or session) in the window only."""
-        free = rows[~rows["g"]].sort_values(["ts_us", "id"])
+    def greedy(rows: list) -> Iterator[tuple]:
+        """The pairs of one island: gateway rows in order, each against the requests of its usage (or session) in the window."""
         alike, within = defaultdict(list), defaultdict(list)
-        for r in free.itertuples():
-            one = (r.ts_us, r.id, r.session_id, r.input_tokens + r.cache_read)
-            alike[r.input_tokens, r.cache_read, r.cache_write].append(one)
-            within[r.session_id].append(one)
-        out, taken = [], set()
-        for x in rows[rows["g"]].sort_values(["ts_us", "id"]).itertuples():
+        for r in rows:
+            if not r.g:
+                one = (r.ts_us, r.id, r.session_id, r.input_tokens + r.cache_read)
+                alike[r.input_tokens, r.cache_read, r.cache_write].append(one)
+                within[r.session_id].append(one)
+        taken = set()
+        for x in rows:
+            if not x.g or not within:
+                continue
             near = lambda found, x=x: (
                 c for c in found[bisect_left(found, (x.ts_us - window_us,)) : bisect_left(found, (x.ts_us + window_us + 1,))]
                 if c[1] not in taken and (not x.session_id or c[2] == x.session_id)
@@ -51,10 +54,24 @@ def pair(gateway: DataFrame, requests: DataFrame, window_us: int = WINDOW_US) ->
             if fit:
                 skew, best = min(fit)
                 taken.add(best)
-                out.append((x.id, best, skew))
-        return pd.DataFrame(out, columns=["pg_id", "request_id", "skew_us"])
+                yield x.id, best, skew
 
-    return line.groupBy("output_tokens", "island").applyInPandas(greedy, "pg_id long, request_id long, skew_us long")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Islands follow each other in a partition; one may go on in the next batch."""
+        at, held = None, []
+        for batch in batches:
+            out = []
+            for x in batch.itertuples(index=False):
+                if (x.output_tokens, x.island) != at:
+                    out += greedy(held)
+                    at, held = (x.output_tokens, x.island), []
+                held.append(x)
+            yield pd.DataFrame(out, columns=["pg_id", "request_id", "skew_us"])
+        yield pd.DataFrame(list(greedy(held)), columns=["pg_id", "request_id", "skew_us"])
+
+    # the window has dealt the rows by output_tokens and sorted them, so neither a shuffle nor a sort is added
+    ordered = line.sortWithinPartitions("output_tokens", "ts_us", "g", "id")
+    return ordered.mapInPandas(run, "pg_id long, request_id long, skew_us long")
 
 
 def in_scope(gateway: DataFrame, requests: DataFrame, pairs: DataFrame, last_pg_id: int, last_request_id: int) -> DataFrame:
