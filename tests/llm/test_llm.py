@@ -120,6 +120,17 @@ def test_near_duplicates_match_brute_force_in_large_groups(spark):
     assert got == brute_groups(texts, 4, 80)
 
 
+def test_dedup_keeps_one_row_of_each_group_under_null_and_repeated_ids(spark):
+    text = lambda k: " ".join(f"{k}{i}" for i in range(40))
+    rows = [(7, text("a")), (7, text("b")), (7, text("b")), (3, text("c")), (7, text("c")), (None, text("d")), (None, text("e")),
+            (None, text("e")), (None, text("c")), (None, text("a") + " more"), (None, None), (None, ""), (9, ""), (9, "")]
+    df = spark.createDataFrame([(d, t, "src", None) for d, t in rows], "doc_id long, text string, node string, label string")
+    got = Counter((r.doc_id, r.text) for r in neardup.dedup(df).collect())
+    assert got == Counter([(7, text("a")), (7, text("b")), (3, text("c")), (None, text("d")), (None, text("e")), (None, None), (None, ""), (9, ""), (9, "")])
+    nulls = df.where("doc_id is null and text <> ''")
+    assert neardup.dedup(nulls).count() == 4
+
+
 def test_nearest_neighbours_recall_and_ties(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(600, 32)).astype("float32")

@@ -310,8 +310,8 @@ def leftover(
     return odd.groupBy(*keys).cogroup(every.groupBy(*keys)).applyInPandas(meet, "a binary, b binary").distinct()
 
 
-def groups(docs: DataFrame, words: int = 5, percent: int = THRESHOLD) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, class_size for each row of `docs`."""
+def placed(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """`groups` with node and `part`, the group (null, as node, where a row is a group of its own)."""
     prints = materialize(fingerprints(docs, words), "prints")
     classes = (
         prints.where("node is not null")
@@ -331,28 +331,56 @@ def groups(docs: DataFrame, words: int = 5, percent: int = THRESHOLD) -> DataFra
             labels = components(links.unionByName(more))
     named = classes.join(labels, "node", "left").select("node", "first", "class_size", "label")
     least_id = named.where("label is not null").groupBy("label").agg(F.min("first").alias("least"))
-    named = named.join(least_id, "label", "left").select("node", F.coalesce("least", "first").alias("component"), "class_size")
+    named = named.join(least_id, "label", "left").select(
+        "node", F.coalesce("label", "node").alias("part"), F.coalesce("least", "first").alias("component"), "class_size"
+    )
     out = prints.select("doc_id", "n_shingles", "node").join(named, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component"))
     return out.select(
         "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"),
-        F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
+        F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), "node", "part",
     )
 
 
+def groups(docs: DataFrame, words: int = 5, percent: int = THRESHOLD) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, class_size for each row of `docs`."""
+    return placed(docs, words, percent).drop("node", "part")
+
+
 def dedup(docs: DataFrame, words: int = 5, percent: int = THRESHOLD) -> DataFrame:
-    """One document of each group: the one with the least doc_id, in the columns of `docs`."""
-    found = groups(docs, words, percent).select("doc_id", "n_shingles", "kept")
-    found = materialize(found, "groups").where("kept")
-    kept = docs.join(found.select(F.col("doc_id").alias("_k")).distinct(), F.col("doc_id").eqNullSafe(F.col("_k")), "left_semi")
-    # a repeated doc_id within a group: its rows are told apart by number only
-    again = found.where("n_shingles > 0").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_k"))
-    if not again.take(1):
+    """One document of each group: the one with the least doc_id, in the columns of `docs`.
+
+    A doc_id that is null or repeated names no row, so such documents are told apart by their
+    set ids, and one of each group's rows of the same set stays. Rows without shingles all stay.
+    """
+    found = materialize(placed(docs, words, percent).select("doc_id", "kept", "node", "part"), "groups")
+    heads = found.where("kept and node is not null").groupBy("part").agg(F.min(F.struct("node", "doc_id")).alias("h")).select("h.*")
+    heads = materialize(heads.select(F.col("node").alias("_node"), F.col("doc_id").alias("_k")), "heads")
+    ids = heads.select("_k").union(found.where("node is null").select("doc_id")).where("_k is not null").distinct()
+    again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_k"))
+    again = materialize(again, "again")
+    same = F.col("doc_id") == F.col("_k")
+    kept = docs.join(ids, same, "left_semi")
+    repeated = bool(again.take(1))
+    if not repeated and not found.where("doc_id is null").take(1):
         return kept
-    alone = kept.join(again, F.col("doc_id").eqNullSafe(F.col("_k")), "left_anti")
-    double = kept.join(again, F.col("doc_id").eqNullSafe(F.col("_k")), "left_semi")
-    number = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    return alone.unionByName(double.withColumn("_n", number).where("_n = 1").drop("_n"))
+
+    @F.pandas_udf("binary")
+    def node_of(texts: pd.Series) -> pd.Series:
+        sets = (shingles(t, words) for t in texts)
+        return pd.Series([set_id(x) if len(x) else None for x in sets], dtype=object)
+
+    unclear = docs.where("doc_id is null")
+    if repeated:
+        kept = kept.join(again, same, "left_anti")
+        unclear = unclear.unionByName(docs.join(again, same, "left_semi"))
+    unclear = unclear.select(F.struct(*docs.columns).alias("_row"), node_of("text").alias("_of"))
+    # one row of each doc_id and set, before the join, so that no number of copies meets in a task
+    single = unclear.where("_of is not null").groupBy(F.col("_row.doc_id").alias("_id"), "_of")
+    single = single.agg(F.min_by("_row", F.xxhash64("_row.text")).alias("_row"))
+    single = single.join(heads, (F.col("_of") == F.col("_node")) & F.col("_id").eqNullSafe(F.col("_k")), "left_semi")
+    rows = single.select("_row").union(unclear.where("_of is null").select("_row"))
+    return kept.unionByName(rows.select("_row.*"))
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
