@@ -260,6 +260,33 @@ def test_licence_bounds_lose_nothing(spark):
     assert {x for x in got if x[1] == "line"} == want
 
 
+def brute_licences(texts):
+    """(doc_id, line, license) of every line at 0.8 or more, in whole numbers and without bounds."""
+    known = [(name, set(licenses.grams(licenses.normalised(t)))) for name, t in licenses.TEMPLATES]
+    units = [(d, i, set(licenses.grams(licenses.normalised(x)))) for d, t in enumerate(texts) for i, x in enumerate(t.split("\n"))]
+    return {(d, i, name) for d, i, g in units for name, k in known if g and 10 * len(g & k) >= 4 * (len(g) + len(k))}
+
+
+def test_licence_bounds_keep_exact_ties(spark):
+    texts = ["It is released under the MIT License."]
+    for _, template in licenses.TEMPLATES:
+        words = licenses.normalised(template)
+        n = len(licenses.grams(words))
+        if n % 2 == 0:  # half as many more: 2 n / (n + 3 n / 2) is 0.8; a third less likewise
+            texts.append(" ".join(words + [f"more{i}" for i in range(n // 2)]))
+        if n % 3 == 0:
+            texts += [" ".join(words[: 2 * n // 3 + 1]), " ".join(words[n // 3 :])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.unit_no, r.license) for r in licenses.scan(df).where("unit = 'line'").collect()}
+    assert got == brute_licences(texts) and {d for d, _, _ in got} == set(range(len(texts)))
+    known = [licenses.grams(licenses.normalised(t)) for _, t in licenses.TEMPLATES]
+    words = licenses.anchors(known, 0.8)
+    for g in known:  # what no anchor touches is less than 2/3 of a template
+        assert 3 * sum(not set(x.split()) & set(words) for x in g) < 2 * len(g)
+    for g in ([f"a{i} b{i}" for i in range(6)], [f"a{i} b{i}" for i in range(9)]):
+        assert 3 * sum(not set(x.split()) & set(licenses.anchors([g], 0.8)) for x in g) < 2 * len(g)
+
+
 def test_pipeline_keeps_columns_and_round_trips(spark):
     import corpus_pipeline
 

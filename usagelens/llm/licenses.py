@@ -18,6 +18,7 @@ empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import re
+from fractions import Fraction
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -67,12 +68,19 @@ def bigrams(words: Column) -> Column:
     return F.array_distinct(pairs)
 
 
+def whole(threshold: float) -> tuple[int, int]:
+    """The threshold as p of q: bounds in whole numbers keep exact ties."""
+    exact = Fraction(str(threshold))
+    return exact.numerator, exact.denominator
+
+
 def anchors(templates: list[list[str]], threshold: float) -> list[str]:
     """Words of which a unit holds at least one if it reaches the threshold with a template."""
+    p, q = whole(threshold)
     chosen: set[str] = set()
     for known in templates:
         left = list(known)
-        while left and len(known) - len(left) <= len(known) * (1 - threshold / (2 - threshold)):
+        while left and len(left) * (2 * q - p) >= len(known) * p:
             touched = {w: sum(w in g.split() for g in left) for g in left for w in g.split()}
             # long words first: they are rare in other texts
             word = max(touched, key=lambda w: (w in chosen, len(w) >= 5, len(w) * touched[w], w))
@@ -87,13 +95,13 @@ def any_of(text: Column, words: list[str]) -> Column:
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    ratio = (2 - threshold) / threshold
+    p, q = whole(threshold)
     known = [(name, grams(normalised(text))) for name, text in templates]
     sizes = [len(g) for _, g in known]
     literal = F.array(
         *[F.struct(F.lit(k).alias("name"), F.lit(len(g)).alias("n"), F.array(*map(F.lit, g)).alias("g")) for k, g in known]
     )
-    most = int(max(sizes) * ratio)
+    most = max(sizes) * (2 * q - p) // p
     part = lambda kind, texts: F.transform(
         texts, lambda x, i: F.struct(F.lit(kind).alias("unit"), i.cast("long").alias("unit_no"), x.alias("t"))
     )
@@ -113,8 +121,8 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
     ).select("doc_id", "u.*").where(any_of(F.col("u.t"), words))
     d = d.withColumn("w", words_of(F.col("t"))).where((F.size("w") >= 2) & (F.size("w") <= 64 * most))
     d = d.select("doc_id", "unit", "unit_no", bigrams(F.col("w")).alias("b")).withColumn("n", F.size("b"))
-    d = d.where((F.col("n") * ratio >= min(sizes)) & (F.col("n") <= most))
-    fits = F.filter(literal, lambda t: (t["n"] <= F.col("n") * ratio) & (F.col("n") <= t["n"] * ratio))
+    d = d.where((F.col("n") * (2 * q - p) >= p * min(sizes)) & (F.col("n") <= most))
+    fits = F.filter(literal, lambda t: p * (F.col("n") + t["n"]) <= 2 * q * F.least(F.col("n"), t["n"]))
     scored = F.transform(
         fits,
         lambda t: F.struct(
