@@ -287,6 +287,14 @@ def test_licence_bounds_keep_exact_ties(spark):
         assert 3 * sum(not set(x.split()) & set(licenses.anchors([g], 0.8)) for x in g) < 2 * len(g)
 
 
+def test_licences_in_long_units_of_few_bigrams(spark):
+    notice, rule = "Licensed under the MIT License.", "-" * 70
+    texts = ["\n".join([notice] * n) for n in (100, 300, 4000)] + ["\n".join([rule] * 100 + [notice] + [rule] * 100), notice + "\n" * 7000 + "."]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.n_bigrams, round(r.dice, 6)) for r in licenses.scan(df).where("unit = 'document' and license = 'MIT'").collect()}
+    assert got == {(d, 5, round(8 / 9, 6)) for d in (0, 1, 2)} | {(d, 4, 1.0) for d in (3, 4)}
+
+
 def test_pipeline_keeps_columns_and_round_trips(spark):
     import corpus_pipeline
 

@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
+#: Characters of a unit that are looked at before the whole of it.
+HEAD = 2000
 #: Short notices and the opening terms of common licences.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -113,14 +115,19 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
         F.explode(
             F.concat(
                 # a whole text or paragraph of one line is that line
-                F.when((F.size("ls") > 1) & (F.length("text") <= 64 * most), part("document", F.array("text"))).otherwise(F.array()),
+                F.when(F.size("ls") > 1, part("document", F.array("text"))).otherwise(F.array()),
                 F.when(F.size("ps") > 1, F.filter(part("paragraph", F.col("ps")), lambda x: x["t"].contains("\n"))).otherwise(F.array()),
                 part("line", F.col("ls")),
             )
         ).alias("u"),
     ).select("doc_id", "u.*").where(any_of(F.col("u.t"), words))
-    d = d.withColumn("w", words_of(F.col("t"))).where((F.size("w") >= 2) & (F.size("w") <= 64 * most))
-    d = d.select("doc_id", "unit", "unit_no", bigrams(F.col("w")).alias("b")).withColumn("n", F.size("b"))
+    # n bigrams hold n + 1 words at most, however often these are repeated; a long unit's beginning, all but
+    # the word that it may cut, shows most of those that hold more
+    few = lambda words, n: F.size(F.array_distinct(words)) <= n
+    d = d.where(F.when(F.length("t") > HEAD, few(words_of(F.substring("t", 1, HEAD)), most + 2)).otherwise(True))
+    # the transform over a one-element array lets the words be made once
+    made = F.transform(F.array(words_of(F.col("t"))), lambda w: F.when((F.size(w) >= 2) & few(w, most + 1), bigrams(w)))
+    d = d.select("doc_id", "unit", "unit_no", F.explode(made).alias("b")).where("b is not null").withColumn("n", F.size("b"))
     d = d.where((F.col("n") * (2 * q - p) >= p * min(sizes)) & (F.col("n") <= most))
     fits = F.filter(literal, lambda t: p * (F.col("n") + t["n"]) <= 2 * q * F.least(F.col("n"), t["n"]))
     scored = F.transform(
