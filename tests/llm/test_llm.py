@@ -208,6 +208,25 @@ def test_secret_spans(spark):
     assert masked[5] == "日本 [SECRET]'" and masked[4] == texts[4][:0] + masked[4]
 
 
+def test_secrets_glued_to_names_are_found_as_alone(spark):
+    rng = np.random.default_rng(3)
+    keys = ["".join(rng.choice(list(chars), n)) for chars, n in (("0123456789ABCDEF", 32), ("0123456789abcdefABCDEF", 40),
+            ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 40)) for _ in range(60)]
+    glues = ["", "KEY=", "x-", "example/", "my_xxxxxx_", "Zq", "日本 id="]
+    rows = [(i * len(glues) + j, g + k + ("" if j % 2 else "/Example")) for i, k in enumerate(keys) for j, g in enumerate(glues)]
+    df = spark.createDataFrame([*rows, (-1, "KEY=" + "1234567890" * 4), (-2, "see-exampleexampleexample/for_allOfThese")], "doc_id long, text string")
+    found = {}
+    for r in secrets.scan(df).collect():
+        found[r.doc_id] = {at for kind, a, b in (x.split(":") for x in r.spans.split(",") if x) if kind == "entropy" for at in range(int(a), int(b))}
+    seen = 0
+    for i in range(len(keys)):
+        alone = found[i * len(glues)]
+        seen += len(alone) >= 20
+        for j, g in enumerate(glues):
+            assert {at + len(g) for at in alone if at < len(keys[i])} <= found[i * len(glues) + j], (keys[i], g)
+    assert seen >= 0.95 * len(keys) and not found[-1] and not found[-2]
+
+
 def test_bpe_equals_the_library_on_every_plane():
     tokenizers = pytest.importorskip("tokenizers")
     own, lib = bpe.Bpe(open(bpe.tokenizer_path()).read()), tokenizers.Tokenizer.from_file(bpe.tokenizer_path())

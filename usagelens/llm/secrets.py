@@ -6,8 +6,11 @@ alphanumeric, base64), whose window entropy is followed by incremental counts: a
 WINDOW characters slides over the run, the sum of c*log2(c) over its character counts c changes
 only by the character that leaves and the one that enters, and the entropy is
 log2(WINDOW) - sum / WINDOW. Windows at or over the class's threshold are merged into spans of
-kind `entropy`. An allow-list suppresses candidates that are no secrets: UUIDs, digits or
-letters alone, runs of the alphabet or of digits, stated examples. It never touches base spans.
+kind `entropy`. A name glued to a secret does not change its class: the letters and digits of a
+run between its other signs, and hexadecimal digits between other letters, are candidates too.
+An allow-list suppresses candidates that are no secrets: UUIDs, digits or letters alone, and
+runs of the alphabet or of digits and stated examples, of which only windows that touch them are
+passed over and the rest of the run is looked at. It never touches base spans.
 
 Positions are code points, ends exclusive. Defined results: a null text counts as empty and has
 no spans; repeated rows are each scanned; spans of two kinds may overlap; an empty table gives
@@ -29,6 +32,11 @@ BASE = [
     ("hex", r"[0-9a-f]{16,}", 0, 16),
 ]
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+#: Within runs: letters and digits next to another sign, hexadecimal digits next to another letter.
+PARTS = [
+    r"(?<=[+/_=-])[A-Za-z0-9]{20,}+|(?<![A-Za-z0-9+/_=-])[A-Za-z0-9]{20,}+(?=[+/_=-])",
+    r"(?<=[G-Zg-z])[0-9a-fA-F]{20,}+|(?<![A-Za-z0-9])[0-9a-fA-F]{20,}+(?=[G-Zg-z])",
+]
 WINDOW = 20
 #: Bits per character from which a window is suspicious, by class.
 THRESHOLDS = {"hex": 2.9, "alnum": 3.6, "base64": 3.8}
@@ -40,6 +48,8 @@ ALLOWED = [
     r"(?i)example|placeholder|changeme|xxxxxx",
     r"(?i)0123456789|abcdefghij",
 ]
+#: The words of the last two, by which a run is cut.
+STATED = ["example", "placeholder", "changeme", "xxxxxx", "0123456789", "abcdefghij"]
 MASK = "[SECRET]"
 
 
@@ -147,19 +157,47 @@ def suspicious(found: Column) -> Column:
     return F.flatten(F.transform(F.filter(found, lambda x: ~allowed(x)), of))
 
 
+def joined(spans: Column) -> Column:
+    """array<struct<s, e>> in order, those that meet made one."""
+
+    def step(acc: Column, x: Column) -> Column:
+        last = F.get(acc, F.size(acc) - 1)
+        longer = F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"))
+        return F.when(last["e"] >= x["s"], F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(longer))).otherwise(
+            F.concat(acc, F.array(x))
+        )
+
+    return F.aggregate(F.sort_array(spans), F.expr("CAST(array() AS array<struct<s:int,e:int>>)"), step)
+
+
+def without_stated(text: Column) -> Column:
+    """The text with blanks, as many as characters, for each stated word."""
+    cut = reduce(lambda t, w: F.regexp_replace(t, f"(?i){w}", " " * len(w)), STATED, text)
+    return F.when(text.rlike("(?i)" + "|".join(STATED)), cut).otherwise(text)
+
+
 def spans_of(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """doc_id, the counts, base and all spans (arrays of kind, start, end); `keep` as named."""
     at = F.col
     own = [at(c).alias(f"_in_{c}") for c in keep or []]
     d = docs.select("doc_id", *own, F.coalesce("text", F.lit("")).alias("_t"))
     kinds = [*BASE, ("entropy", CANDIDATE, 0, WINDOW)]
+    d = d.withColumn("_c", F.when(at("_t").rlike(CANDIDATE), without_stated(at("_t"))))
+    levels = [(f"run{i}", "_c", pattern, 0) for i, pattern in enumerate([CANDIDATE, *PARTS])]
+    sought = [*[(kind, "_t", pattern, group) for kind, pattern, group, _ in BASE], *levels]
     new = {}
-    for kind, pattern, group, _ in kinds:
-        pieces, matches = located(at("_t"), pattern, group)
-        hit = at("_t").rlike(pattern)
+    for kind, source, pattern, group in sought:
+        pieces, matches = located(at(source), pattern, group)
+        hit = at(source).rlike(pattern)
         new |= {f"_p_{kind}": F.when(hit, pieces), f"_m_{kind}": F.when(hit, matches)}
     d = d.withColumns(new)
-    d = d.withColumns({f"_f_{k}": F.when(at(f"_m_{k}").isNotNull(), placed(at(f"_p_{k}"), at(f"_m_{k}"))) for k, *_ in kinds})
+    d = d.withColumns({f"_f_{k}": F.when(at(f"_m_{k}").isNotNull(), placed(at(f"_p_{k}"), at(f"_m_{k}"))) for k, *_ in sought})
+    no_runs = F.expr("CAST(array() AS array<struct<s:int,e:int,m:string,g:string>>)")
+    runs = F.concat(*[F.coalesce(f"_f_{k}", no_runs) for k, *_ in levels])
+    d = d.withColumn("_f_entropy", F.when(at("_f_run0").isNotNull(), runs))
+    within = reduce(lambda a, b: a | b, [at(f"_f_{k}").isNotNull() for k, *_ in levels[1:]])
+    d = d.withColumn("_hot", F.when(at("_f_entropy").isNotNull(), suspicious(at("_f_entropy"))))
+    d = d.withColumn("_hot", F.when(within, joined(at("_hot"))).otherwise(at("_hot")))
     none = F.expr("CAST(array() AS array<struct<start:int,rank:int,kind:string,end:int>>)")
 
     def spans(found: Column, rank: int, kind: str) -> Column:
@@ -179,8 +217,7 @@ def spans_of(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
             for rank, (kind, _, _, least) in enumerate(BASE)
         }
         | {
-            "_entropy": F.when(at("_f_entropy").isNotNull(), spans(suspicious(at("_f_entropy")), len(BASE), "entropy"))
-            .otherwise(none)
+            "_entropy": spans(at("_hot"), len(BASE), "entropy")
         }
     )
     base = F.sort_array(F.concat(*[at(f"_{k}") for k, *_ in BASE]))
