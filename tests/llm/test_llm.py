@@ -153,6 +153,23 @@ def test_nearest_neighbours_recall_and_ties(spark):
     assert ann.nearest(df.where("vec_id < 0")).count() == 0
 
 
+def test_nearest_neighbours_of_small_and_clustered_tables_and_of_other_norms(spark):
+    rng = np.random.default_rng(2)
+    unit = lambda x: (x / np.linalg.norm(x, axis=1, keepdims=True)).astype("float32")
+    large = unit(rng.normal(size=64) + 0.01 * rng.normal(size=(500, 64)))
+    few = unit(rng.normal(size=64) + 0.01 * rng.normal(size=(5, 64)))  # a small cluster far away
+    norms = (rng.normal(size=(300, 64)) * rng.uniform(0.1, 10, size=(300, 1))).astype("float32")
+    for x in (unit(rng.normal(size=(15, 64))), np.concatenate([few, large]), norms):
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+        got = {}
+        for r in ann.nearest(df).collect():
+            got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+        for q in ([0] if x is not norms else range(0, 300, 20)):
+            s = x.astype(float) @ x[q].astype(float)
+            want = sorted((i for i in range(len(x)) if i != q), key=lambda i: -s[i])[:20]
+            assert [v for _, v in sorted(got[q])] == want
+
+
 def test_pfair_deviation_stays_under_one_block():
     parts = mixing.in_parts({"a": 5, "b": 3, "c": 1, "d": 0.2}, 100)
     slots, size = mixing.period(parts), sum(parts.values())
