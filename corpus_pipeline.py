@@ -33,8 +33,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document and the checksums of the round trip."""
-    return bpe.encode(docs)
+    """Token ids of each document, the checksums of the round trip, and the position in the mix."""
+    return bpe.encode(mixing.positioned(docs, ["doc_id", "text"]), carry=("position",))
 
 
 STAGES = [

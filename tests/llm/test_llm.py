@@ -192,6 +192,23 @@ def test_mix_gives_each_block_its_own_slot(spark):
     assert abs(first["src0"] - 60) <= 1 and abs(first["src1"] - 40) <= 1 and abs(first["src2"] - 20) <= 1
 
 
+def test_mix_reaches_the_result_of_the_pipeline(spark):
+    import corpus_pipeline
+
+    each, block = 1 << 14, mixing.BLOCK_BYTES
+    df = spark.createDataFrame([(i, "abc " * (each // 4), None, f"src{i % 3}", each) for i in range(180)], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES[-2:]:
+        df = corpus_pipeline.materialize(stage(spark, df.repartition(7), None), name)
+    rows = sorted((r.position, r.doc_id) for r in df.collect())
+    assert len({p for p, _ in rows}) == len(rows) == 180
+    done = Counter()
+    for n, (_, d) in enumerate(rows, 1):
+        done[d % 3] += each
+        if max(done.values()) < 60 * each:  # until a source runs out
+            for s, w in mixing.WEIGHTS.items():
+                assert abs(done[int(s[3:])] - n * each * w / sum(mixing.WEIGHTS.values())) <= block
+
+
 def brute_spans(t):
     assign = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
     out = [(m.start(), 0, "assign", m.end()) for m in assign.finditer(t) if len(m[1]) >= 12]

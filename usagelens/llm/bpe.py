@@ -226,8 +226,8 @@ def content_of(spark: SparkSession, path: str | None):
         return spark.sparkContext.broadcast(f.read())
 
 
-def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, the two checksums, and the ids as little-endian 32-bit integers."""
+def encode(docs: DataFrame, path: str | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_tokens, the two checksums, the ids as little-endian 32-bit integers, and the columns `carry`."""
     content = content_of(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,13 +243,14 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
                 back.append(hashlib.sha256(bpe.decode_bytes(ids)).hexdigest())
                 packed.append(data)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(sums, pa.string()), pa.array(back, pa.string()), pa.array(packed, pa.binary())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"],
+                [batch.column(0), pa.array(counts, pa.int64()), pa.array(sums, pa.string()), pa.array(back, pa.string()), pa.array(packed, pa.binary()), *batch.columns[2:]],
+                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", *carry],
             )
 
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary"
+    kinds = dict(docs.dtypes)
+    more = "".join(f", {c} {kinds[c]}" for c in carry)
+    return docs.select("doc_id", "text", *carry).mapInArrow(
+        run, f"doc_id {kinds['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary{more}"
     )
 
 

@@ -153,6 +153,15 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_bytes: i
     return placed.repartitionByRange(F.col("_mix.slot"), F.col("_mix.at")).sortWithinPartitions("_mix.slot", "_mix.at").select(*docs.columns)
 
 
+def positioned(docs: DataFrame, carry: list[str], weights: dict[str, float] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Columns `carry` and position, a number of its own for each row, in the order of the mix.
+
+    Files are read back in any order, so that of the rows is kept by number only.
+    """
+    placed = schedule(docs, weights, block_bytes, carry=carry)
+    return placed.select(*carry, (F.col("_mix.slot") * block_bytes + F.col("_mix.at")).alias("position"))
+
+
 def op5(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return schedule(docs, carry=["doc_id", "source"]).select("doc_id", "source", "_mix.*")
