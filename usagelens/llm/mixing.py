@@ -1,99 +1,134 @@
 """Mixing sources to target weights by Pfair scheduling.
 
 A source's documents, in hash order, are cut in blocks of `block_bytes`: a document belongs to
-the block in which it starts, a long one takes up several. Block j (from 0) of a source with
-weight w is released at floor(j / w) and due at ceil((j + 1) / w); in each slot the released
-block that is due first runs. At any slot each source is then less than one block away from its
-share. With weights in whole parts of D = sum(parts), the schedule repeats every D slots, so one
-period is worked out and every block finds its slot by arithmetic, on any number of machines.
-When a source runs out, the others go on with their weights in proportion: a new phase. Nothing
-is dropped or repeated.
-
-Only one total per source reaches the driver; sources are a list that people name weights for,
-and more than MAX_SOURCES of them are refused.
+the block in which it starts, a long one takes up several. Sources of equal weight form a class
+and take its turns one after the other, those with more blocks first; once a source has run out,
+it is passed over. Among classes, block j (from 0 in a phase) of a class of m sources with weight
+w each has its share s = m w / (sum over classes), is released at floor(j / s) and due at
+ceil((j + 1) / s); in each slot the released block that is due first runs. A class is then less
+than one block away from its share and, as turns add less than what a class block leaves, so is
+each source. When a source runs out, the others go on with their weights in proportion: a new
+phase. Nothing is dropped or repeated.
+
+Shares are whole numbers over D, so a phase's schedule repeats every D slots; one period, or what
+the phase has of it, is worked out and every block finds its slot by arithmetic, on any number of
+machines. D is exact up to MOST_SLOTS; beyond it shares are rounded to one part in MOST_SLOTS.
+What reaches the driver is, for each weight, how many sources have how many blocks: it grows with
+the different numbers of blocks, not with documents or sources.
 
 Defined results: a null source is a source of its own, a null or empty text has size 1 (so that
 every document has a place), ties and repeated rows keep their number, an empty table gives an
-empty result. A source without a stated weight takes DEFAULT_WEIGHT; extra columns are passed on.
+empty result. A source without a stated weight takes DEFAULT_WEIGHT; weights are over 0; extra
+columns are passed on.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from bisect import bisect_left
+from fractions import Fraction
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from usagelens.llm.common import root_of, with_offsets
+from usagelens.llm.common import materialize, root_of, with_offsets
 
 BLOCK_BYTES = 1 << 16
-PARTS = 1000
-MAX_SOURCES = 10_000
+MOST_SLOTS = 1 << 14
+#: Sources up to this number are broadcast to the documents; more are joined.
+FEW_SOURCES = 100_000
 #: The targets of the registered query: the others share alike.
 WEIGHTS = {"src0": 2.0, "src1": 1.5, "src2": 0.5}
 DEFAULT_WEIGHT = 1.0
 
 
-def in_parts(weights: dict[str, float], parts: int = PARTS) -> dict[str, int]:
-    """Weights as whole parts, largest remainders first, at least one part each."""
-    total = sum(weights.values())
-    parts = max(parts, 10 * len(weights))
-    exact = {k: w / total * parts for k, w in weights.items()}
-    out = {k: max(1, int(x)) for k, x in exact.items()}
-    for k in sorted(exact, key=lambda k: (int(exact[k]) - exact[k], k))[: max(0, parts - sum(out.values()))]:
-        out[k] += 1
+def in_parts(shares: list[Fraction], most: int = MOST_SLOTS) -> list[int]:
+    """Shares as whole parts: exact if their sum stays within `most`, else rounded, at least one each."""
+    whole = math.lcm(*[s.denominator for s in shares])
+    parts = [int(s * whole) for s in shares]
+    least = math.gcd(*parts)
+    if sum(parts) // least <= most:
+        return [p // least for p in parts]
+    total = sum(parts)
+    most = max(most, 10 * len(parts))
+    out = [max(1, p * most // total) for p in parts]
+    for i in sorted(range(len(parts)), key=lambda i: (-(parts[i] * most % total), i))[: max(0, most - sum(out))]:
+        out[i] += 1
     return out
 
 
-def period(parts: dict[str, int]) -> dict[str, list[int]]:
-    """The slots of each source's blocks in one period, by earliest deadline first."""
-    size = sum(parts.values())
+def period(parts: list[int], slots: int) -> list[list[int]]:
+    """The slots of each class's blocks among the first `slots` of a period, by earliest deadline first."""
+    size = sum(parts)
     release = lambda k, j: j * size // parts[k]
     due = lambda k, j: -(-(j + 1) * size // parts[k])
-    slots: dict[str, list[int]] = {k: [] for k in parts}
-    later = [(0, k, 0) for k in sorted(parts)]
-    ready: list[tuple[int, str, int]] = []
-    for slot in range(size):
+    found: list[list[int]] = [[] for _ in parts]
+    later = [(0, k, 0) for k in range(len(parts))]
+    ready: list[tuple[int, int, int]] = []
+    for slot in range(min(slots, size)):
         while later and later[0][0] <= slot:
             _, k, j = heapq.heappop(later)
             heapq.heappush(ready, (due(k, j), k, j))
         _, k, j = heapq.heappop(ready)
-        slots[k].append(slot)
-        if j + 1 < parts[k]:
-            heapq.heappush(later, (release(k, j + 1), k, j + 1))
-    return slots
+        found[k].append(slot)
+        heapq.heappush(later, (release(k, j + 1), k, j + 1))
+    return found
+
+
+class Turns:
+    """The blocks of a class's sources in one sequence, by how many sources have how many blocks."""
+
+    def __init__(self, sources: dict[int, int]):
+        self.counts = np.array(sorted(sources), dtype=np.int64)
+        n = np.array([sources[c] for c in sorted(sources)], dtype=np.int64)
+        self.below = np.concatenate([[0], np.cumsum(n * self.counts)])  # blocks of the sources with fewer
+        self.over = np.concatenate([np.cumsum(n[::-1])[::-1], [0]])  # sources with as many or more
 
+    def stretches(self) -> list[tuple[int, int]]:
+        """(sources, blocks) for each stretch in which as many sources take turns."""
+        rounds = np.diff(np.concatenate([[0], self.counts]))
+        return [(int(m), int(m * r)) for m, r in zip(self.over, rounds, strict=False)]
 
-def phases(blocks: dict[str, int], parts: dict[str, int]) -> list[dict]:
-    """For each phase: its first slot, length of a period, and per source (first block, slots)."""
-    left = {k: n for k, n in blocks.items() if n > 0}
-    done = dict.fromkeys(left, 0)
+    def place(self, blocks: np.ndarray, rank: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Where block j of the source at `rank` among those of as many blocks comes."""
+        at = np.searchsorted(self.counts, j, side="right")
+        before = self.below[at] + self.over[at] * j  # what all sources have had before this round
+        return before + self.over[np.searchsorted(self.counts, blocks) + 1] + rank
+
+
+def phases(stretches: list[list[tuple[int, int]]], weights: list[Fraction], most: int = MOST_SLOTS) -> list[dict]:
+    """For each phase its first slot, its period's length, and per class in it (first block, slots)."""
+    at, left, done = [0] * len(stretches), [s[0][1] if s else 0 for s in stretches], [0] * len(stretches)
     out, begin = [], 0
-    while left:
-        slots = period({k: parts[k] for k in left})
-        size = sum(parts[k] for k in left)
-        ends = {k: (n - 1) // parts[k] * size + slots[k][(n - 1) % parts[k]] + 1 for k, n in left.items()}
-        length = min(ends.values())
-        out.append({"begin": begin, "size": size, "first": {k: done[k] for k in left}, "slots": slots})
-        for k in list(left):
-            ran = length // size * parts[k] + bisect_left(slots[k], length % size)
-            done[k] += ran
-            left[k] -= ran
-            if not left[k]:
-                del left[k]
+    while True:
+        live = [c for c, s in enumerate(stretches) if at[c] < len(s)]
+        if not live:
+            return out
+        parts = in_parts([stretches[c][at[c]][0] * weights[c] for c in live], most)
+        size = sum(parts)
+        slots = period(parts, sum(left[c] for c in live))
+        ends = []
+        for found, p, c in zip(slots, parts, live, strict=True):
+            turn, rest = divmod(left[c] - 1, p)
+            ends.append(turn * size + found[rest] + 1 if rest < len(found) else math.inf)
+        length = min(ends)
+        out.append({"begin": begin, "size": size, "of": {c: (done[c], slots[i], parts[i]) for i, c in enumerate(live)}})
+        for found, p, c in zip(slots, parts, live, strict=True):
+            ran = length // size * p + bisect_left(found, length % size)
+            done[c] += ran
+            left[c] -= ran
+            if not left[c]:
+                at[c] += 1
+                left[c] = stretches[c][at[c]][1] if at[c] < len(stretches[c]) else 0
         begin += length
-    return out
 
 
 def schedule(
-    docs: DataFrame,
-    weights: dict[str, float] | None = None,
-    block_bytes: int = BLOCK_BYTES,
-    parts: int = PARTS,
-    carry: list[str] | None = None,
+    docs: DataFrame, weights: dict[str, float] | None = None, block_bytes: int = BLOCK_BYTES, carry: list[str] | None = None
 ) -> DataFrame:
     """Columns `carry` (all, if None) of `docs` and a struct _mix of n_bytes, block, phase, slot, at.
 
@@ -102,43 +137,55 @@ def schedule(
     if block_bytes < 1:
         raise ValueError("block_bytes starts at 1")
     weights = WEIGHTS if weights is None else weights
+    if any(w <= 0 for w in weights.values()):
+        raise ValueError("weights are over 0")
+    exact = {k: Fraction(w).limit_denominator(10_000) or Fraction(w) for k, w in weights.items()} | {None: Fraction(DEFAULT_WEIGHT)}
+    kinds = sorted(set(exact.values()))
+    class_of = {k: kinds.index(w) for k, w in exact.items()}
     size = F.greatest(F.lit(1), F.coalesce(F.octet_length("text"), F.lit(0))).cast("long")
     # a source's key: n for the null source, else s and its name
     key = F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), F.col("source")))
-    totals = docs.groupBy(key.alias("k")).agg(F.sum(size).alias("bytes"), F.count("*").alias("rows")).limit(MAX_SOURCES + 1).collect()
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    blocks = {r["k"]: -(-r["bytes"] // block_bytes) for r in totals}
-    split = in_parts({k: weights.get(k[1:], DEFAULT_WEIGHT) for k in blocks}, parts) if blocks else {}
-    runs = phases(blocks, split)
-    of = {
-        k: [(i, p["first"][k], p["begin"], p["size"], np.array(p["slots"][k])) for i, p in enumerate(runs) if k in p["first"]]
-        for k in blocks
-    }
+    named = F.create_map(*chain(*[(F.lit("s" + k), F.lit(c)) for k, c in class_of.items() if k is not None])) if weights else None
+    kind = F.lit(class_of[None]) if named is None else F.coalesce(F.try_element_at(named, F.col("_k")), F.lit(class_of[None]))
+    sources = docs.groupBy(key.alias("_k")).agg(F.sum(size).alias("_bytes"), F.count("*").alias("_rows"))
+    sources = sources.select("_k", kind.alias("_c"), F.expr(f"(_bytes + {block_bytes - 1}) div {block_bytes}").alias("_blocks"), "_rows")
+    sources = materialize(sources, "sources")
+    per = sources.groupBy("_c", "_blocks").agg(F.count("*").alias("n"), F.sum("_rows").alias("rows")).collect()
+    n_sources, n_rows = sum(r["n"] for r in per), sum(r["rows"] for r in per)
+    turns = [Turns({r["_blocks"]: r["n"] for r in per if r["_c"] == c}) for c in range(len(kinds))]
+    runs = phases([t.stretches() for t in turns], kinds)
+    of = [
+        [(i, *p["of"][c][:1], p["begin"], p["size"], np.array(p["of"][c][1], dtype=np.int64), p["of"][c][2]) for i, p in enumerate(runs) if c in p["of"]]
+        for c in range(len(kinds))
+    ]
+    sent = docs.sparkSession.sparkContext.broadcast((turns, of))
 
     @F.pandas_udf("phase int, slot long")
-    def lookup(sources: pd.Series, block: pd.Series) -> pd.DataFrame:
+    def lookup(kind: pd.Series, blocks: pd.Series, rank: pd.Series, block: pd.Series) -> pd.DataFrame:
+        turns, of = sent.value
         phase, slot = np.zeros(len(block), dtype="int32"), np.zeros(len(block), dtype="int64")
-        wanted, codes = block.to_numpy(), sources.to_numpy()
-        for k in pd.unique(sources):
-            at = np.flatnonzero(codes == k)
-            mine = of[k]
-            which = np.searchsorted([m[1] for m in mine], wanted[at], side="right") - 1
+        codes = kind.to_numpy()
+        for c in np.unique(codes):
+            at, mine = np.flatnonzero(codes == c), of[c]
+            wanted = turns[c].place(blocks.to_numpy()[at], rank.to_numpy()[at], block.to_numpy()[at])
+            which = np.searchsorted([m[1] for m in mine], wanted, side="right") - 1
             for w in np.unique(which):
-                i, first, begin, length, slots = mine[w]
-                here = at[which == w]
-                turn, pos = np.divmod(wanted[here] - first, len(slots))
-                phase[here], slot[here] = i, begin + turn * length + slots[pos]
+                i, first, begin, length, slots, parts = mine[w]
+                here = which == w
+                turn, pos = np.divmod(wanted[here] - first, parts)
+                phase[at[here]], slot[at[here]] = i, begin + turn * length + slots[pos]
         return pd.DataFrame({"phase": phase, "slot": slot})
 
     carry = docs.columns if carry is None else carry
+    ranks = with_offsets(sources, ["_c", "_blocks"], ["_k"], F.lit(1), "_rank", root_of(n_sources)).select("_k", "_c", "_blocks", "_rank")
     rows = docs.select(
         F.struct(*[F.col(c) for c in carry]).alias("_row"), key.alias("_k"), size.alias("n_bytes"),
         F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_h"),
     )
-    ranked = with_offsets(rows, ["_k"], ["_id", "_h"], F.col("n_bytes"), "_off", root_of(sum(r["rows"] for r in totals)))
+    ranked = with_offsets(rows, ["_k"], ["_id", "_h"], F.col("n_bytes"), "_off", root_of(n_rows))
     ranked = ranked.withColumn("block", F.expr(f"_off div {block_bytes}"))
-    ranked = ranked.withColumn("_x", lookup("_k", "block"))
+    ranked = ranked.join(F.broadcast(ranks) if n_sources <= FEW_SOURCES else ranks, "_k")
+    ranked = ranked.withColumn("_x", lookup("_c", "_blocks", "_rank", "block"))
     return ranked.select(
         *[F.col("_row")[c].alias(c) for c in carry],
         F.struct(
