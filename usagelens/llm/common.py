@@ -20,27 +20,68 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors see: spark.checkpoint.dir, else one of our own.
 
-    Where the setting is missing, a local session gets a temporary folder and a cluster the
-    warehouse, which its machines share.
+    Where the setting is missing, a local session gets one temporary folder for its whole life
+    and a cluster the warehouse, which its machines share.
     """
-    conf = spark.sparkContext.getConf()
-    found = conf.get("spark.checkpoint.dir")
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
-    if spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master:
-        made = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-    else:
-        made = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages"
-    spark._usagelens_shared = getattr(spark, "_usagelens_shared", None) or made
-    return spark._usagelens_shared
+    made = getattr(spark, "_usagelens_shared", None)
+    if made is None:
+        if spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master:
+            made = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+        else:
+            made = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages"
+        spark._usagelens_shared = made
+    return made
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` into the shared folder and read it back: its lineage ends in that table."""
+def materialize(df: DataFrame, name: str, replaces: DataFrame | None = None) -> DataFrame:
+    """Write `df` into the shared folder and read it back: its lineage ends in that table.
+
+    The table of `replaces`, an earlier result that nothing reads any more, is deleted then.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    old = getattr(replaces, "_usagelens_path", None)
+    if old is not None:
+        place = spark._jvm.org.apache.hadoop.fs.Path(old)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._usagelens_path = path
+    return out
+
+
+#: Parts of a key's rows that may lie in different tasks: four masks of 64 bits.
+SALTS = 256
+
+
+def with_shared(rows: DataFrame, key: list[str], by: Column, shared: dict[str, Column], where: str = "true") -> DataFrame:
+    """`rows` with aggregates over all rows of their key, without all rows of a key in one task.
+
+    The aggregation (partial first) also notes which salts, by the hash of `by`, a key's rows
+    have; each row then meets the copy for its own salt. `where` is a condition on the
+    aggregates. Key columns must not be null.
+    """
+    salted = rows.withColumn("_s", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    bit = lambda i: F.when(F.expr(f"_s div 64 = {i}"), F.expr("shiftleft(1L, _s % 64)")).otherwise(F.lit(0).cast("long"))
+    masks = [F.bit_or(bit(i)).alias(f"_b{i}") for i in range(SALTS // 64)]
+    total = salted.groupBy(*key).agg(*[c.alias(n) for n, c in shared.items()], *masks).where(where)
+    there = " WHEN ".join(f"{i} THEN getbit(_b{i}, s % 64)" for i in range(SALTS // 64))
+    salts = F.explode(F.expr(f"filter(sequence(0, {SALTS - 1}), s -> CASE s div 64 WHEN {there} END = 1)"))
+    return salted.join(total.select(*key, *shared, salts.alias("_s")), [*key, "_s"]).drop("_s")
+
+
+def looked_up(rows: DataFrame, held: DataFrame, key: str, by: Column, most: int = 64) -> DataFrame:
+    """Inner join of `rows` with `held`, unique by `key`, where some keys may have very many rows.
+
+    The rows of a key with more than `most` are dealt to several tasks, each with a copy of what is held.
+    """
+    counted = with_shared(rows, [key], by, {"_c": F.count("*")})
+    dealt = counted.withColumn("_p", F.pmod(F.xxhash64(by), F.ceil(F.col("_c") / most)).cast("int")).drop("_c")
+    copies = dealt.select(key, "_p").distinct().join(held, key)
+    return dealt.join(copies, [key, "_p"]).drop("_p")
 
 
 def root_of(n: int) -> int:

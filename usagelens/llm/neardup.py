@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from usagelens.llm.common import materialize
+from usagelens.llm.common import looked_up, materialize, with_shared
 
 BANDS, ROWS, BITS = 42, 6, 4
 PERMS = BANDS * ROWS
@@ -103,7 +103,10 @@ class Hasher:
 
 
 def packed(minima: np.ndarray) -> bytes:
-    low = (minima & np.uint32(15)).astype(np.uint8)
+    # the low bits of a x + b follow from the low bits of x alone: mixed first, they follow from all
+    with np.errstate(over="ignore"):
+        mixed = (minima ^ (minima >> np.uint32(16))) * np.uint32(0x45D9F3B)
+    low = ((mixed ^ (mixed >> np.uint32(16))) & np.uint32(15)).astype(np.uint8)
     return (low[0::2] << 4 | low[1::2]).tobytes()
 
 
@@ -173,7 +176,8 @@ def likely(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
 
     left = sigs.select(F.col("node").alias("a"), F.col("sig").alias("sa"))
     right = sigs.select(F.col("node").alias("b"), F.col("sig").alias("sb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
+    both = looked_up(looked_up(pairs, left, "a", F.col("b")), right, "b", F.col("a"))
+    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
 
 
 def sets_of(nodes: DataFrame, docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
@@ -216,22 +220,21 @@ def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int,
 
     left = found.select(F.col("node").alias("a"), F.col("data").alias("da"))
     right = found.select(F.col("node").alias("b"), F.col("data").alias("db"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "da", "db")
+    joined = looked_up(looked_up(pairs, left, "a", F.col("b")), right, "b", F.col("a")).select("a", "b", "da", "db")
     return materialize(joined.mapInArrow(check, "a binary, b binary"), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
     """node and label (the least node of its component) for every node that a link touches."""
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    state = None
+    state, made = None, None
+    least_of = lambda rows: with_shared(rows, ["u"], F.col("v"), {"m": F.min("v")})
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        met = large.join(lowest, "u")
+        large = least_of(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        met = least_of(large)
         small = met.select("u", F.col("m").alias("v")).union(met.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v"))
-        edges = materialize(small.distinct(), "stars")
+        edges = made = materialize(small.distinct(), "stars", replaces=made)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break
@@ -242,16 +245,17 @@ def components(links: DataFrame) -> DataFrame:
 def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs of small buckets and links to the centre of large ones; the rows of large buckets."""
     rows = classes.select(F.posexplode("keys").alias("band", "key"), "node")
-    stats = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    rows = materialize(rows.join(stats, "key"), "buckets")
+    rows = with_shared(rows, ["key"], F.col("node"), {"n": F.count("*")}, "n > 1")
+    rows = materialize(rows, "buckets")
     lists = rows.where("n <= %d" % SMALL).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("s"))
     lists = lists.select("s", F.posexplode("s").alias("i", "a"))
     small = lists.select("a", F.explode(F.slice("s", F.col("i") + 2, SMALL)).alias("b"))
     large = rows.where("n > %d" % SMALL).select("key", "band", "node", "n")
     # the class that shares large buckets most is near the middle of its group
     weight = large.groupBy("node").agg(F.sum("n").alias("w"))
-    tops = large.join(weight, "node").groupBy("key").agg(F.max(F.struct("w", F.xxhash64("node").alias("h"), "node")).alias("t"))
-    star = large.join(tops.select("key", F.col("t.node").alias("top")), "key").where("node <> top")
+    first = F.max(F.struct("w", F.xxhash64("node").alias("h"), "node"))
+    star = with_shared(large.join(weight, "node"), ["key"], F.col("node"), {"t": first})
+    star = star.select("node", F.col("t.node").alias("top")).where("node <> top")
     pairs = star.select(F.least("node", "top").alias("a"), F.greatest("node", "top").alias("b")).union(small).distinct()
     return pairs, large.drop("n")
 
@@ -266,15 +270,15 @@ def leftover(
     component is found. A pair is looked at in the first band it shares only.
     """
     rows = large.join(labels, "node", "left").select("key", "band", "node", F.coalesce("label", "node").alias("label"))
-    counts = rows.groupBy("key", "label").agg(F.count("*").alias("c"))
-    per_key = counts.groupBy("key").agg(
-        F.count("*").alias("k"), F.sum("c").alias("n"), F.max(F.struct("c", "label")).alias("most")
-    )
-    split = per_key.where("k > 1").select(
-        "key", F.col("most.label").alias("main"), F.ceil(F.col("n") / BLOCK).alias("all_blocks"),
+    # the rows of each (bucket, label) counted, and of these the buckets with several labels
+    rows = with_shared(rows, ["key", "label"], F.col("node"), {"c": F.count("*")})
+    per_key = {"most": F.max(F.struct("c", "label")), "n": F.count("*")}
+    rows = with_shared(rows, ["key"], F.col("node"), per_key, "most.c < n")
+    rows = rows.select(
+        "key", "band", "node", "label", F.col("most.label").alias("main"), F.ceil(F.col("n") / BLOCK).alias("all_blocks"),
         F.ceil((F.col("n") - F.col("most.c")) / BLOCK).alias("odd_blocks"),
     )
-    rows = materialize(rows.join(split, "key"), "odd")
+    rows = materialize(rows, "odd")
     held = classes.select("node", "sig", "keys").join(sets_of(rows.select("node"), docs, classes, words), "node")
     rows = rows.join(held, "node")
     block = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
