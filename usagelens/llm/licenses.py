@@ -9,8 +9,10 @@ t/(2-t) of the template's bigrams, so of any set of them larger than the rest at
 and units without any of the words that touch such a set (`anchors`) are passed over. Both
 bounds are exact; nothing that can reach the threshold is left out.
 
-One row per unit and template at or over the threshold: doc_id, unit (document, paragraph,
-line), unit_no (from 0), license, n_bigrams, dice. Defined results: a null or empty text has
+One row per unit and licence at or over the threshold: doc_id, unit (document, paragraph,
+line), unit_no (from 0), license, n_bigrams, dice. Of several templates of one licence the best
+counts; where a unit reaches several licences (two- and three-clause texts are much alike), each
+has its row. Defined results: a null or empty text has
 no rows, neither has a unit with fewer than two words; repeated rows each give their rows; an
 empty table gives an empty result; extra columns are ignored.
 """
@@ -26,16 +28,32 @@ from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
 #: Characters of a unit that are looked at before the whole of it.
-HEAD = 2000
-#: Short notices and the opening terms of common licences.
+HEAD = 6000
+_AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+_GRANT = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'
+_NOTICE = "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+_REDISTRIBUTION = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+_SOURCE = "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+_BINARY = "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_ENDORSE = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_HOLDERS = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+_ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+_ISC_REST = 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'
+_APACHE = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'
+_GPL = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+#: Short notices, opening terms, paragraphs and whole texts of common licences.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
+    ("Apache-2.0", _APACHE),
+    ("Apache-2.0", _APACHE + ' You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
-    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'),
+    ("MIT", _GRANT),
+    ("MIT", " ".join(["MIT License Copyright (c)", _GRANT, _NOTICE, _AS_IS])),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "Licensed under the GNU General Public License v3.0."),
+    ("GPL-3.0", _GPL),
+    ("GPL-3.0", _GPL + " This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/."),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
@@ -46,9 +64,14 @@ TEMPLATES = [
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC0-1.0", "This work is dedicated to the public domain under CC0 1.0."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
     ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
-    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("BSD-2-Clause OR BSD-3-Clause", _REDISTRIBUTION),
+    ("BSD-2-Clause", " ".join(["Copyright (c) All rights reserved.", _REDISTRIBUTION, _SOURCE, _BINARY, _HOLDERS])),
+    ("BSD-3-Clause", _ENDORSE),
+    ("BSD-3-Clause", " ".join(["Copyright (c) All rights reserved.", _REDISTRIBUTION, _SOURCE, _BINARY, _ENDORSE, _HOLDERS])),
+    ("ISC", _ISC),
+    ("ISC", " ".join(["ISC License Copyright (c)", _ISC, _ISC_REST])),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 
@@ -137,10 +160,12 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
             (2.0 * F.size(F.array_intersect(F.col("b"), t["g"])) / (F.col("n") + t["n"])).alias("dice"),
         ),
     )
-    d = d.select("doc_id", "unit", "unit_no", "n", F.explode(F.filter(scored, lambda x: x["dice"] >= threshold)).alias("m"))
-    return d.groupBy("doc_id", "unit", "unit_no", F.col("m.license").alias("license")).agg(
-        F.first(F.col("n").cast("long")).alias("n_bigrams"), F.max("m.dice").alias("dice")
-    )
+    # of the templates of one licence the best one counts; within the row, so equal rows keep their own results
+    reached = F.filter(scored, lambda x: x["dice"] >= threshold)
+    ranked = F.array_sort(F.transform(reached, lambda x: F.struct(x["license"].alias("license"), (-x["dice"]).alias("dice"))))
+    best = lambda all_: F.filter(all_, lambda x, i: ~F.coalesce(F.get(all_, i - 1)["license"] == x["license"], F.lit(False)))
+    d = d.select("doc_id", "unit", "unit_no", "n", F.explode(F.flatten(F.transform(F.array(ranked), best))).alias("m"))
+    return d.select("doc_id", "unit", "unit_no", F.col("m.license").alias("license"), F.col("n").cast("long").alias("n_bigrams"), (-F.col("m.dice")).alias("dice"))
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
