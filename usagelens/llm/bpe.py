@@ -8,8 +8,8 @@ next shorter one. Each position is given up at most once, so the work is linear,
 is exactly that of merging by rank. Decoding gathers byte ranges by a table of token offsets.
 
 Spark deals the documents; tasks encode Arrow batches. Words and pieces recur, so a task keeps the
-ids of about the last CACHE pieces and WORDS words (a full table is put aside and read until the next is full);
-results don't depend on it. The
+ids of the last ones of up to LONGEST characters, as many as take PIECE_BYTES and WORD_BYTES (a full
+table is put aside and read until the next is full); results don't depend on it. The
 vocabulary (1.5 MB, fixed by the tokenizer file) is broadcast.
 
 Defined results: a null text counts as empty and has no tokens; repeated rows are each encoded;
@@ -30,7 +30,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-CACHE, WORDS = 250_000, 400_000
+#: Longer words and pieces seldom recur and are not kept.
+LONGEST = 64
+#: What a table of pieces or of words may hold, and what an entry takes besides its contents.
+PIECE_BYTES, WORD_BYTES, ENTRY = 60_000_000, 100_000_000, 190
+PAIRS = 500_000
 TOKENIZER = "byte_bpe_50k.json"
 #: Fixed value: the byte-level cutting pattern of this kind of tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -87,6 +91,7 @@ class Bpe:
         self.old_cache: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
         self.old_words: dict[str, bytes] = {}
+        self.held_pieces = self.held_words = 0
         self.narrow = len(self.offsets) <= 1 << 16
         self.told = [str(i) for i in range(len(self.offsets) - 1)]
 
@@ -150,21 +155,26 @@ class Bpe:
     def known(self, piece: str) -> bytes:
         found = self.cache.get(piece) or self.words.get(piece) or self.old_words.get(piece)
         if not found:
-            if len(self.cache) >= CACHE:
-                self.cache, self.old_cache = {}, self.cache
             found = self.old_cache.get(piece)
             if found is None:
                 found = self.fresh(piece)
-            self.cache[piece] = found
+            if len(piece) <= LONGEST:
+                self.held_pieces += ENTRY + 4 * len(piece) + len(found)
+                if self.held_pieces > PIECE_BYTES:
+                    self.cache, self.old_cache, self.held_pieces = {}, self.cache, 0
+                self.cache[piece] = found
         return found
 
     def fresh(self, piece: str) -> bytes:
-        if len(self.follows) >= 2 * CACHE:
+        if len(self.follows) >= PAIRS:
             self.follows = dict(self.none_before)
         return array("i", self.piece(piece.encode().decode("latin-1"))).tobytes()
 
     def word(self, word: str) -> bytes:
         """Ids of a word with the space before it, or of a line end: these are cut alike wherever they stand."""
+        found = self.words.get(word)
+        if found is not None:
+            return found
         found = self.old_words.get(word)
         if found is None:
             if word.isascii() and word[word.startswith(" ") :].isalpha():  # one piece, kept among the words only
@@ -172,7 +182,11 @@ class Bpe:
             else:
                 get = self.known
                 found = b"".join([get(p) for p in self.cut.findall(word)])
-        self.words[word] = found
+        if len(word) <= LONGEST:
+            self.held_words += ENTRY + 4 * len(word) + len(found)
+            if self.held_words > WORD_BYTES:
+                self.words, self.old_words, self.held_words = {}, self.words, 0
+            self.words[word] = found
         return found
 
     def encode_bytes(self, text: str) -> bytes:
@@ -183,8 +197,7 @@ class Bpe:
         if "\x00" in text or " ".join(text.split()) != text.replace("\n", " "):
             get = self.known  # other white space than single spaces and line ends, or some at an end
             return b"".join([get(p) for p in self.cut.findall(text)])
-        if len(self.words) >= WORDS:
-            self.words, self.old_words = {}, self.words
+        # a table put aside within a text is still looked at first, the new one in `word`
         get, word = self.words.get, self.word
         return b"".join([get(w) or word(w) for w in text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")])
 
