@@ -15,7 +15,8 @@ the significant passages. A logistic curve over x and the passages' sum gives th
 on a part of the sample whose labels the log-odds then have not seen.
 
 The sample holds the SAMPLE labelled rows of the training part that come first in a hashed
-order: a bound, so it can be broadcast. Labels are used nowhere else.
+order: a bound, so it can be broadcast; where a doc_id has several texts, the curve is fitted on
+the one with the largest x. Labels are used nowhere else.
 
 Defined results: a null or empty text has no tokens and takes the score of x = 0; documents
 without label are scored too; a repeated label row with another value counts as toxic if any
@@ -189,11 +190,18 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[Model, np.ndarray, float]
                 x, total, _ = sent.value.features(found)
                 got.append((x, total, len(found)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *[pa.array([float(g[i]) for g in got], pa.float64()) for i in range(3)]], ["y", "x", "total", "n"]
+                [batch.column(0), batch.column(2), *[pa.array([float(g[i]) for g in got], pa.float64()) for i in range(3)]], ["id", "y", "x", "total", "n"]
             )
 
-    one = docs.select("doc_id", "text").join(F.broadcast(chosen.where(part == 3)), "doc_id").select("toxic", "text")
-    got = one.mapInArrow(measure, "y int, x double, total double, n double").where("n > 0").toArrow()  # SAMPLE rows at most but for copies
+    kind_of_id = dict(docs.dtypes)["doc_id"]
+    one = docs.select("doc_id", "text").join(F.broadcast(chosen.where(part == 3)), "doc_id").select("doc_id", "text", "toxic")
+
+    def measured() -> pa.Table:
+        """One row for each sampled doc_id, however often it is repeated: SAMPLE rows at most."""
+        rows = one.mapInArrow(measure, f"id {kind_of_id}, y int, x double, total double, n double").where("n > 0")
+        return rows.groupBy("id").agg(F.max(F.struct("x", "total", "y")).alias("m")).select("m.y", "m.x", "m.total").toArrow()
+
+    got = measured()
     y, x, total = (got.column(c).to_numpy().astype(float) for c in ("y", "x", "total"))
     share = float(table[1].sum() + table[3].sum() > 0) and float(y.mean()) if len(y) else 0.0
     model = Model(table[4], table[1] + table[3], table[0] + table[2])
@@ -203,7 +211,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[Model, np.ndarray, float]
     model.log_k = float(x[y == 0].mean() - np.euler_gamma)
     first.log_k = model.log_k
     sent = docs.sparkSession.sparkContext.broadcast(first)
-    again = one.mapInArrow(measure, "y int, x double, total double, n double").where("n > 0").toArrow()
+    again = measured()
     y, x, total = (again.column(c).to_numpy().astype(float) for c in ("y", "x", "total"))
     return model, fitted(design(x, total), y), share
 
