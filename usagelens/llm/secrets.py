@@ -19,6 +19,7 @@ an empty result. `scan` ignores extra columns, `redact` passes them on.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -61,26 +62,28 @@ def located(text: Column, pattern: str, group: int) -> tuple[Column, Column]:
     return pieces, F.arrays_zip(whole.alias("m"), part.alias("g"))
 
 
+#: Matches are summed up in parts of this many, so that the work on very many of them stays linear.
+PART = 256
+
+
+def running(numbers: Column, joined: Callable[[Column, Column], Column]) -> Column:
+    """Sums, or another way to join whole numbers from 0 on, of an array through each place."""
+    none = F.expr("CAST(array() AS array<int>)")
+    last = lambda xs: F.coalesce(F.get(xs, F.size(xs) - 1), F.lit(0))
+    through = lambda xs: F.aggregate(xs, none, lambda acc, x: F.concat(acc, F.array(joined(last(acc), x))))
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(numbers) - 1), F.lit(PART))
+    inner = F.transform(starts, lambda i: through(F.slice(numbers, i + 1, PART)))
+    before = lambda each: F.slice(F.concat(F.array(F.lit(0)), through(F.transform(each, last))), 1, F.size(each))
+    # the transform over a one-element array lets the inner sums be made once
+    both = F.transform(F.array(inner), lambda each: F.zip_with(each, before(each), lambda xs, b: F.transform(xs, lambda x: joined(b, x))))
+    return F.flatten(F.flatten(both))
+
+
 def placed(pieces: Column, matches: Column) -> Column:
     """array<struct<s, e, m, g>> of all matches, by running lengths."""
-    step = lambda acc, x: F.struct(
-        (acc["at"] + F.length(x["p"]) + F.length(x["z"]["m"])).alias("at"),
-        F.concat(
-            acc["out"],
-            F.array(
-                F.struct(
-                    (acc["at"] + F.length(x["p"])).alias("s"),
-                    (acc["at"] + F.length(x["p"]) + F.length(x["z"]["m"])).alias("e"),
-                    x["z"]["m"].alias("m"),
-                    x["z"]["g"].alias("g"),
-                )
-            ),
-        ).alias("out"),
-    )
-    zipped = F.zip_with(F.slice(pieces, 1, F.size(matches)), matches, lambda p, z: F.struct(p.alias("p"), z.alias("z")))
-    empty = "CAST(array() AS array<struct<s:int,e:int,m:string,g:string>>)"
-    return F.aggregate(
-        zipped, F.struct(F.lit(0).alias("at"), F.expr(empty).alias("out")), step, lambda acc: acc["out"]
+    sizes = F.zip_with(F.slice(pieces, 1, F.size(matches)), matches, lambda p, z: F.length(p) + F.length(z["m"]))
+    return F.zip_with(
+        running(sizes, lambda a, b: a + b), matches, lambda end, z: F.struct((end - F.length(z["m"])).alias("s"), end.alias("e"), z["m"].alias("m"), z["g"].alias("g"))
     )
 
 
@@ -94,7 +97,9 @@ def xlogx(n: Column) -> Column:
 
 def entropy_spans(run: Column, threshold: Column, window: int = WINDOW) -> Column:
     """array<struct<s, e>>: merged windows of the ASCII string `run` at or over the threshold."""
-    state = "CAST(named_struct('i', 0, 'w', '', 'sum', 0D, 'out', array()) AS struct<i:int,w:string,sum:double,out:array<struct<s:int,e:int>>>)"
+    # s and e are the span still open (e is -1 before the first); the threshold is worked out once, not at each step
+    kinds = "struct<i:int,w:string,sum:double,s:int,e:int,out:array<struct<s:int,e:int>>,t:double>"
+    state = F.struct(F.lit(0), F.lit(""), F.lit(0.0), F.lit(-1), F.lit(-1), F.array(), threshold).cast(kinds)
 
     def leave(acc: Column, char: Column) -> Column:
         first = F.substring(acc["w"], 1, 1)
@@ -110,20 +115,16 @@ def entropy_spans(run: Column, threshold: Column, window: int = WINDOW) -> Colum
         n = counted(left["w"], left["c"])
         return F.struct(F.concat(left["w"], left["c"]).alias("w"), (left["sum"] - xlogx(n) + xlogx(n + 1)).alias("sum"))
 
+    closed = lambda acc: F.concat(acc["out"], F.array(F.struct(acc["s"].alias("s"), acc["e"].alias("e"))))
+
     def note(acc: Column, now: Column) -> Column:
         end = acc["i"] + 1
         begin = end - window
-        hot = (F.length(now["w"]) == window) & (F.log2(F.lit(float(window))) - now["sum"] / window >= threshold - 1e-9)
-        last = F.get(acc["out"], F.size(acc["out"]) - 1)
-        joined = F.when(
-            last["e"] >= begin,
-            F.concat(
-                F.slice(acc["out"], 1, F.size(acc["out"]) - 1), F.array(F.struct(last["s"].alias("s"), end.alias("e")))
-            ),
-        ).otherwise(F.concat(acc["out"], F.array(F.struct(begin.alias("s"), end.alias("e")))))
+        hot = (F.length(now["w"]) == window) & (F.log2(F.lit(float(window))) - now["sum"] / window >= acc["t"] - 1e-9)
+        apart = hot & (acc["e"] < begin)
         return F.struct(
-            end.alias("i"), now["w"].alias("w"), now["sum"].alias("sum"),
-            F.when(hot, joined).otherwise(acc["out"]).alias("out"),
+            end.alias("i"), now["w"].alias("w"), now["sum"].alias("sum"), F.when(apart, begin).otherwise(acc["s"]).alias("s"),
+            F.when(hot, end).otherwise(acc["e"]).alias("e"), F.when(apart & (acc["e"] >= 0), closed(acc)).otherwise(acc["out"]).alias("out"), acc["t"].alias("t"),
         )
 
     def step(acc: Column, char: Column) -> Column:
@@ -132,7 +133,7 @@ def entropy_spans(run: Column, threshold: Column, window: int = WINDOW) -> Colum
         return F.get(F.transform(left, lambda x: note(acc, x)), F.lit(0))
 
     chars = F.filter(F.split(run, ""), lambda c: c != "")
-    return F.aggregate(chars, F.expr(state), step, lambda acc: acc["out"])
+    return F.aggregate(chars, state, step, lambda acc: F.when(acc["e"] >= 0, closed(acc)).otherwise(acc["out"]))
 
 
 def long_enough(found: Column, least: int) -> Column:
@@ -251,18 +252,15 @@ def redact(docs: DataFrame, mask: str = MASK) -> DataFrame:
     kinds = dict(docs.dtypes)
     packed = docs.select("doc_id", "text", F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
     found = spans_of(packed, keep=["row", "text"])
-    state = "CAST(named_struct('at', 0, 'out', '') AS struct<at:int,out:string>)"
-    step = lambda acc, x: F.struct(
-        F.greatest(acc["at"], x["end"]).alias("at"),
-        F.when(
-            x["start"] >= acc["at"],
-            F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, x["start"] - acc["at"]), F.lit(mask)),
-        )
-        .otherwise(acc["out"])
-        .alias("out"),
-    )
-    rest = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
-    masked = F.when(F.size("all_spans") > 0, F.aggregate("all_spans", F.expr(state), step, rest)).otherwise(F.col("text"))
+    # the ends of all spans so far: a span that begins before the last of them is part of the mask before it
+    upto = running(F.transform("all_spans", lambda x: x["end"]), F.greatest)
+    found = found.withColumns({"_upto": F.when(F.size("all_spans") > 0, upto), "_chars": F.when(F.size("all_spans") > 0, F.split("text", ""))})
+    before = lambda i: F.coalesce(F.get("_upto", i - 1), F.lit(0))
+    cut = lambda begin, end: F.array_join(F.slice("_chars", begin + 1, F.greatest(F.lit(0), end - begin)), "")
+    piece = lambda x, i: F.when((i == 0) | (x["start"] >= before(i)), F.concat(cut(before(i), x["start"]), F.lit(mask))).otherwise("")
+    last = F.get("_upto", F.size("_upto") - 1)
+    masked = F.concat(F.array_join(F.transform("all_spans", piece), ""), cut(last, F.size("_chars")))
+    masked = F.when(F.size("all_spans") > 0, masked).otherwise(F.col("text"))
     found = found.withColumn("_masked", masked)
     new = {c: F.col("row")[c] for c in docs.columns} | {"text": F.col("_masked")}
     if "n_chars" in kinds:
