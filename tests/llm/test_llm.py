@@ -219,6 +219,36 @@ def brute_mix(blocks, weights):
     return out
 
 
+def test_joined_functions_find_clusters_and_few_probes_serve_them(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(60, 32))
+    x = (np.repeat(centres, 50, axis=0) + 0.3 * rng.normal(size=(3000, 32))).astype("float32")
+    assert [ann.functions_for(n, 32, 16) for n in (1000, 10_000, 1 << 20)] == [1, 2, 3]
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    one, two = (len(np.unique(ann.probed(x, 0, f, 1))) for f in (1, 2))
+    assert one < two
+    for row, found in zip(unit[:50], ann.probed(x[:50], 0, 2, 4), strict=True):  # the axes nearest together, in order
+        a, b = (np.concatenate([r, -r]) for r in (ann.turned(row[None], f)[0] for f in (0, 1)))
+        sums = (a[:, None] + b[None, :]).ravel()
+        assert np.allclose(sums[found], np.sort(sums)[::-1][:4])
+    df = spark.createDataFrame([(i, v.tolist(), "x") for i, v in enumerate(x)], "vec_id long, embedding array<float>, query string")
+    hits, n = 0, 0
+    for r in ann.nearest(df, vectors=16).groupBy("query_id").agg(F.collect_list("vec_id").alias("ids")).collect():
+        s = x.astype(float) @ x[r.query_id].astype(float)
+        s[r.query_id] = -np.inf
+        hits, n = hits + len(set(np.argsort(-s)[:20]) & set(r.ids)), n + 20
+    assert n == 20 * 150 and hits >= 0.9 * n
+
+
+def test_repeated_vectors_and_rows(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(40, 16)).astype("float32")
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)] + [(20, x[20].tolist(), 2)] * 3 + [(100 + i, x[20].tolist(), 1) for i in range(30)]
+    got = Counter((r.query_id, r["rank"], r.vec_id) for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>, t int")).collect())
+    assert {r: v for q, r, v in got if q == 20} == {i + 1: 100 + i for i in range(20)}
+    assert {n for (q, _, _), n in got.items() if q == 20} == {4} and {n for (q, _, _), n in got.items() if q == 0} == {1}
+
+
 def test_pfair_deviation_stays_under_one_block():
     weights = [Fraction(5), Fraction(3), Fraction(1), Fraction(1, 5)]
     parts = mixing.in_parts(weights)

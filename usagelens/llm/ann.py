@@ -1,11 +1,17 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
 A table turns unit vectors by three rounds of random signs and a fast Hadamard transform and
-assigns each to the nearest signed axis, a bucket. A query probes, in each table, the buckets of
-the PROBES axes nearest to it. A bucket's vectors and the queries that probe it meet in blocks:
-(table, bucket, block of vectors, block of queries) is one task's group, however full a bucket
-is. A group returns each query's best few by exact inner product in double precision, and the
-lists of a query merge to its nearest.
+assigns each to the nearest signed axis. As many such functions are joined as one table needs for
+buckets of about VECTORS rows (`functions_for`), so their number follows the logarithm of the
+rows. A query probes, in each table, the buckets whose axes together are nearest to it. How many
+is measured: SAMPLE queries, first in a hashed order, are compared with all vectors, and of
+PROBES the least number is taken that would have found TARGET of their neighbours. If none does,
+all queries meet all vectors. The sample's own answers come from the probes like all others'.
+
+A bucket's vectors and the queries that probe it meet in blocks: (table, bucket, block of
+vectors, block of queries) is one task's group, however full a bucket is. A group returns each
+query's best few by exact inner product in double precision. These lists are merged per query,
+table and CHUNK blocks of vectors first, then per query.
 
 Equal vectors are one entry first. Of each entry only the K + 1 smallest ids can ever be in a
 list (ties go to the smaller id), so an entry keeps those, and the queries with that vector share
@@ -14,8 +20,8 @@ one search. No row is dropped that could be in a result.
 Queries whose probes find fewer than K others meet all vectors, in the same blocks; so do those,
 where norms differ, whose last place a longer vector elsewhere could take.
 
-On vectors without structure, such as the test table's, 8 tables of 128 buckets and 16 probes
-rank about three in five of all rows; measured recall is in the README.
+On vectors without structure, such as the test table's, neighbours are hardly nearer than others
+and the measured number of probes ranks a large part of all rows; see the README.
 
 Defined results: vectors that are null, empty or zero, or hold null or non-finite components,
 take no part; queries meet vectors of their own length only; a repeated vec_id is one candidate
@@ -35,8 +41,14 @@ from pyspark.sql import functions as F
 from usagelens.llm.common import materialize
 
 K = 20
-TABLES, PROBES = 8, 16
+TABLES = 8
+#: Numbers of buckets probed in each table, of which the least that serves is chosen.
+PROBES = (2, 4, 8, 12, 16, 24, 32, 64, 128, 256)
+TARGET, SAMPLE = 0.95, 200
+CHUNK = 16
 VECTORS, QUERIES = 8192, 1024
+#: Buckets up to this number are broadcast with their counts; more are joined.
+FEW_BUCKETS = 200_000
 EVERY = 20
 #: Relative difference of norms that counts as rounding.
 NORMS = 1e-4
@@ -54,10 +66,22 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / math.sqrt(n)
 
 
+def padded(d: int) -> int:
+    return 1 << max(0, d - 1).bit_length()
+
+
+def functions_for(rows: int, d: int, vectors: int = VECTORS) -> int:
+    """How many functions make buckets of about `vectors` rows."""
+    n, buckets = 1, 2 * padded(d)
+    while buckets**n * vectors < rows and buckets ** (n + 1) < 1 << 62:
+        n += 1
+    return n
+
+
 def turned(x: np.ndarray, table: int, seed: int = 5) -> np.ndarray:
-    """Unit rows, padded to a power of two, pseudo-rotated for one table."""
+    """Unit rows, padded to a power of two, pseudo-rotated for one function."""
     x = x / np.linalg.norm(x, axis=1, keepdims=True)
-    size = 1 << max(0, x.shape[1] - 1).bit_length()
+    size = padded(x.shape[1])
     x = np.pad(x, ((0, 0), (0, size - x.shape[1])))
     rng = np.random.default_rng([seed, table, size])
     for _ in range(3):
@@ -65,13 +89,29 @@ def turned(x: np.ndarray, table: int, seed: int = 5) -> np.ndarray:
     return x
 
 
-def axes(x: np.ndarray, probes: int) -> np.ndarray:
-    """For each row the signed axes nearest to it, nearest first; +j is j, -j is size + j."""
+def axes(x: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the signed axes nearest to it, nearest first, and their coordinates; +j is j, -j is size + j."""
     both = np.concatenate([x, -x], axis=1)
     probes = min(probes, both.shape[1])
     top = np.argpartition(-both, probes - 1, axis=1)[:, :probes]
     order = np.argsort(-np.take_along_axis(both, top, 1), axis=1, kind="stable")
-    return np.take_along_axis(top, order, 1)
+    top = np.take_along_axis(top, order, 1)
+    return top, np.take_along_axis(both, top, 1)
+
+
+def probed(x: np.ndarray, table: int, functions: int, probes: int) -> np.ndarray:
+    """For each row the buckets of a table nearest to it, nearest first: the functions' axes as one number."""
+    out = near = None
+    for f in range(functions):
+        one, at = axes(turned(x, table * 64 + f), probes)
+        if out is None:
+            out, near = one.astype(np.int64), at
+            continue
+        sums = (near[:, :, None] + at[:, None, :]).reshape(len(x), -1)
+        both = (out[:, :, None] * (2 * padded(x.shape[1])) + one[:, None, :]).reshape(len(x), -1)
+        order = np.argsort(-sums, axis=1, kind="stable")[:, :probes]
+        out, near = np.take_along_axis(both, order, 1), np.take_along_axis(sums, order, 1)
+    return out
 
 
 def stacked(column: pd.Series) -> np.ndarray:
@@ -91,10 +131,9 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & F.forall(vector, finite) & F.exists(vector, lambda x: x != 0)
 
 
-def nearest(
-    rows: DataFrame, k: int = K, every: int = EVERY, tables: int = TABLES, probes: int = PROBES
-) -> DataFrame:
+def nearest(rows: DataFrame, k: int = K, every: int = EVERY, tables: int = TABLES, vectors: int = VECTORS) -> DataFrame:
     """query_id, rank, vec_id, score for the rows whose vec_id is divisible by `every`."""
+    spark = rows.sparkSession
     rows = rows.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     # + 0.0 makes negative zeros equal to others
     rows = rows.withColumn("embedding", F.transform("embedding", lambda x: x + F.lit(0.0).cast("float")))
@@ -103,91 +142,117 @@ def nearest(
     asking = rows.where(F.col("vec_id") % every == 0)
     entries = entries.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     asked = asking.select("embedding").distinct().withColumn("asks", F.lit(True))
-    entries = entries.join(asked, "embedding", "left").withColumn("entry", F.col("ids")[0])
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
+    entries = entries.join(asked, "embedding", "left").withColumns({"entry": F.col("ids")[0], "d": F.size("embedding"), "norm": norm})
     entries = materialize(entries, "entries")
-    total, n_asked = entries.agg(F.count("*"), F.count("asks")).first()
-
-    @F.pandas_udf("array<struct<t:int,b:int>>")
-    def buckets(vectors: pd.Series, wanted: pd.Series) -> pd.Series:
-        out = [None] * len(vectors)
-        sizes = vectors.map(len).to_numpy()
-        n = wanted.to_numpy()
-        for size in np.unique(sizes):
-            for probes in np.unique(n):
-                at = np.flatnonzero((sizes == size) & (n == probes))
-                if len(at):
-                    x = stacked(vectors.iloc[at])
-                    found = [axes(turned(x, t), int(probes)) for t in range(tables)]
-                    for i, row in enumerate(at):
-                        out[row] = [{"t": t, "b": int(b)} for t in range(tables) for b in found[t][i]]
-        return pd.Series(out)
-
-    spread = lambda df, n: df.select(
-        "entry", "ids", "embedding", F.size("embedding").alias("d"), F.explode(buckets("embedding", F.lit(n))).alias("x")
-    ).select("entry", "ids", "embedding", "d", "x.t", "x.b")
-    counts = spread(entries, 1).groupBy("d", "t", "b").agg(F.count("*").alias("n"))  # 2 x size x tables rows
+    per_size = materialize(
+        entries.groupBy("d").agg(F.count("*").alias("n"), F.count("asks").alias("n_asks"), F.min("norm").alias("low"), F.max("norm").alias("top")), "norms"
+    )
+    entries = entries.join(F.broadcast(per_size), "d")  # a row for each length of vectors
     block = lambda n: F.pmod(F.xxhash64("entry"), n)
 
     def meet(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(v):
-            return pd.DataFrame({"query": pd.Series(dtype="int64"), "ids": pd.Series(dtype=object), "scores": pd.Series(dtype=object)})
+            return pd.DataFrame({c: pd.Series(dtype=t) for c, t in (("query", "int64"), ("t", "int64"), ("c", "int64"), ("ids", object), ("scores", object))})
         xs, out = stacked(v["embedding"]), []
         ids = v["ids"].to_numpy()
+        longest = float(np.linalg.norm(xs, axis=1).max())
         for at in range(0, len(q), 256):
             qs = stacked(q["vector"].iloc[at : at + 256])
+            near = 1e-12 * longest * np.linalg.norm(qs, axis=1)  # rounding of a matrix product against that of single sums
             rough = qs @ xs.T
             few = min(len(xs), k + 12)
             tops = np.argpartition(-rough, few - 1, axis=1)[:, :few]
-            for one, query, top, about in zip(qs, q["query"].iloc[at : at + 256], tops, rough, strict=True):
+            for one, query, top, about, close in zip(qs, q["query"].iloc[at : at + 256], tops, rough, near, strict=True):
                 # the last place and all that equal it but for rounding
-                top = np.flatnonzero(about >= about[top].min() - 1e-9) if few < len(xs) else top
+                top = np.flatnonzero(about >= about[top].min() - close) if few < len(xs) else top
                 found, scores = best((xs[top] * one).sum(axis=1), [np.asarray(ids[x]) for x in top], k + 1)
-                out.append((query, found, scores))
-        return pd.DataFrame(out, columns=["query", "ids", "scores"])
+                out.append((query, int(v["t"].iat[0]), int(v["i"].iat[0]) // CHUNK, found, scores))
+        return pd.DataFrame(out, columns=["query", "t", "c", "ids", "scores"])
 
     keys = ["d", "t", "b", "i", "j"]
     # new columns, to tell the sides apart, and keys of one type, as cogroup hashes them as they are
     one = lambda df: df.select(*[(F.col(c).cast("long") if c in keys else F.col(c)).alias(c) for c in df.columns])
 
-    def lists(held: DataFrame, asks: DataFrame, n_asked: int) -> DataFrame:
-        """The best of each block for the queries that meet it; both have d, t, b and n, the entries there."""
-        n_blocks = F.ceil(F.col("n") / VECTORS)
-        q_blocks = F.lit(-(-max(1, n_asked) // QUERIES))
+    def lists(held: DataFrame, asks: DataFrame, n_asked) -> DataFrame:
+        """The best of each block for the queries that meet it; both have d, t, b and m, the entries there."""
+        n_blocks = F.ceil(F.col("m") / vectors)
+        q_blocks = F.greatest(F.lit(1), F.ceil(n_asked / QUERIES))
         held = held.select(
-            "d", "t", "b", block(n_blocks).alias("i"), F.explode(F.sequence(F.lit(0), q_blocks - 1)).alias("j"), "ids", "embedding"
+            "d", "t", "b", block(n_blocks).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), q_blocks - 1)).alias("j"), "ids", "embedding"
         )
         asks = asks.select(
-            "d", "t", "b", F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("i"), block(q_blocks).alias("j"),
+            "d", "t", "b", F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1)).alias("i"), block(q_blocks).alias("j"),
             F.col("entry").alias("query"), F.col("embedding").alias("vector"),
         )
         sides = one(asks).groupBy(*keys), one(held).groupBy(*keys)
-        return sides[0].cogroup(sides[1]).applyInPandas(meet, "query long, ids array<long>, scores array<double>")
+        return sides[0].cogroup(sides[1]).applyInPandas(meet, "query long, t long, c long, ids array<long>, scores array<double>")
 
-    def merge(found: pd.DataFrame) -> pd.DataFrame:
+    def merged_lists(found: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         ids, scores = np.concatenate(found["ids"].to_numpy()), np.concatenate(found["scores"].to_numpy())
         ids, first = np.unique(ids, return_index=True)
         order = np.lexsort((ids, -scores[first]))[: k + 1]
-        return pd.DataFrame({"entry": [found["query"].iat[0]], "ids": [ids[order]], "scores": [scores[first][order]]})
+        return ids[order], scores[first][order]
+
+    def merge_part(found: pd.DataFrame) -> pd.DataFrame:
+        ids, scores = merged_lists(found)
+        return pd.DataFrame({"query": [found["query"].iat[0]], "ids": [ids], "scores": [scores]})
+
+    def merge(found: pd.DataFrame) -> pd.DataFrame:
+        ids, scores = merged_lists(found)
+        return pd.DataFrame({"entry": [found["query"].iat[0]], "ids": [ids], "scores": [scores]})
+
+    def merging(found: DataFrame) -> DataFrame:
+        part = found.groupBy("query", "t", "c").applyInPandas(merge_part, "query long, ids array<long>, scores array<double>")
+        return part.groupBy("query").applyInPandas(merge, "entry long, ids array<long>, scores array<double>")
+
+    whole = lambda df: df.select("entry", "ids", "embedding", "d", F.lit(-1).alias("t"), F.lit(-1).alias("b"), F.col("n").alias("m"))
+
+    # how many probes it takes, by a sample of the queries of each length of vectors
+    order = Window.partitionBy("d").orderBy(F.xxhash64("entry"), "entry")
+    sample = materialize(entries.where("asks").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= SAMPLE), "sample")
+    exact = materialize(merging(lists(whole(entries.join(F.broadcast(sample.select("d").distinct()), "d", "left_semi")), whole(sample), F.lit(SAMPLE))), "exact")
+    functions = {r["d"]: functions_for(r["n"], r["d"], vectors) for r in per_size.collect()}
+    probes = probes_of(exact, sample, entries, tables, functions, k)
+    sent = spark.sparkContext.broadcast((functions, probes))
+
+    @F.pandas_udf("array<struct<t:int,b:long>>")
+    def buckets(embeddings: pd.Series, asking: pd.Series) -> pd.Series:
+        functions, probes = sent.value
+        out: list = [None] * len(embeddings)
+        sizes, asks = embeddings.map(len).to_numpy(), asking.to_numpy()
+        for size in np.unique(sizes):
+            for ask in (False, True):
+                at = np.flatnonzero((sizes == size) & (asks == ask))
+                n = probes[int(size)] if ask else 1
+                if len(at) and n:
+                    x = stacked(embeddings.iloc[at])
+                    found = [probed(x, t, functions[int(size)], n) for t in range(tables)]
+                    for i, row in enumerate(at):
+                        out[row] = [{"t": t, "b": int(b)} for t in range(tables) for b in found[t][i]]
+        return pd.Series(out)
 
-    merging = lambda found: found.groupBy("query").applyInPandas(merge, "entry long, ids array<long>, scores array<double>")
-    probed = lambda df, n: spread(df, n).join(F.broadcast(counts), ["d", "t", "b"])
-    merged = materialize(merging(lists(probed(entries, 1), probed(entries.where("asks"), probes), n_asked)), "merged")
+    spread = lambda df, ask: df.select(
+        "entry", "ids", "embedding", "d", F.col("n_asks"), F.explode(buckets("embedding", F.lit(ask))).alias("x")
+    ).select("entry", "ids", "embedding", "d", "n_asks", "x.t", "x.b")
+    held = spread(entries, False)
+    counts = materialize(held.groupBy("d", "t", "b").agg(F.count("*").alias("m")), "counts")
+    small = counts.count() <= FEW_BUCKETS
+    counted = lambda df: df.join(F.broadcast(counts) if small else counts, ["d", "t", "b"])
+    found = lists(counted(held), counted(spread(entries.where("asks"), True)), F.col("n_asks"))
+    merged = materialize(merging(found), "merged")
 
     # queries with too short a list, or, where norms differ, that a longer vector elsewhere could still enter
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
-    sized = entries.withColumn("d", F.size("embedding")).withColumn("norm", norm)
-    per_size = materialize(sized.groupBy("d").agg(F.count("*").alias("n"), F.min("norm").alias("low"), F.max("norm").alias("top")), "norms")
-    sized = sized.join(F.broadcast(per_size), "d")
     last = F.element_at("scores", -1)
-    short = F.size("ids") < k + 1
+    short = F.size("scores") < k + 1
     open_ = (F.col("top") > F.col("low") * (1 + NORMS)) & (last < F.col("norm") * F.col("top"))
-    again = sized.where("asks").withColumnRenamed("ids", "own").join(merged, "entry").where(short | open_).select("entry", "own", "embedding", "d", "n").withColumnRenamed("own", "ids")
-    again = materialize(again, "again")
+    lost = F.col("scores").isNull()
+    known = merged.select("entry", "scores")
+    again = materialize(entries.where("asks").join(known, "entry", "left").where(lost | short | open_).drop("scores"), "again")
     n_again = again.count()
     if n_again:
-        whole = lambda df: df.select("entry", "ids", "embedding", "d", F.lit(-1).alias("t"), F.lit(-1).alias("b"), "n")
-        exact = merging(lists(whole(sized.join(again.select("d").distinct(), "d", "left_semi")), whole(again), n_again))
-        merged = merged.join(again.select("entry"), "entry", "left_anti").unionByName(exact)
+        more = merging(lists(whole(entries.join(again.select("d").distinct(), "d", "left_semi")), whole(again), F.lit(n_again)))
+        merged = merged.join(again.select("entry"), "entry", "left_anti").unionByName(more)
     mine = asking.join(entries.where("asks").select("embedding", "entry"), "embedding").select(F.col("vec_id").alias("query_id"), "entry")
     found = mine.join(merged, "entry").select(
         "query_id",
@@ -201,5 +266,25 @@ def nearest(
     return found.select("query_id", "x.rank", "x.vec_id", "x.score")
 
 
+def probes_of(exact: DataFrame, sample: DataFrame, entries: DataFrame, tables: int, functions: dict[int, int], k: int) -> dict[int, int]:
+    """For each length of vectors the least of PROBES that finds TARGET of the sample's neighbours; 0 if none does.
+
+    At most SAMPLE queries of each length and their neighbours' vectors reach the driver.
+    """
+    pairs = exact.join(sample.select("entry", F.col("embedding").alias("q")), "entry")
+    pairs = pairs.select("entry", "q", F.explode(F.slice("ids", 1, k + 1)).alias("id")).where("id <> entry")
+    near = entries.select(F.explode("ids").alias("id"), F.col("embedding").alias("x"))
+    got = pairs.join(near, "id").select("q", "x").toPandas()
+    out = {}
+    for size, its in got.groupby(got["q"].map(len)):
+        q, x, f = stacked(its["q"]), stacked(its["x"]), functions[int(size)]
+        first = np.full(len(q), np.iinfo(np.int64).max)
+        for t in range(tables):
+            same = probed(q, t, f, max(PROBES)) == probed(x, t, f, 1)
+            first = np.minimum(first, np.where(same.any(axis=1), same.argmax(axis=1), first))
+        out[int(size)] = next((p for p in PROBES if (first < p).mean() >= TARGET), 0)
+    return {size: out.get(size, PROBES[0]) for size in functions}
+
+
 def op3(spark, sf_dir: str) -> DataFrame:
     return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
