@@ -146,7 +146,7 @@ def nearest(rows: DataFrame, k: int = K, every: int = EVERY, tables: int = TABLE
     entries = entries.join(asked, "embedding", "left").withColumns({"entry": F.col("ids")[0], "d": F.size("embedding"), "norm": norm})
     entries = materialize(entries, "entries")
     per_size = materialize(
-        entries.groupBy("d").agg(F.count("*").alias("n"), F.count("asks").alias("n_asks"), F.min("norm").alias("low"), F.max("norm").alias("top")), "norms"
+        entries.groupBy("d").agg(F.count("*").alias("n"), F.min("norm").alias("low"), F.max("norm").alias("top")), "norms"
     )
     entries = entries.join(F.broadcast(per_size), "d")  # a row for each length of vectors
     block = lambda n: F.pmod(F.xxhash64("entry"), n)
@@ -233,13 +233,15 @@ def nearest(rows: DataFrame, k: int = K, every: int = EVERY, tables: int = TABLE
         return pd.Series(out)
 
     spread = lambda df, ask: df.select(
-        "entry", "ids", "embedding", "d", F.col("n_asks"), F.explode(buckets("embedding", F.lit(ask))).alias("x")
-    ).select("entry", "ids", "embedding", "d", "n_asks", "x.t", "x.b")
-    held = spread(entries, False)
-    counts = materialize(held.groupBy("d", "t", "b").agg(F.count("*").alias("m")), "counts")
+        "entry", "ids", "embedding", "d", F.explode(buckets("embedding", F.lit(ask))).alias("x")
+    ).select("entry", "ids", "embedding", "d", "x.t", "x.b")
+    held, asks = spread(entries, False), spread(entries.where("asks"), True)
+    # the entries and the queries of each bucket that has both
+    counts = held.groupBy("d", "t", "b").agg(F.count("*").alias("m")).join(asks.groupBy("d", "t", "b").agg(F.count("*").alias("a")), ["d", "t", "b"])
+    counts = materialize(counts, "counts")
     small = counts.count() <= FEW_BUCKETS
     counted = lambda df: df.join(F.broadcast(counts) if small else counts, ["d", "t", "b"])
-    found = lists(counted(held), counted(spread(entries.where("asks"), True)), F.col("n_asks"))
+    found = lists(counted(held), counted(asks), F.col("a"))
     merged = materialize(merging(found), "merged")
 
     # queries with too short a list, or, where norms differ, that a longer vector elsewhere could still enter
