@@ -176,8 +176,8 @@ def likely(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
 
     left = sigs.select(F.col("node").alias("a"), F.col("sig").alias("sa"))
     right = sigs.select(F.col("node").alias("b"), F.col("sig").alias("sb"))
-    both = looked_up(looked_up(pairs, left, "a", F.col("b")), right, "b", F.col("a"))
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
+    # tables on both sides: adaptive execution can split the rows of a centre
+    return materialize(pairs, "pairs").join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
 
 
 def sets_of(nodes: DataFrame, docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
