@@ -34,7 +34,9 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, the checksums of the round trip, and the position in the mix."""
-    return bpe.encode(mixing.positioned(docs, ["doc_id", "text"]), carry=("position",))
+    # written first: encoding then runs beside a plain scan, not beside the sorts of the mix
+    placed = materialize(mixing.positioned(docs, ["doc_id", "text"]), "positioned")
+    return bpe.encode(placed, carry=("position",))
 
 
 STAGES = [

@@ -33,8 +33,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: Longer words and pieces seldom recur and are not kept.
 LONGEST = 64
 #: What a table of pieces or of words may hold, and what an entry takes besides its contents.
-PIECE_BYTES, WORD_BYTES, ENTRY = 60_000_000, 100_000_000, 190
-PAIRS = 500_000
+PIECE_BYTES, WORD_BYTES, ENTRY = 30_000_000, 80_000_000, 190
+PAIRS = 250_000
 TOKENIZER = "byte_bpe_50k.json"
 #: Fixed value: the byte-level cutting pattern of this kind of tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
