@@ -2,24 +2,68 @@ import random
 
 from pyspark.sql import functions as F
 
-from usagelens.operators import merge, pairing, search
+from usagelens.operators import merge, pairing, search, session, trials
 
 
 def test_identifiers(spark):
-    text = "see tokens.go. then tokens.go again -flag- /abs/path/x.txt"
-    df = spark.createDataFrame([(text,), (None,), ("return called Hello README abcd 12345",)], "t string")
-    got = [set(r[0] or []) for r in df.select(search.identifiers(F.col("t"))).collect()]
-    assert got == [{"tokens.go", "abs/path/x.txt", "x.txt"}, set(), set()]
+    text = "Open ./lib/load_rows.py, load_rows.py; HTTPServer ERRORs -retryLimit- v2.10.7 plain Words x_1 /opt/a1/zz.cfg/"
+    df = spark.createDataFrame([(text,), (None,), ("",), ("a_" * 41,)], "t string")
+    got = [r[0] or [] for r in df.select(search.identifiers(F.col("t"))).collect()]
+    assert got == [["lib/load_rows.py", "load_rows.py", "retryLimit", "v2.10.7", "opt/a1/zz.cfg", "zz.cfg"], [], [], []]
 
 
-def test_verdicts(spark):
-    rows = [(1, 0, False, 10, "parseConfig schemaV4"), (1, 1, False, 11, "otherThing9"), (1, 2, False, 12, "none here"),
-            (1, 3, True, 13, "uses parseConfig and schemaV4")]
-    rows += [(2, i, False, 20 + i, "sharedName1") for i in range(9)] + [(2, 9, True, 40, "sharedName1")]
-    df = spark.createDataFrame(rows, "file_id long, pos long, is_source boolean, block_id long, text string")
-    got = {r.block_id: r.referenced for r in search.verdicts(df).collect()}
-    assert (got[10], got[11], got[12]) == (1, 2, 0)
-    assert all(got[20 + i] == 2 for i in range(9))
+def sequential_verdicts(rows):
+    """Text by text: results wait under their identifiers until a source names these."""
+    index, results = {}, {}
+    for pos, ts, source, block, ids in rows:
+        if source:
+            for x in ids:
+                waiting = index.pop(x, [])
+                for r in waiting if len(waiting) <= search.MOST_CLAIMS else []:
+                    r["hits"].append(ts)
+        else:
+            results[block] = r = {"n": len(ids), "hits": []}
+            for x in ids:
+                index.setdefault(x, []).append(r)
+    out = {}
+    for block, r in results.items():
+        need = min(2, r["n"])
+        verdict = 0 if not need else 1 if len(r["hits"]) >= need else 0 if r["hits"] else 2
+        out[block] = (verdict, r["hits"][need - 1] if verdict == 1 else None)
+    return out
+
+
+def test_verdicts_equal_a_sequential_model(spark):
+    rng = random.Random(8)
+    rows, want = [], {}
+    for f in range(12):
+        one = []
+        for pos in range(40):
+            ids = sorted({f"name_{rng.randrange(25)}" for _ in range(rng.randrange(5))})
+            one.append((pos, pos * 10, rng.random() < 0.25, f * 100 + pos, ids))
+        rows += [(f, pos, ts, source, block, " ".join(ids)) for pos, ts, source, block, ids in one]
+        want |= sequential_verdicts(one)
+    df = spark.createDataFrame(rows, "file_id long, pos long, ts_us long, is_source boolean, block_id long, text string")
+    got = {r.block_id: (r.referenced, r.first_ref_us) for r in search.verdicts(df).collect()}
+    assert got == want and {v for v, _ in want.values()} == {0, 1, 2}
+
+
+def test_downsampled_columns_are_the_ranges_of_rows(spark):
+    n = 100
+    shown = spark.createDataFrame([(i, 1, i, i, False) for i in range(n)], "request_id long, session_id long, idx long, prompt_tokens long, compacted boolean")
+    events = spark.createDataFrame([(50, True)], "request_id long, is_event boolean")
+    got = {r["column"]: (r.prompt_tokens, r.mark) for r in session.downsampled(shown, events).collect()}
+    ranges = {c: range(c * n // 72, (c + 1) * n // 72) for c in range(72)}
+    assert got == {c: (max(its), 2 if 50 in its else 0) for c, its in ranges.items()}
+
+
+def test_percentiles_take_the_exact_index(spark):
+    rng = random.Random(2)
+    values = {"a": [3.0], "b": [1.0, 1.0, 2.0, 9.0], "c": [rng.choice([5.0, rng.random() ** 9 * 1e6]) for _ in range(3000)], "d": [None]}
+    df = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs], "arm string, x double")
+    got = {(r.arm, r.name): r.value for r in trials.percentiles(df, "arm", [("m", "x", 0.5), ("p", "x", 0.9)]).collect()}
+    at = lambda vs, p: sorted(vs)[min(int(p * len(vs) + 0.5), len(vs) - 1)]
+    assert got == {(k, name): at(vs, p) for k, vs in values.items() if k != "d" for name, p in (("m", 0.5), ("p", 0.9))}
 
 
 def test_last_wins_and_series(spark):
@@ -31,21 +75,35 @@ def test_last_wins_and_series(spark):
 
 
 def sequential(gateway, requests, window):
+    """Rows in turn: (id, ts, session, class, input, output, read, write); the chat class may fall back on what its session sent."""
     free, out = {r[0]: r for r in requests}, set()
     for g in sorted(gateway, key=lambda g: (g[1], g[0])):
-        near = [r for r in free.values() if abs(r[1] - g[1]) <= window and r[3:] == g[4:8] and (not g[2] or str(r[2]) == g[2])]
-        if near:
-            best = min(near, key=lambda r: (abs(r[1] - g[1]), r[0]))
-            out.add((g[0], best[0]))
+        i, ts, session, kind, sent, got, read, write = g
+        if sent is None or got is None or not (kind == "anthropic" or (kind == "chat" and session)):
+            continue
+        read, write = read or 0, write or 0
+        near = [r for r in free.values() if abs(r[1] - ts) <= window and r[4] == got and (not session or str(r[2]) == session)]
+        fit = [r for r in near if (r[3], r[5] or 0, r[6] or 0) == (sent, read, write)]
+        if not fit and kind == "chat":
+            fit = [r for r in near if r[3] + (r[5] or 0) in (sent, sent + read)]
+        if fit:
+            best = min(fit, key=lambda r: (abs(r[1] - ts), r[0]))
+            out.add((i, best[0]))
             del free[best[0]]
     return out
 
 
 def test_pairing_is_the_sequential_greedy(spark):
     rng = random.Random(3)
-    req = [(i, rng.randrange(100) * 10**8, rng.randrange(3), 1, rng.randrange(3), 7, 7) for i in range(60)]
-    gw = [(i, rng.randrange(100) * 10**8, rng.choice(["", "0", "1"]), "anthropic", 1, rng.randrange(3), 7, 7) for i in range(60)]
-    usage = "input_tokens long, output_tokens long, cache_read long, cache_write long"
-    r = spark.createDataFrame(req, f"request_id long, ts_us long, session_id long, {usage}")
-    g = spark.createDataFrame(gw, f"pg_id long, ts_us long, session_id string, api_class string, {usage}").withColumn("status", F.lit(200))
-    assert {(x.pg_id, x.request_id) for x in pairing.pair(g, r).collect()} == sequential(gw, req, pairing.WINDOW_US)
+    usage = lambda: (rng.randrange(3), rng.randrange(2), rng.choice([0, 1, 2, None]), rng.choice([0, 1, None]))
+    req = [(i, rng.randrange(60) * 10**8, rng.randrange(3), *usage()) for i in range(300)]
+    gw = [(i, rng.randrange(60) * 10**8, rng.choice(["", "0", "1"]), rng.choice(["anthropic", "chat", "other"]), *usage()) for i in range(300)]
+    gw = [(*g[:4], None if g[0] % 23 == 0 else g[4], *g[5:]) for g in gw]
+    columns = "input_tokens long, output_tokens long, cache_read long, cache_write long"
+    r = spark.createDataFrame(req, f"request_id long, ts_us long, session_id long, {columns}")
+    g = spark.createDataFrame(gw, f"pg_id long, ts_us long, session_id string, api_class string, {columns}").withColumn("status", F.lit(200))
+    got = {(x.pg_id, x.request_id) for x in pairing.pair(g, r).collect()}
+    assert got == sequential(gw, req, pairing.WINDOW_US) and len(got) > 50
+    kinds = {x[0]: (x[3], x[4]) for x in gw}
+    exact = {x[0]: x[3] for x in req}
+    assert any(kinds[p][0] == "chat" and exact[q] != kinds[p][1] for p, q in got)  # the fallback takes part

@@ -44,8 +44,8 @@ def series_latest(rows: DataFrame) -> DataFrame:
 
 
 def attribute_results(blocks: DataFrame) -> DataFrame:
-    """Each tool_result with the tool of the latest tool_use before it in its file."""
-    upto = Window.partitionBy("file_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    """Each tool_result with the tool of the latest tool_use of its id before it in its file."""
+    upto = Window.partitionBy("file_id", "tool_use_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     use = F.when(F.col("kind") == "tool_use", F.struct("block_id", "tool"))
-    rows = blocks.withColumn("_u", F.last(use, ignorenulls=True).over(upto)).where(F.col("kind") == "tool_result")
+    rows = blocks.where("kind IN ('tool_use', 'tool_result')").withColumn("_u", F.last(use, ignorenulls=True).over(upto)).where(F.col("kind") == "tool_result")
     return rows.select("block_id", "file_id", F.col("_u.block_id").alias("use_id"), F.coalesce("_u.tool", F.lit("")).alias("used_tool"))

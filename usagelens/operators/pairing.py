@@ -21,10 +21,13 @@ def pair(gateway: DataFrame, requests: DataFrame, window_us: int = WINDOW_US) ->
     number of output tokens that no gap over the window divides form an island; islands don't
     affect each other and each is gone through in gateway order.
     """
-    fit = (F.col("status") == 200) & F.col("output_tokens").isNotNull() & ((F.col("api_class") == "anthropic") | (F.col("session_id") != ""))
-    g = gateway.where(fit).select(F.lit(True).alias("g"), F.col("pg_id").alias("id"), "ts_us", "session_id", "api_class", *USAGE)
+    chat = (F.col("api_class") == "chat") & (F.col("session_id") != "")
+    fit = (F.col("status") == 200) & F.col("input_tokens").isNotNull() & F.col("output_tokens").isNotNull() & ((F.col("api_class") == "anthropic") | chat)
+    cached = [F.coalesce(c, F.lit(0)).alias(c) for c in USAGE[2:]]  # what isn't reported is none
+    session = F.coalesce("session_id", F.lit("")).alias("session_id")
+    g = gateway.where(fit).select(F.lit(True).alias("g"), F.col("pg_id").alias("id"), "ts_us", session, "api_class", *USAGE[:2], *cached)
     r = requests.where(F.col("output_tokens").isNotNull()).select(
-        F.lit(False).alias("g"), F.col("request_id").alias("id"), "ts_us", F.col("session_id").cast("string").alias("session_id"), F.lit("").alias("api_class"), *USAGE
+        F.lit(False).alias("g"), F.col("request_id").alias("id"), "ts_us", F.col("session_id").cast("string").alias("session_id"), F.lit("").alias("api_class"), *USAGE[:2], *cached
     )
     by = Window.partitionBy("output_tokens").orderBy("ts_us", "g", "id")
     gap = F.col("ts_us") - F.lag("ts_us").over(by)
@@ -69,8 +72,8 @@ def pair(gateway: DataFrame, requests: DataFrame, window_us: int = WINDOW_US) ->
             yield pd.DataFrame(out, columns=["pg_id", "request_id", "skew_us"])
         yield pd.DataFrame(list(greedy(held)), columns=["pg_id", "request_id", "skew_us"])
 
-    # the window has dealt the rows by output_tokens and sorted them, so neither a shuffle nor a sort is added
-    ordered = line.sortWithinPartitions("output_tokens", "ts_us", "g", "id")
+    # dealt by island, so that a common number of output tokens is many tasks' work
+    ordered = line.repartition("output_tokens", "island").sortWithinPartitions("output_tokens", "island", "ts_us", "g", "id")
     return ordered.mapInPandas(run, "pg_id long, request_id long, skew_us long")
 
 

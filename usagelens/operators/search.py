@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,11 +35,6 @@ def snippet(text: Column, query: str, around: int = AROUND) -> Column:
     return F.concat(F.when(begin > 1, "…").otherwise(""), cut, F.when(end < F.length(text), "…").otherwise(""))
 
 
-def plain(query: str) -> bool:
-    """Whether raw text can be searched before it is parsed: JSON would not escape the query."""
-    return re.fullmatch(r"[ -~]+", query) is not None and not set(query) & set('"\\<>&')
-
-
 def search(blocks: DataFrame, query: str, hits: int = HITS) -> DataFrame:
     """The first hits of each session, with the session's number of matches."""
     found = blocks.where(F.lower("text").contains(query.lower()))  # before anything is sorted
@@ -62,32 +55,37 @@ def search_sessions(sessions: DataFrame, blocks: DataFrame, query: str, limit: i
 
 
 def identifiers(text: Column) -> Column:
-    """Distinct distinctive identifiers of a text, base names of paths included."""
-    runs = F.transform(F.regexp_extract_all(text, F.lit("[A-Za-z0-9_./-]+"), F.lit(0)), lambda x: F.regexp_replace(x, "^[./-]+|[./-]+$", ""))
-    names = F.transform(F.filter(runs, lambda x: x.contains("/")), lambda x: F.substring_index(x, "/", -1))
-    distinctive = lambda x: (
-        F.length(x).between(5, 80) & x.rlike("[A-Za-z]") & x.rlike("[0-9_./-]|[a-z][A-Z]|[A-Z]{2,}[a-z]")
-    )
-    return F.array_distinct(F.filter(F.concat(runs, names), distinctive))
+    """Distinct distinctive identifiers of a text in their order, a path's base name right after it."""
+    trimmed = lambda x: F.array(F.regexp_replace(x, "^[./-]+|[./-]+$", ""))
+    # the inner transform over a one-element array lets each run be trimmed once
+    named = lambda x: F.transform(trimmed(x), lambda t: F.array(t, F.when(t.contains("/"), F.substring_index(t, "/", -1))))
+    found = F.flatten(F.flatten(F.transform(F.regexp_extract_all(text, F.lit("[A-Za-z0-9_./-]+"), F.lit(0)), named)))
+    distinctive = lambda x: F.length(x).between(5, 80) & x.rlike("[A-Za-z]") & x.rlike("[0-9_./-]|[a-z][A-Z]")
+    return F.array_distinct(F.filter(found, distinctive))
 
 
 def verdicts(events: DataFrame) -> DataFrame:
-    """Whether later text took up what a result brought: 1 referenced, 2 not, 0 unknown.
+    """Whether later text took up what a result brought: 1 referenced, 2 not, 0 unknown, and when.
 
-    events: file_id, pos, is_source, block_id, text. An identifier first seen in a later source
-    credits the results that brought it, unless more than MOST_CLAIMS did, and starts anew.
+    events: file_id, pos, ts_us, is_source, block_id, text. An identifier first seen in a later
+    source credits the results that brought it, unless more than MOST_CLAIMS did, and starts
+    anew. Two windows over one partitioning: texts are read and taken apart once.
     """
     ids = F.slice(identifiers(F.col("text")), 1, MOST_IDENTIFIERS)
-    rows = events.select("file_id", "pos", "is_source", "block_id", F.explode(ids).alias("id"))
-    results = events.where("not is_source").select("file_id", "block_id")
+    ids = F.when(F.col("is_source"), identifiers(F.col("text"))).otherwise(ids)
+    rows = events.select("file_id", "pos", "ts_us", "is_source", "block_id", F.explode_outer(ids).alias("id"))
+    source = F.col("is_source").cast("long")
     before = Window.partitionBy("file_id", "id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("epoch", F.coalesce(F.sum(F.col("is_source").cast("long")).over(before), F.lit(0)))
-    per = rows.groupBy("file_id", "id", "epoch").agg(
-        F.max(F.col("is_source")).alias("closed"), F.sum((~F.col("is_source")).cast("long")).alias("claims")
-    )
-    hit = rows.where("not is_source").join(per, ["file_id", "id", "epoch"])
-    hit = hit.withColumn("hit", (F.col("closed") & (F.col("claims") <= MOST_CLAIMS)).cast("long"))
-    counts = hit.groupBy("file_id", "block_id").agg(F.count("*").alias("ids"), F.sum("hit").alias("hits"))
-    out = results.join(counts, ["file_id", "block_id"], "left")
-    verdict = F.when(F.col("hits") >= F.least(F.lit(2), F.col("ids")), 1).when(F.col("hits") == 0, 2).otherwise(0)
-    return out.select("file_id", "block_id", F.coalesce("ids", F.lit(0)).alias("ids"), F.coalesce("hits", F.lit(0)).alias("hits"), verdict.alias("referenced"))
+    rows = rows.withColumn("epoch", F.coalesce(F.sum(source).over(before), F.lit(0)))
+    same = Window.partitionBy("file_id", "id", "epoch")
+    rows = rows.select(
+        "*", F.min(F.when(F.col("is_source"), F.struct("pos", "ts_us"))).over(same).alias("by"), F.sum(1 - source).over(same).alias("claims")
+    ).where("not is_source")
+    hit = F.col("id").isNotNull() & F.col("by").isNotNull() & (F.col("claims") <= MOST_CLAIMS)
+    out = rows.groupBy("file_id", "block_id").agg(F.count("id").alias("ids"), F.sort_array(F.collect_list(F.when(hit, F.col("by")))).alias("h"))
+    hits, need = F.size("h"), F.least(F.lit(2), F.col("ids")).cast("int")
+    verdict = F.when(F.col("ids") == 0, 0).when(hits >= need, 1).when(hits == 0, 2).otherwise(0)
+    return out.select(
+        "file_id", "block_id", "ids", hits.cast("long").alias("hits"), verdict.alias("referenced"),
+        F.when(verdict == 1, F.get("h", need - 1)["ts_us"]).alias("first_ref_us"),
+    )

@@ -78,6 +78,6 @@ def downsampled(shown: DataFrame, events: DataFrame, columns: int = COLUMNS) ->
     rows = shown.join(events.where("is_event").select("request_id", F.lit(2).alias("e")), "request_id", "left")
     every = Window.partitionBy("session_id")
     rows = rows.withColumn("n", F.count("*").over(every))
-    column = F.when(F.col("n") <= columns, F.col("idx")).otherwise(F.floor(F.col("idx") * columns / F.col("n"))).cast("long")
+    column = F.when(F.col("n") <= columns, F.col("idx")).otherwise(F.expr(f"((idx + 1) * {columns} - 1) div n")).cast("long")
     mark = F.coalesce("e", F.when(F.col("compacted"), 1).otherwise(0))
     return rows.groupBy("session_id", column.alias("column")).agg(F.max("prompt_tokens").alias("prompt_tokens"), F.max(mark).alias("mark"))

@@ -2,38 +2,82 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from usagelens.operators.rollup import by_prefix
 
-def percentile(values: Column, p: float) -> Column:
-    """The value at floor(p n + 1/2), counted from 0 and at most the last: with three values the median is the largest."""
-    s = F.sort_array(values)
-    return F.get(s, F.least(F.floor(F.size(s) * p + 0.5).cast("int"), F.size(s) - 1))
 
+#: Measure, column, share: each arm's value at floor(p n + 1/2), counted from 0 and at most the last.
+MEASURES = [
+    ("p50_ms", "duration_ms", 0.5), ("p90_ms", "duration_ms", 0.9), ("p50_input", "input_tokens", 0.5), ("p50_output", "output_tokens", 0.5),
+    ("p50_cache_read", "cache_read", 0.5), ("p50_cache_write", "cache_write", 0.5), ("p50_cost", "cost_usd", 0.5),
+]
+STEPS = 1000
 
-def compare(trials: DataFrame) -> DataFrame:
-    """Per arm: trials, passes, and percentiles of duration and cost. Values are counted before they are listed."""
-    done = F.col("status").isin("ok", "fail")
-    return trials.groupBy("arm").agg(
-        F.count("*").alias("trials"), F.sum(done.cast("long")).alias("done"), F.sum((F.col("status") == "ok").cast("long")).alias("passed"),
-        percentile(F.collect_list(F.when(done, F.col("duration_ms"))), 0.5).alias("p50_ms"),
-        percentile(F.collect_list(F.when(done, F.col("duration_ms"))), 0.9).alias("p90_ms"),
-        percentile(F.collect_list(F.when(done, F.col("cost_usd"))), 0.5).alias("p50_cost"),
+
+def percentiles(rows: DataFrame, key: str, measures: list[tuple[str, str, float]]) -> DataFrame:
+    """key, name, value: for each measure the value at its exact index, nulls aside.
+
+    A sketch (off by a tenth of a step at most) brackets the index; values below the bracket are
+    counted, the few within it ranked. So no group's values meet in one task.
+    """
+    columns = sorted({c for _, c, _ in measures})
+    long = rows.select(key, F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x"))
+    long = long.select(key, "x.c", "x.v").where("v IS NOT NULL")
+    values = long.groupBy(key, "c", "v").agg(F.count("*").alias("w"))
+    shares = [i / STEPS for i in range(STEPS + 1)]
+    stats = long.groupBy(key, "c").agg(F.count("*").alias("n"), F.percentile_approx("v", shares, 10 * STEPS).alias("q"))
+    wanted = F.explode(F.filter(F.array(*[F.struct(F.lit(m).alias("name"), F.lit(c).alias("c"), F.lit(p).alias("p")) for m, c, p in measures]), lambda x: x["c"] == F.col("c")))
+    stats = stats.select(key, "c", "n", "q", wanted.alias("x")).select(
+        key, "c", "n", "q", F.col("x.name").alias("name"), F.least(F.floor(F.col("x.p") * F.col("n") + 0.5), F.col("n") - 1).alias("at")
+    )
+    step = lambda x: F.greatest(F.lit(0), F.least(F.lit(STEPS), x)).cast("int")
+    stats = stats.select(
+        key, "c", "name", "at", F.get("q", step(F.floor((F.col("at") - 1) / F.col("n") * STEPS) - 1)).alias("low"),
+        F.get("q", step(F.ceil((F.col("at") + 2) / F.col("n") * STEPS) + 1)).alias("high"),
     )
+    near = values.join(F.broadcast(stats), [key, "c"]).where("v <= high")  # a row for each measure of each arm
+    inside = F.when(F.col("v") >= F.col("low"), F.col("v"))  # null: below
+    near = near.groupBy(key, "name", inside.alias("v")).agg(F.sum("w").alias("w"), F.first("at").alias("at"))
+    by = Window.partitionBy(key, "name").orderBy(F.asc_nulls_first("v"))
+    near = near.withColumn("upto", F.sum("w").over(by)).where("v IS NOT NULL AND upto > at")
+    return near.groupBy(key, "name").agg(F.min("v").alias("value"))
 
 
-def usage(trials: DataFrame, requests: DataFrame, price: float = 1e-6) -> DataFrame:
-    """Trial cost: as reported, else priced tokens of its session if there are any, else null."""
-    spent = requests.groupBy("session_id").agg(F.sum("output_tokens").alias("tokens"))
+def compare(used: DataFrame) -> DataFrame:
+    """Per arm: trials, passes, percentiles of duration over finished trials, of tokens over those with usage, of cost over all that have one.
+
+    used: the trials with what `usage` adds.
+    """
+    done = F.col("status").isin("ok", "fail")
+    counts = used.groupBy("arm").agg(
+        F.count("*").alias("trials"), F.sum(done.cast("long")).alias("done"), F.sum((F.col("status") == "ok").cast("long")).alias("passed")
+    )
+    found = percentiles(used.withColumn("duration_ms", F.when(done, F.col("duration_ms"))), "arm", MEASURES)
+    kind = lambda name: "double" if name == "p50_cost" else "long"
+    wide = found.groupBy("arm").agg(*[F.max(F.when(F.col("name") == m, F.col("value"))).cast(kind(m)).alias(m) for m, _, _ in MEASURES])
+    return counts.join(wide, "arm", "left")
+
+
+def usage(trials: DataFrame, requests: DataFrame) -> DataFrame:
+    """Trials with the tokens of their session (null without requests) and their cost: as reported, else what its requests cost if that is over 0."""
+    sums = [F.sum(c).alias(c) for c in ("input_tokens", "output_tokens", "cache_read", "cache_write")]
+    spent = requests.groupBy("session_id").agg(*sums, F.sum("cost_usd").alias("_cost"))
     rows = trials.join(spent, "session_id", "left")
-    guess = F.when(F.col("tokens") > 0, F.col("tokens") * price)
-    return rows.select("trial_id", "arm", F.coalesce("cost_usd", guess).alias("cost_usd"), F.coalesce("tokens", F.lit(0)).alias("tokens"))
+    return rows.withColumn("cost_usd", F.coalesce("cost_usd", F.when(F.col("_cost") > 0, F.col("_cost")))).drop("_cost")
 
 
-def runs(trials: DataFrame, limit: int = 20) -> DataFrame:
+def runs(trials: DataFrame, limit: int | None = 20) -> DataFrame:
     done = F.col("status").isin("ok", "fail").cast("long")
-    return trials.groupBy("run_id").agg(F.count("*").alias("trials"), F.sum(done).alias("done")).orderBy(F.desc("run_id")).limit(limit)
+    found = trials.groupBy("run_id").agg(F.count("*").alias("trials"), F.sum(done).alias("done"))
+    return found if limit is None else found.orderBy(F.desc("run_id")).limit(limit)
+
+
+def run_by_prefix(trials: DataFrame, prefix: str) -> DataFrame:
+    """The newest of all runs whose number begins with the prefix; only its trials are counted."""
+    newest = by_prefix(trials.select("run_id"), prefix, "run_id").agg(F.max("run_id").alias("run_id"))
+    return runs(trials.join(F.broadcast(newest), "run_id"), None)  # one row
 
 
 def failed_checks(trials: DataFrame) -> DataFrame:

@@ -37,6 +37,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(bad, 0).otherwise((eid % 11) * 400).cast("long").alias("cache_write"),
         F.when(eid % 3 != 0, (eid % 2) * 1000).cast("long").alias("write_5m"),
         F.when(eid % 3 != 0, F.lit(500)).cast("long").alias("write_1h"),
+        ((eid % 8) / 8).alias("cost_usd"),
     )
 
 
@@ -75,6 +76,7 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(tooled, tool).otherwise("").alias("tool"),
             F.when(tooled, F.regexp_extract(tool, "^mcp__(.*?)__", 1)).otherwise("").alias("mcp_server"),
             F.when(tooled & (conv % 4 == 0), F.concat(F.lit("/p/f"), (conv % 7).cast("string"))).otherwise("").alias("file_path"),
+            F.when(tooled, F.expr("turn div 8")).alias("tool_use_id"),
             size.alias("byte_len"),
             F.expr("(octet_length(text) + 3) div 4").alias("est_tokens"),
             F.substring(F.sha2(text, 256), 1, 16).alias("content_hash"),
@@ -105,7 +107,7 @@ def gateway(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = requests(spark, sf_dir)
     turn = F.row_number().over(Window.partitionBy("session_id", "model").orderBy("ts_us", "request_id"))
     i = F.col("request_id")
-    r = r.withColumn("k", F.least(turn, F.lit(40))).where((i % 4 != 0) & ~((F.col("model") == "haiku") & (i % 3 == 0)))
+    r = r.withColumn("k", turn).where((i % 4 != 0) & ~((F.col("model") == "haiku") & (i % 3 == 0)))
     mark = lambda x: F.concat(
         F.lit("m"), x.cast("string"),
         F.when((i % 13 == 0) & (x == F.expr("k div 2")), "X").otherwise(""),
@@ -188,7 +190,7 @@ VIEWS = f"""WITH v_request AS (SELECT event_id AS request_id, user_id AS session
   CAST(CASE WHEN event_type = 'error' THEN 0 WHEN event_id % 7 = 0 THEN 1000 ELSE 20000 + (event_id % 5) * 500 END AS BIGINT) AS cache_read,
   CAST(CASE WHEN event_type = 'error' THEN 0 ELSE (event_id % 11) * 400 END AS BIGINT) AS cache_write,
   CAST(CASE WHEN event_id % 3 <> 0 THEN (event_id % 2) * 1000 END AS BIGINT) AS write_5m,
-  CAST(CASE WHEN event_id % 3 <> 0 THEN 500 END AS BIGINT) AS write_1h FROM events),
+  CAST(CASE WHEN event_id % 3 <> 0 THEN 500 END AS BIGINT) AS write_1h, (event_id % 8)::DOUBLE / 8 AS cost_usd FROM events),
 v_compaction AS (SELECT DISTINCT session_id, ts_us FROM v_request WHERE request_id % 25 = 0),
 v_block0 AS (SELECT *, CASE WHEN role = 'system' THEN 'meta_text' WHEN role = 'user' AND turn % 4 = 2 THEN 'tool_result' WHEN role = 'user' THEN 'user_text'
   WHEN turn % 4 = 3 THEN 'thinking' WHEN turn % 6 = 5 THEN 'tool_use' ELSE 'assistant_text' END AS kind,
@@ -198,12 +200,12 @@ v_block AS (SELECT conv_id * 1000 + turn AS block_id, conv_id % 150 AS session_i
   CASE WHEN kind IN ('tool_use','tool_result') THEN t ELSE '' END AS tool,
   CASE WHEN kind IN ('tool_use','tool_result') AND t LIKE 'mcp%' THEN 'kb' ELSE '' END AS mcp_server,
   CASE WHEN kind IN ('tool_use','tool_result') AND conv_id % 4 = 0 THEN '/p/f' || (conv_id % 7) ELSE '' END AS file_path,
-  strlen(text)::BIGINT AS byte_len, ((strlen(text) + 3) // 4)::BIGINT AS est_tokens, substr(sha256(text), 1, 16) AS content_hash,
+  CASE WHEN kind IN ('tool_use','tool_result') THEN turn // 8 END AS tool_use_id, strlen(text)::BIGINT AS byte_len, ((strlen(text) + 3) // 4)::BIGINT AS est_tokens, substr(sha256(text), 1, 16) AS content_hash,
   turn % 5 = 4 AS is_error, (conv_id % 3)::INT AS referenced, text FROM v_block0),
 v_session AS (SELECT r.session_id, coalesce(n_name, '') AS project, 'S-' || r.session_id AS slug,
   CASE WHEN r.session_id % 2 = 0 THEN 'Task ' || r.session_id ELSE '' END AS title, min(ts_us) AS started_us, max(ts_us) AS ended_us
   FROM v_request r LEFT JOIN nation ON r.session_id % 25 = n_nationkey GROUP BY ALL),
-v_gw0 AS (SELECT *, least(row_number() OVER (PARTITION BY session_id, model ORDER BY ts_us, request_id), 40) AS k FROM v_request),
+v_gw0 AS (SELECT *, row_number() OVER (PARTITION BY session_id, model ORDER BY ts_us, request_id) AS k FROM v_request),
 v_gw AS (SELECT request_id AS pg_id, ts_us - (request_id % 120) * 1000000 AS ts_us, CASE WHEN request_id % 3 = 0 THEN '' ELSE session_id::VARCHAR END AS session_id,
   session_id AS owner, model, CASE WHEN model = 'haiku' THEN 'chat' ELSE 'anthropic' END AS api_class, 200 AS status,
   input_tokens, output_tokens, cache_read, cache_write, write_5m, write_1h,

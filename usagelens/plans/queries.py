@@ -230,7 +230,7 @@ for _name, _col in (("tools", "tool"), ("files", "file_path")):
 register(
     "timeline_downsample", lambda t: session.downsampled(session.points(t.requests, t.compactions), t.transitions),
     _POINTS + _CACHE + """, TD AS (SELECT PX.*, count(*) OVER (PARTITION BY PX.session_id) AS n, CASE WHEN e.request_id IS NOT NULL THEN 2 WHEN compacted THEN 1 ELSE 0 END AS m FROM PX LEFT JOIN (SELECT request_id FROM CT WHERE is_event) e ON e.request_id = PX.request_id)
-    SELECT session_id, (CASE WHEN n <= 72 THEN idx ELSE idx * 72 // n END)::BIGINT AS "column", max(prompt_tokens) AS prompt_tokens, max(m) AS mark FROM TD GROUP BY 1, 2""",
+    SELECT session_id, (CASE WHEN n <= 72 THEN idx ELSE ((idx + 1) * 72 - 1) // n END)::BIGINT AS "column", max(prompt_tokens) AS prompt_tokens, max(m) AS mark FROM TD GROUP BY 1, 2""",
 )
 
 # merges
@@ -260,18 +260,16 @@ register(
 )
 register(
     "tool_attribution", lambda t: merge.attribute_results(t.blocks),
-    "SELECT b.block_id, b.file_id, arg_max(u.block_id, u.pos) AS use_id, coalesce(arg_max(u.tool, u.pos), '') AS used_tool FROM v_block b LEFT JOIN v_block u ON u.file_id = b.file_id AND u.kind = 'tool_use' AND u.pos < b.pos WHERE b.kind = 'tool_result' GROUP BY 1, 2",
+    "SELECT b.block_id, b.file_id, arg_max(u.block_id, u.pos) AS use_id, coalesce(arg_max(u.tool, u.pos), '') AS used_tool FROM v_block b LEFT JOIN v_block u ON u.file_id = b.file_id AND u.tool_use_id = b.tool_use_id AND u.kind = 'tool_use' AND u.pos < b.pos WHERE b.kind = 'tool_result' GROUP BY 1, 2",
 )
 
 # pairing: greedy claims are beyond SQL; the tests hold them against a sequential model
-_transcript = lambda t: t.requests.where("request_id % 10 <> 5")
-register("gw_pairing", lambda t: pairing.pair(t.gateway, _transcript(t)), None)
-register("model_totals", lambda t: rollup.model_totals(_transcript(t), t.gateway, pairing.pair(t.gateway, _transcript(t))), None)
-_few = lambda t: t.requests.where("request_id % 40 = 7")  # noqa: E731  short transcripts, so that the gateway adds sessions
-register(
-    "model_sessions", lambda t: rollup.model_sessions(_few(t), t.gateway, _few(t).select(F.col("request_id").alias("pg_id"), "request_id"), t.sessions, "opus"),
-    """, S AS (SELECT session_id, input_tokens, output_tokens, ts_us, 'transcript' AS via FROM v_request WHERE model = 'opus' AND request_id % 40 = 7),
-    G AS (SELECT owner AS session_id, input_tokens, output_tokens, ts_us, 'router' AS via FROM v_gw WHERE model = 'opus' AND (session_id <> '' OR pg_id % 40 = 7) AND owner NOT IN (SELECT session_id FROM S)),
+register("gw_pairing", lambda t: pairing.pair(t.gateway, t.requests), None)
+register("model_totals", lambda t: rollup.model_totals(t.requests, t.gateway, pairing.pair(t.gateway, t.requests)), None)
+register(
+    "model_sessions", lambda t: rollup.model_sessions(t.requests, t.gateway, pairing.pair(t.gateway, t.requests), t.sessions, "opus"),
+    """, S AS (SELECT session_id, input_tokens, output_tokens, ts_us, 'transcript' AS via FROM v_request WHERE model = 'opus'),
+    G AS (SELECT owner AS session_id, input_tokens, output_tokens, ts_us, 'router' AS via FROM v_gw WHERE model = 'opus' AND session_id <> '' AND owner NOT IN (SELECT session_id FROM S)),
     B AS (SELECT session_id, count(*) AS requests, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens, max(ts_us) AS last_us, via FROM (SELECT * FROM S UNION ALL SELECT * FROM G) GROUP BY session_id, via)
     SELECT B.*, title, project FROM B JOIN v_session s ON s.session_id = B.session_id ORDER BY last_us DESC, B.session_id::VARCHAR LIMIT 100""",
 )
@@ -280,8 +278,8 @@ register(
     "SELECT pg_id, ts_us FROM v_gw, (SELECT min(ts_us) - 1800000000 AS lo, max(ts_us) + 1800000000 AS hi FROM v_request WHERE request_id > 4000) WHERE pg_id % 2 <> 1 AND (pg_id > 5000 OR ts_us BETWEEN lo AND hi)",
 )
 register(
-    "otel_crosscheck", lambda t: t.gateway.where("pg_id % 2 = 0").alias("e").join(_transcript(t).alias("r"), F.expr("e.pg_id = r.request_id"), "left").agg(F.count("*").alias("events"), F.count("r.request_id").alias("matched"), F.sum("e.output_tokens").alias("event_output"), F.sum("r.output_tokens").alias("request_output")),
-    "SELECT count(*) AS events, count(r.request_id) AS matched, sum(e.output_tokens)::BIGINT AS event_output, sum(r.output_tokens)::BIGINT AS request_output FROM v_gw e LEFT JOIN v_request r ON r.request_id = e.pg_id AND r.request_id % 10 <> 5 WHERE e.pg_id % 2 = 0",
+    "otel_crosscheck", lambda t: t.gateway.alias("e").join(t.requests.alias("r"), F.expr("e.pg_id = r.request_id"), "left").agg(F.count("*").alias("events"), F.count("r.request_id").alias("matched"), F.sum("e.output_tokens").alias("event_output"), F.sum("r.output_tokens").alias("request_output")),
+    "SELECT count(*) AS events, count(r.request_id) AS matched, sum(e.output_tokens)::BIGINT AS event_output, sum(r.output_tokens)::BIGINT AS request_output FROM v_gw e LEFT JOIN v_request r ON r.request_id = e.pg_id",
 )
 
 # search and transcripts
@@ -307,38 +305,42 @@ register(
     SELECT N.session_id, slug, last_us, coalesce(m, 0) AS matches, (SELECT count(*) FROM N) = 80 AS truncated FROM N LEFT JOIN (SELECT session_id, count(*) AS m FROM v_block WHERE contains(lower(text), 'the ') GROUP BY 1) q ON q.session_id = N.session_id
     WHERE coalesce(m, 0) > 0 OR contains(lower(title), 'the ') OR contains(lower(slug), 'the ')""",
 )
+_TOKENS = "SELECT doc_id, flatten(list_transform(list_transform(regexp_extract_all(text, '[A-Za-z0-9_./-]+'), lambda x: regexp_replace(x, '^[./-]+|[./-]+$', '', 'g')), lambda x: CASE WHEN contains(x, '/') THEN [x, string_split(x, '/')[-1]] ELSE [x] END)) AS l FROM documents"
+_DISTINCTIVE = "length(id) BETWEEN 5 AND 80 AND regexp_matches(id, '[A-Za-z]') AND regexp_matches(id, '[0-9_./-]|[a-z][A-Z]')"
 register(
     "identifiers", lambda t: t.raw("documents").select("doc_id", F.explode(search.identifiers(F.col("text"))).alias("identifier")),
-    """, R AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9_./-]+'), lambda x: regexp_replace(x, '^[./-]+|[./-]+$', '', 'g')) AS r FROM documents),
-    I AS (SELECT DISTINCT doc_id, unnest(list_concat(r, list_transform(list_filter(r, lambda x: contains(x, '/')), lambda x: string_split(x, '/')[-1]))) AS identifier FROM R)
-    SELECT doc_id, identifier FROM I WHERE length(identifier) BETWEEN 5 AND 80 AND regexp_matches(identifier, '[A-Za-z]') AND regexp_matches(identifier, '[0-9_./-]|[a-z][A-Z]|[A-Z]{2,}[a-z]')""",
+    f", A AS ({_TOKENS}) SELECT doc_id, id AS identifier FROM (SELECT DISTINCT doc_id, unnest(l) AS id FROM A) WHERE {_DISTINCTIVE}",
 )
 _EVENTS = lambda t: t.raw("documents").select(
-    (F.col("doc_id") % 40).alias("file_id"), F.col("doc_id").alias("pos"), (F.col("doc_id") % 3 == 0).alias("is_source"), F.col("doc_id").alias("block_id"), "text"
-)
+    (F.col("doc_id") % 40).alias("file_id"), F.col("doc_id").alias("pos"), (a.EPOCH_US + F.col("doc_id") * 1000000).alias("ts_us"),
+    (F.col("doc_id") % 3 == 0).alias("is_source"), F.col("doc_id").alias("block_id"), "text",
+)
 register(
     "reference_verdicts", lambda t: search.verdicts(_EVENTS(t)),
-    """, R AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9_./-]+'), lambda x: regexp_replace(x, '^[./-]+|[./-]+$', '', 'g')) AS r FROM documents),
-    A AS (SELECT doc_id, list_concat(r, list_transform(list_filter(r, lambda x: contains(x, '/')), lambda x: string_split(x, '/')[-1])) AS l FROM R),
-    I AS (SELECT doc_id, id FROM (SELECT doc_id, unnest(l) AS id, unnest(range(1, len(l) + 1)) AS i FROM A) WHERE length(id) BETWEEN 5 AND 80 AND regexp_matches(id, '[A-Za-z]') AND regexp_matches(id, '[0-9_./-]|[a-z][A-Z]|[A-Z]{2,}[a-z]') GROUP BY doc_id, id QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY min(i)) <= 800),
+    f""", A AS ({_TOKENS}),
+    I AS (SELECT doc_id, id FROM (SELECT doc_id, unnest(l) AS id, unnest(range(1, len(l) + 1)) AS i FROM A) WHERE {_DISTINCTIVE} GROUP BY doc_id, id QUALIFY doc_id % 3 = 0 OR row_number() OVER (PARTITION BY doc_id ORDER BY min(i)) <= 800),
     E AS (SELECT doc_id % 40 AS file_id, doc_id AS pos, doc_id % 3 = 0 AS src, id, coalesce(sum((doc_id % 3 = 0)::INT) OVER (PARTITION BY doc_id % 40, id ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS epoch FROM I),
-    P AS (SELECT file_id, id, epoch, bool_or(src) AS closed, count(*) FILTER (NOT src) AS claims FROM E GROUP BY ALL),
-    H AS (SELECT E.file_id, pos, count(*) AS ids, count(*) FILTER (closed AND claims <= 8) AS hits FROM E JOIN P ON P.file_id = E.file_id AND P.id = E.id AND P.epoch = E.epoch WHERE NOT src GROUP BY 1, 2)
-    SELECT doc_id % 40 AS file_id, doc_id AS block_id, coalesce(ids, 0) AS ids, coalesce(hits, 0) AS hits, CASE WHEN hits >= least(2, ids) THEN 1 WHEN hits = 0 THEN 2 ELSE 0 END AS referenced FROM documents LEFT JOIN H ON H.pos = doc_id WHERE doc_id % 3 <> 0""",
+    P AS (SELECT file_id, id, epoch, min(pos) FILTER (src) AS closer, count(*) FILTER (NOT src) AS claims FROM E GROUP BY ALL),
+    H AS (SELECT E.file_id, pos, count(*) AS ids, count(*) FILTER (closer IS NOT NULL AND claims <= 8) AS hits, list_sort(list(closer) FILTER (closer IS NOT NULL AND claims <= 8)) AS h FROM E JOIN P ON P.file_id = E.file_id AND P.id = E.id AND P.epoch = E.epoch WHERE NOT src GROUP BY 1, 2)
+    SELECT doc_id % 40 AS file_id, doc_id AS block_id, coalesce(ids, 0) AS ids, coalesce(hits, 0) AS hits, CASE WHEN hits >= least(2, ids) THEN 1 WHEN hits = 0 THEN 2 ELSE 0 END AS referenced,
+    CASE WHEN hits >= least(2, ids) THEN {a.EPOCH_US} + h[least(2, ids)] * 1000000 END AS first_ref_us FROM documents LEFT JOIN H ON H.pos = doc_id WHERE doc_id % 3 <> 0""",
 )
 
 # trials
-_PCT = lambda c, p: f"list_sort(list({c}) FILTER (status IN ('ok','fail') AND {c} IS NOT NULL))[least(floor(count({c}) FILTER (status IN ('ok','fail')) * {p} + 0.5)::INT, count({c}) FILTER (status IN ('ok','fail')) - 1) + 1]"
+_USED = """, Q AS (SELECT session_id, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens, sum(cache_read)::BIGINT AS cache_read, sum(cache_write)::BIGINT AS cache_write, sum(cost_usd) AS c FROM v_request GROUP BY 1),
+U AS (SELECT trial_id, arm, status, CASE WHEN status IN ('ok','fail') THEN duration_ms END AS duration_ms, input_tokens, output_tokens, cache_read, cache_write, coalesce(cost_usd, CASE WHEN c > 0 THEN c END) AS cost_usd FROM v_trial LEFT JOIN Q ON Q.session_id = v_trial.session_id)
+"""
+_PCT = lambda name, c, p: f"list_sort(list({c}) FILTER ({c} IS NOT NULL))[least(floor(count({c}) * {p} + 0.5)::INT, count({c}) - 1) + 1] AS {name}"
 register(
-    "arm_comparison", lambda t: trials.compare(t.trials),
-    f"SELECT arm, count(*) AS trials, count(*) FILTER (status IN ('ok','fail')) AS done, count(*) FILTER (status = 'ok') AS passed, {_PCT('duration_ms', 0.5)} AS p50_ms, {_PCT('duration_ms', 0.9)} AS p90_ms, {_PCT('cost_usd', 0.5)} AS p50_cost FROM v_trial GROUP BY 1",
+    "arm_comparison", lambda t: trials.compare(trials.usage(t.trials, t.requests)),
+    f"{_USED} SELECT arm, count(*) AS trials, count(*) FILTER (status IN ('ok','fail')) AS done, count(*) FILTER (status = 'ok') AS passed, {', '.join(_PCT(*m) for m in trials.MEASURES)} FROM U GROUP BY 1",
 )
 register(
-    "trial_usage", lambda t: trials.usage(t.trials, t.requests),
-    "SELECT trial_id, arm, coalesce(cost_usd, CASE WHEN tokens > 0 THEN tokens * 1e-6::DOUBLE END) AS cost_usd, coalesce(tokens, 0)::BIGINT AS tokens FROM v_trial LEFT JOIN (SELECT session_id, sum(output_tokens) AS tokens FROM v_request GROUP BY 1) q ON q.session_id = v_trial.session_id",
+    "trial_usage", lambda t: trials.usage(t.trials, t.requests).select("trial_id", "arm", "cost_usd", F.coalesce("output_tokens", F.lit(0)).alias("tokens")),
+    f"{_USED} SELECT trial_id, arm, cost_usd, coalesce(output_tokens, 0)::BIGINT AS tokens FROM U",
 )
 register("run_list", lambda t: trials.runs(t.trials), "SELECT run_id, count(*) AS trials, count(*) FILTER (status IN ('ok','fail')) AS done FROM v_trial GROUP BY 1 ORDER BY run_id DESC LIMIT 20")
-register("run_by_prefix", lambda t: rollup.by_prefix(trials.runs(t.trials, 1000), "1", "run_id").orderBy(F.desc("run_id")).limit(1), "SELECT run_id, count(*) AS trials, count(*) FILTER (status IN ('ok','fail')) AS done FROM v_trial WHERE run_id::VARCHAR LIKE '1%' GROUP BY 1 ORDER BY run_id DESC LIMIT 1")
+register("run_by_prefix", lambda t: trials.run_by_prefix(t.trials, "1"), "SELECT run_id, count(*) AS trials, count(*) FILTER (status IN ('ok','fail')) AS done FROM v_trial WHERE run_id::VARCHAR LIKE '1%' GROUP BY 1 ORDER BY run_id DESC LIMIT 1")
 register("failed_checks", lambda t: trials.failed_checks(t.trials), "SELECT trial_id, array_to_string(failed, ',') AS failed FROM v_trial")
 _ARMS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 register(
