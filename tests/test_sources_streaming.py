@@ -72,3 +72,29 @@ def test_streams(spark, tmp_path):
     assert spark.table("live").count() == 1
     assert spark.table("usage").select("requests", "input_tokens", "output_tokens").collect() == [(2, 8, 4)]
     assert spark.table("span").select("session_id", "started_us").collect() == [("s", 5_000_000)]
+
+
+def test_keyed_sink_merges_and_is_idempotent(spark, tmp_path):
+    from usagelens.sources.sink import upsert
+
+    path = "file://" + str(tmp_path / "table")
+    rows = lambda *x: spark.createDataFrame(x, "day long, key string, v long, seq long")
+    how = {"key": ["key"], "order": ["seq"], "partition": "day"}
+    upsert(rows((1, "a", 5, 0), (1, "b", 6, 0), (2, "c", 7, 0)), path, **how)
+    again = rows((1, "a", 9, 1), (1, "d", 1, 1), (1, "b", 0, -1))
+    for _ in range(2):
+        upsert(again, path, **how)
+        got = {(r.day, r.key): r.v for r in spark.read.parquet(path).collect()}
+        assert got == {(1, "a"): 9, (1, "b"): 6, (1, "d"): 1, (2, "c"): 7}
+
+
+def test_paired_chains_take_the_session_of_their_request(spark):
+    from usagelens.operators import wire
+
+    g = spark.createDataFrame([(1, 10, "", "anthropic", 200, "m", "t,s", 1, 2, None, 4), (2, 20, "x", "chat", 200, "m", "t", 1, 2, 3, 4), (3, 5, "", "anthropic", 200, "m", "t", 1, 2, 3, 4)],
+        "pg_id long, ts_us long, session_id string, api_class string, status long, model string, chain string, input_tokens long, output_tokens long, cache_read long, cache_write long")
+    pairs = spark.createDataFrame([(1, 7), (2, 8), (3, 9)], "pg_id long, request_id long")
+    r = spark.createDataFrame([(7, 70, 1, 2), (8, 70, 1, 2), (9, 90, 0, 0)], "request_id long, session_id long, write_5m long, write_1h long")
+    s = spark.createDataFrame([(70, "p", "one", "T"), (90, "p", "two", "")], "session_id long, project string, slug string, title string")
+    rows = lambda **k: {(x.pg_id, x.session_id, x.cache_read, x.write_1h) for x in wire.chain_rows(g, pairs, r, s, **k).collect()}
+    assert rows() == {(1, 70, 0, 2), (3, 90, 3, 0)} and rows(from_us=6) == {(1, 70, 0, 2)} and rows(prefix="TW") == {(3, 90, 3, 0)}

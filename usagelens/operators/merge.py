@@ -49,3 +49,14 @@ def attribute_results(blocks: DataFrame) -> DataFrame:
     use = F.when(F.col("kind") == "tool_use", F.struct("block_id", "tool"))
     rows = blocks.where("kind IN ('tool_use', 'tool_result')").withColumn("_u", F.last(use, ignorenulls=True).over(upto)).where(F.col("kind") == "tool_result")
     return rows.select("block_id", "file_id", F.col("_u.block_id").alias("use_id"), F.coalesce("_u.tool", F.lit("")).alias("used_tool"))
+
+
+def merge_sources(rows: DataFrame) -> DataFrame:
+    """Source versions (kind, root, seq, regime): the last regime of each."""
+    return last_wins(rows, ["kind", "root"], ["seq"])
+
+
+def union_of_eras(old: DataFrame, new: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """Rows of two storage eras, one version of each key: the later one by `order`, the new era's of equal ones."""
+    both = old.withColumn("_era", F.lit(0)).unionByName(new.withColumn("_era", F.lit(1)), allowMissingColumns=True)
+    return last_wins(both, key, [*order, "_era"]).drop("_era")

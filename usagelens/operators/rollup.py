@@ -181,3 +181,9 @@ def telemetry_events(rows: DataFrame) -> DataFrame:
         F.count("*").alias("events"), F.countDistinct("session_id").alias("sessions"), F.sum("input_tokens").alias("input_tokens"),
         F.sum("cost_usd").alias("cost_usd"), F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"),
     )
+
+
+def session_source(sessions: DataFrame, sources: DataFrame, session: int | None = None) -> DataFrame:
+    """Kind and root of the source that each session, or the named one, comes from."""
+    rows = sessions if session is None else sessions.where(F.col("session_id") == session)
+    return rows.join(sources, "source_id").select("session_id", "kind", "root")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from usagelens.operators.cache import LEAST_EXPECTED, LEAST_SHORTFALL, READ_SHARE, expiry, with_boundary
+from usagelens.operators.rollup import by_prefix
 
 EQUAL_CONTENT = ["append", "identical", "marker_rotation"]
 
@@ -50,6 +51,22 @@ def transitions(rows: DataFrame, boundaries: DataFrame) -> DataFrame:
     )
 
 
+def chain_rows(gateway: DataFrame, pairs: DataFrame, requests: DataFrame, sessions: DataFrame, from_us: int | None = None, prefix: str | None = None) -> DataFrame:
+    """Gateway rows with a chain, by the session of the request each is paired with; the split of writes is the request's.
+
+    With a time, sessions that have a paired gateway row from then on are kept whole.
+    """
+    theirs = requests.select("request_id", "session_id", "write_5m", "write_1h")
+    rows = gateway.drop("session_id", "write_5m", "write_1h").join(pairs.select("pg_id", "request_id"), "pg_id").join(theirs, "request_id")
+    if from_us is not None:
+        rows = rows.join(rows.where(F.col("ts_us") >= from_us).select("session_id").distinct(), "session_id", "left_semi")
+    rows = rows.where((F.col("api_class") == "anthropic") & (F.col("status") == 200) & (F.col("chain") != ""))
+    known = sessions if prefix is None else by_prefix(sessions, prefix, "session_id", "slug")
+    rows = rows.join(known.select("session_id", "project", "slug", "title"), "session_id")
+    tokens = [F.coalesce(c, F.lit(0)).alias(c) for c in ("input_tokens", "output_tokens", "cache_read", "cache_write")]
+    return rows.select("pg_id", "session_id", "project", "slug", "title", "ts_us", "model", "chain", *tokens, "write_5m", "write_1h")
+
+
 def by_class(found: DataFrame) -> DataFrame:
     return found.groupBy("class").agg(
         F.count("*").alias("transitions"), F.sum(F.col("is_event").cast("long")).alias("events"),

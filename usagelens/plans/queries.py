@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from usagelens.functions import times
 from usagelens.operators import cache, merge, pairing, residency, rollup, search, session, trials, wire
 from usagelens.plans import adapters as a
 from usagelens.plans.adapters import VIEWS
@@ -265,6 +266,13 @@ register(
 
 # pairing: greedy claims are beyond SQL; the tests hold them against a sequential model
 register("gw_pairing", lambda t: pairing.pair(t.gateway, t.requests), None)
+# wire analysis of what is paired: the session is the paired request's, not one the row names
+register("gw_chain_rows", lambda t: wire.chain_rows(t.gateway, pairing.pair(t.gateway, t.requests), t.requests, t.sessions, SINCE), None)
+register(
+    "wire_paired_classes",
+    lambda t: wire.by_class(wire.transitions(wire.chain_rows(t.gateway, pairing.pair(t.gateway, t.requests), t.requests, t.sessions).withColumnRenamed("pg_id", "request_id"), t.compactions)),
+    None,
+)
 register("model_totals", lambda t: rollup.model_totals(t.requests, t.gateway, pairing.pair(t.gateway, t.requests)), None)
 register(
     "model_sessions", lambda t: rollup.model_sessions(t.requests, t.gateway, pairing.pair(t.gateway, t.requests), t.sessions, "opus"),
@@ -373,3 +381,29 @@ register(
     "input_values", lambda t: t.lines.select("file", "line", F.array_join(transcripts.string_values("value"), "\n").alias("said")),
     "SELECT '/p/' || conv_id || '.jsonl' AS file, turn AS line, concat_ws(chr(10), CASE role WHEN 'assistant' THEN role ELSE 'user' END, text) AS said FROM conversations",
 )
+_SOURCES = lambda t: t.raw("nation").select(
+    F.lit("tree").alias("kind"), F.concat(F.lit("/src/"), F.col("n_regionkey").cast("string")).alias("root"), F.col("n_nationkey").alias("seq"),
+    F.concat(F.lit("regime"), (F.col("n_nationkey") % 3).cast("string")).alias("regime"),
+)
+register(
+    "source_merge", lambda t: merge.merge_sources(_SOURCES(t)),
+    "SELECT 'tree' AS kind, '/src/' || n_regionkey AS root, max(n_nationkey) AS seq, arg_max('regime' || (n_nationkey % 3), n_nationkey) AS regime FROM nation GROUP BY n_regionkey",
+)
+register(
+    "session_source",
+    lambda t: rollup.session_source(
+        t.sessions.withColumn("source_id", F.col("session_id") % 25),
+        t.raw("nation").join(t.raw("region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("source_id"), F.lower("r_name").alias("kind"), F.concat(F.lit("/src/"), F.lower("n_name")).alias("root")),
+    ),
+    "SELECT session_id, lower(r_name) AS kind, '/src/' || lower(n_name) AS root FROM v_session JOIN nation ON session_id % 25 = n_nationkey JOIN region ON n_regionkey = r_regionkey",
+)
+register(
+    "two_eras",
+    lambda t: merge.union_of_eras(t.versions.where("seq = 0"), t.versions.where("seq = 1"), ["request_id"], ["seq"]).groupBy("model").agg(F.count("*").alias("requests"), F.sum("output_tokens").alias("output_tokens")),
+    _VERSIONS + "SELECT model, count(*) AS requests, sum(output_tokens)::BIGINT AS output_tokens FROM (SELECT * FROM V QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY seq DESC) = 1) GROUP BY 1",
+)
+register(
+    "session_clock", lambda t: times.with_clock(t.requests).select("request_id", "session_id", "day_us", "minute_us", "new_day"),
+    """SELECT request_id, session_id, ts_us // 86400000000 * 86400000000 AS day_us, ts_us // 60000000 * 60000000 AS minute_us,
+    lag(ts_us // 86400000000) OVER (PARTITION BY session_id ORDER BY ts_us, request_id) IS DISTINCT FROM ts_us // 86400000000 AS new_day FROM v_request""",
+)
