@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter
 from fractions import Fraction
 
@@ -59,6 +60,24 @@ def test_odd_and_empty_inputs(spark, odd, empty, name):
     assert RUNS[name](spark, empty).count() == 0
 
 
+def test_defined_results_of_odd_rows(spark, odd):
+    rows = odd.collect()
+    tell = lambda df, *cols: Counter(tuple(r[c] for c in cols) for r in df.collect())
+    long = next(r.text for r in rows if (r.text or "").startswith("word0"))
+    kept = tell(neardup.dedup(odd), "doc_id", "text")  # empty ones all stay, of each group one
+    assert kept == Counter([(0, None), (1, ""), (2, " \n\t "), (3, long), (5, "one two"), *[(r.doc_id, r.text) for r in rows if r.doc_id in (7, 8, 9, None)]])
+    sets = {r.doc_id: (r.n_shingles, r.component_id, r.class_size) for r in neardup.groups(odd).collect()}
+    assert sets[0] == sets[0] and sets[0][0] == 0 and sets[1][1] == 1 and sets[4][1] == 3 and sets[6] == (1, 5, 4)
+    judged = {r.doc_id: (r.n_words, r.base_failed, r.kept) for r in quality.measure(odd).collect()}
+    assert judged[0] == judged[1] == judged[2] == (0, True, False) and judged[3] == (6000, False, True)
+    assert tell(quality.clean(odd), "doc_id") == Counter({(3,): 1, (4,): 1})
+    sized = {r.doc_id: (r.size, r.text_crc32) for r in sharding.assign(odd).collect()}
+    assert sized[0] == sized[1] == (1, 0) and sized[3][0] == len(long) + 1
+    assert {r.doc_id for r in packing.pack(odd, 64).select(F.explode("doc_ids").alias("doc_id")).collect()} == {2, 3, 4, 5, 6, 7, 8, 9, None}
+    assert licenses.scan(odd).count() == 0 and {r.n_tokens for r in bpe.encode(odd).where("doc_id < 2").collect()} == {0}
+    assert tell(mixing.mix(odd, block_bytes=100), "doc_id", "text") == Counter((r.doc_id, r.text) for r in rows)
+
+
 def test_packing_is_best_fit_decreasing_and_lossless(spark, odd):
     coder = bpe.Bpe(open(bpe.tokenizer_path()).read())
     docs = odd.where("doc_id is not null").dropDuplicates(["doc_id"])
@@ -411,6 +430,53 @@ def test_bpe_equals_the_library_on_every_plane():
         assert own.decode(ids) == lib.decode(ids.tolist(), skip_special_tokens=False)
 
 
+def test_bpe_query_equals_the_library(spark):
+    tokenizers = pytest.importorskip("tokenizers")
+    lib, sf = tokenizers.Tokenizer.from_file(bpe.tokenizer_path()), "/root/testdata/sf0.001"
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        ids = lib.encode(r.text or "", add_special_tokens=False).ids
+        want[r.doc_id] = (len(ids), sha(",".join(map(str, ids))), sha(lib.decode(ids, skip_special_tokens=False)))
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.op8(spark, sf).collect()} == want
+
+
+def test_bpe_tables_of_kept_words_are_bounded_and_change_nothing(monkeypatch):
+    monkeypatch.setattr(bpe, "WORD_BYTES", 20_000)
+    monkeypatch.setattr(bpe, "PIECE_BYTES", 10_000)
+    content = open(bpe.tokenizer_path()).read()
+    small, rng = bpe.Bpe(content), np.random.default_rng(9)
+    texts = [" ".join("".join(rng.choice(list("abcé日!"), rng.integers(1, 90))) for _ in range(200)) for _ in range(5)]
+    got = [small.encode(t).tolist() for t in texts * 2]
+    assert sum(map(len, (small.words, small.old_words, small.cache, small.old_cache))) < 400 and max(map(len, small.words)) <= bpe.LONGEST
+    monkeypatch.undo()
+    large = bpe.Bpe(content)
+    assert got == [large.encode(t).tolist() for t in texts * 2]
+
+
+@pytest.mark.parametrize("slack", [0.0, 0.1, 5.0])
+def test_sharding_equals_a_walk_round_the_ring(spark, slack):
+    n, shards, vnodes = 1000, 5, 8
+    df = spark.createDataFrame([(i, "x") for i in range(n)], "doc_id long, text string")
+    points, owners = sharding.ring(shards, vnodes)
+    places = {r.doc_id: r.p for r in df.select("doc_id", F.xxhash64("doc_id").alias("p")).collect()}
+    arcs = {d: int(np.searchsorted(points, p)) % len(points) for d, p in places.items()}
+    bounds = [-(-int(n * (1 + slack)) // shards) + 1] * shards if slack else [n // shards + (s < n % shards) for s in range(shards)]
+    left, taken, want = Counter(arcs.values()), Counter(), Counter()
+    for hop in range(len(points)):  # row by row: those that found no room go on to the next point
+        for arc in sorted(left):
+            shard = int(owners[(arc + hop) % len(points)])
+            while left[arc] and taken[shard] < bounds[shard]:
+                left[arc] -= 1
+                taken[shard] += 1
+                want[arc, shard] += 1
+    got = sharding.assign(df, shards, vnodes, slack).collect()
+    assert Counter((arcs[r.doc_id], r.shard) for r in got) == want and len(got) == n
+    assert all(sorted(r.slot for r in got if r.shard == s) == list(range(taken[s])) for s in range(shards))
+    if slack == 5.0:  # room for all: every row at its own point
+        assert all(r.shard == owners[arcs[r.doc_id]] for r in got)
+
+
 def test_sharding_is_even_gapless_and_moves_little(spark):
     df = spark.createDataFrame([(i, f"text {i % 7}") for i in range(1003)] + [(5, "text 5")] * 500, "doc_id long, text string")
     got = sharding.assign(df).collect()
@@ -427,6 +493,88 @@ def test_segments_are_the_maximal_ones():
     assert [(a, b, v) for a, b, v in toxicity.segments(s)] == [(0, 1, 4.0), (2, 3, 3.0), (4, 11, 7.0)]
 
 
+def brute_segments(s):
+    """Every maximal segment: the best one, then likewise to its left and right."""
+    best = None
+    for i in range(len(s)):
+        total = 0.0
+        for j in range(i, len(s)):
+            total += s[j]
+            if total > 1e-12 and (best is None or total > best[2] + 1e-9):
+                best = (i, j + 1, total)
+    if best is None:
+        return []
+    a, b, _ = best
+    return brute_segments(s[:a]) + [best] + [(b + i, b + j, v) for i, j, v in brute_segments(s[b:])]
+
+
+def brute_scores(docs, labels):
+    """The scores from plain counts: docs and labels are dicts; the whole sample is used."""
+    words = {d: [int(b) for b in toxicity.tokens(t)] for d, t in docs.items()}
+    quarter = {d: zlib.crc32(str(d).encode()) % 4 for d in docs}
+    back = Counter(w for ws in words.values() for w in ws)
+    total, size = sum(back.values()), toxicity.BUCKETS
+    sample = [d for d in docs if d in labels and quarter[d] != 2]
+
+    def model(quarters):
+        seen = [Counter(), Counter()]
+        for d in sample:
+            if quarter[d] in quarters:
+                seen[labels[d]].update(set(words[d]))
+        mass = [sum(c.values()) + toxicity.PRIOR + toxicity.EACH * size for c in seen]
+        score = {}
+        for w, n in back.items():
+            prior = toxicity.PRIOR * n / total + toxicity.EACH
+            y = [c[w] + prior for c in seen]
+            delta = math.log(y[1] / (mass[1] - y[1])) - math.log(y[0] / (mass[0] - y[0]))
+            sure = abs(delta) / math.sqrt(1 / y[0] + 1 / y[1]) >= toxicity.Z and seen[0][w] + seen[1][w] > 1
+            score[w] = (delta if sure else 0.0) - toxicity.DRIFT
+        low, high = 1e-6, 64.0
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(n / total * math.exp(mid * score[w]) for w, n in back.items()) < 1 else (low, mid)
+        return score, high
+
+    def features(d, score, lam, log_k):
+        if not words[d]:
+            return 0.0, 0.0
+        found = [lam * v - log_k - math.log(len(words[d])) for _, _, v in brute_segments([score[w] for w in words[d]])]
+        none = -log_k - math.log(len(words[d]))
+        return max([none, *found]), sum(x for x in found if x > -math.log(toxicity.EXPECT))
+
+    held, (score, lam) = [d for d in sample if quarter[d] == 3 and words[d]], model({0, 1})
+    clean = [features(d, score, lam, 0.0)[0] for d in held if not labels[d]]
+    log_k = sum(clean) / len(clean) - 0.5772156649015329
+    row = lambda f: [1.0, min(40.0, max(-10.0, f[0])) / 10, math.log1p(f[1])]
+    x, y = np.array([row(features(d, score, lam, log_k)) for d in held]), np.array([labels[d] for d in held])
+    w = np.zeros(3)
+    for _ in range(200):  # Newton's steps on the penalised likelihood
+        p = 1 / (1 + np.exp(-(x @ w)))
+        w -= np.linalg.inv((x * (p * (1 - p))[:, None]).T @ x + 0.01 * np.eye(3)) @ (x.T @ (p - y) + 0.01 * w)
+    score, lam = model({0, 1, 3})
+    return {d: 1 / (1 + math.exp(-float(np.array(row(features(d, score, lam, log_k))) @ w))) for d in docs}
+
+
+def test_toxicity_scores_equal_brute_force(spark):
+    rng = np.random.default_rng(11)
+    calm, rude = [f"calm{i}" for i in range(60)], [f"rude{i}" for i in range(8)]
+    docs, labels = {}, {}
+    for d in range(400):
+        text = [str(rng.choice(calm)) for _ in range(rng.integers(5, 30))]
+        labels[d] = int(rng.random() < 0.3)
+        if labels[d] and rng.random() < 0.9:
+            at = rng.integers(0, len(text))
+            text[at:at] = [str(rng.choice(rude)) for _ in range(rng.integers(1, 5))]
+        docs[d] = " ".join(text)
+    docs |= {400: "", 401: "rude1 rude2 rude3 calm1 calm2 " * 3}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    found = spark.createDataFrame([(d, v) for d, v in labels.items()], "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.score(df, found).collect()}
+    want = brute_scores(docs, labels)
+    assert got.keys() == want.keys() and max(abs(got[d] - want[d]) for d in want) < 1e-5
+    assert got[401] > 0.5 > got[400]
+
+
 def test_toxicity_finds_held_out_documents(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
