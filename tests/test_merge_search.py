@@ -2,7 +2,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from usagelens.operators import merge, pairing, search, session, trials
+from usagelens.operators import merge, pairing, rollup, search, session, trials
+from usagelens.streaming import pairing as pairing_stream
 
 
 def test_identifiers(spark):
@@ -93,8 +94,8 @@ def sequential(gateway, requests, window):
     return out
 
 
-def test_pairing_is_the_sequential_greedy(spark):
-    rng = random.Random(3)
+def traffic(spark, seed):
+    rng = random.Random(seed)
     usage = lambda: (rng.randrange(3), rng.randrange(2), rng.choice([0, 1, 2, None]), rng.choice([0, 1, None]))
     req = [(i, rng.randrange(60) * 10**8, rng.randrange(3), *usage()) for i in range(300)]
     gw = [(i, rng.randrange(60) * 10**8, rng.choice(["", "0", "1"]), rng.choice(["anthropic", "chat", "other"]), *usage()) for i in range(300)]
@@ -102,8 +103,58 @@ def test_pairing_is_the_sequential_greedy(spark):
     columns = "input_tokens long, output_tokens long, cache_read long, cache_write long"
     r = spark.createDataFrame(req, f"request_id long, ts_us long, session_id long, {columns}")
     g = spark.createDataFrame(gw, f"pg_id long, ts_us long, session_id string, api_class string, {columns}").withColumn("status", F.lit(200))
+    return gw, req, g, r
+
+
+def test_pairing_is_the_sequential_greedy(spark):
+    gw, req, g, r = traffic(spark, 3)
     got = {(x.pg_id, x.request_id) for x in pairing.pair(g, r).collect()}
     assert got == sequential(gw, req, pairing.WINDOW_US) and len(got) > 50
     kinds = {x[0]: (x[3], x[4]) for x in gw}
     exact = {x[0]: x[3] for x in req}
     assert any(kinds[p][0] == "chat" and exact[q] != kinds[p][1] for p, q in got)  # the fallback takes part
+
+
+def in_two_passes(gw, req, early, late):
+    """The first pass over early rows; the second over late ones, and those left that are near late requests."""
+    first = sequential([x for x in gw if early(x)], [x for x in req if early(x)], pairing.WINDOW_US)
+    taken, given = {p for p, _ in first}, {q for _, q in first}
+    times = [x[1] for x in req if late(x)]
+    near = lambda x: min(times) - pairing.WINDOW_US <= x[1] <= max(times) + pairing.WINDOW_US
+    scope = [x for x in gw if x[0] not in taken and (late(x) or near(x))]
+    return first, sequential(scope, [x for x in req if x[0] not in given], pairing.WINDOW_US)
+
+
+def test_incremental_pairing(spark):
+    gw, req, g, r = traffic(spark, 5)
+    first, second = in_two_passes(gw, req, lambda x: x[0] <= 180, lambda x: x[0] > 180)
+    done = spark.createDataFrame(sorted(first), "pg_id long, request_id long")
+    got = {(x.pg_id, x.request_id) for x in pairing.pair_new(g, r, done, 180, 180).collect()}
+    assert got == second and any(p <= 180 for p, _ in got)  # a late transcript finds its row
+    assert pairing.pair_new(g, r, done, 300, 300).count() == 0
+
+
+def test_streamed_pairing_equals_its_passes(spark, tmp_path):
+    gw, req, g, r = traffic(spark, 5)
+    first, second = in_two_passes(gw, req, lambda x: x[0] <= 180, lambda x: x[0] > 180)
+    rows = g.withColumn("request_id", F.lit(None).cast("long")).unionByName(r.withColumn("session_id", F.col("session_id").cast("string")), allowMissingColumns=True)
+    number = F.coalesce("pg_id", "request_id")
+    rows.where(number <= 180).coalesce(1).write.parquet(f"{tmp_path}/in/a.parquet")
+    path, live = str(tmp_path / "out"), spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in/*")
+    go = lambda: pairing_stream.pair_stream(live, path, f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
+    go()
+    rows.where(number > 180).coalesce(1).write.parquet(f"{tmp_path}/in/b.parquet")
+    go()
+    found = lambda: {(x.batch, x.pg_id, x.request_id) for x in spark.read.parquet(f"{path}/pairs").collect()}
+    want = {(0, *x) for x in first} | {(1, *x) for x in second}
+    assert found() == want
+    pairing_stream.pass_of(rows.where(number > 180), 1, path)  # run again
+    assert found() == want
+
+
+def test_traffic_of_a_model(spark):
+    req = spark.createDataFrame([(1, 7, 0)], "request_id long, session_id long, ts_us long")
+    gw = spark.createDataFrame([(1, "7", "big", "", 5, 1), (2, "", "other", "big", 6, 2), (3, "", "big", "", None, 3), (4, "7", "other", "", 9, 9)], "pg_id long, session_id string, model string, resolved_via string, input_tokens long, output_tokens long")
+    pairs, known = spark.createDataFrame([(2, 1)], "pg_id long, request_id long"), spark.createDataFrame([(7,)], "session_id long")
+    assert rollup.model_traffic(req, gw, pairs, known, "big").first().asDict() == {"requests": 3, "input_tokens": 11, "output_tokens": 6, "unpaired": 1}
+    assert rollup.model_traffic(req, gw, pairs, known, "none").first().asDict() == {"requests": 0, "input_tokens": 0, "output_tokens": 0, "unpaired": 0}

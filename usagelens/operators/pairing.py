@@ -7,7 +7,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WINDOW_US = 30 * 60 * 1000000
@@ -77,8 +77,26 @@ def pair(gateway: DataFrame, requests: DataFrame, window_us: int = WINDOW_US) ->
     return ordered.mapInPandas(run, "pg_id long, request_id long, skew_us long")
 
 
+def scope(gateway: DataFrame, new_requests: DataFrame, pairs: DataFrame, new: Column) -> DataFrame:
+    """Rows without a pair that are `new`, or whose time is near the span of new requests."""
+    span = new_requests.agg((F.min("ts_us") - WINDOW_US).alias("_lo"), (F.max("ts_us") + WINDOW_US).alias("_hi"))
+    pending = gateway.join(pairs.select("pg_id"), "pg_id", "left_anti")
+    # one row of sums on the right
+    return pending.join(F.broadcast(span), new | F.col("ts_us").between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
+
+
 def in_scope(gateway: DataFrame, requests: DataFrame, pairs: DataFrame, last_pg_id: int, last_request_id: int) -> DataFrame:
     """Gateway rows of an incremental pass: new ones, and pending ones near the span of new requests."""
-    new = requests.where(F.col("request_id") > last_request_id).agg((F.min("ts_us") - WINDOW_US).alias("lo"), (F.max("ts_us") + WINDOW_US).alias("hi"))
-    pending = gateway.join(pairs.select("pg_id"), "pg_id", "left_anti")
-    return pending.join(F.broadcast(new), (F.col("pg_id") > last_pg_id) | F.col("ts_us").between(F.col("lo"), F.col("hi"))).drop("lo", "hi")
+    return scope(gateway, requests.where(F.col("request_id") > last_request_id), pairs, F.col("pg_id") > last_pg_id)
+
+
+def pair_more(gateway: DataFrame, requests: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Pairs of rows in scope with requests that are still free; only requests near them are looked at."""
+    span = gateway.agg((F.min("ts_us") - WINDOW_US).alias("_lo"), (F.max("ts_us") + WINDOW_US).alias("_hi"))
+    near = requests.join(F.broadcast(span), F.col("ts_us").between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
+    return pair(gateway, near.join(pairs.select("request_id"), "request_id", "left_anti"))
+
+
+def pair_new(gateway: DataFrame, requests: DataFrame, pairs: DataFrame, last_pg_id: int, last_request_id: int) -> DataFrame:
+    """What an incremental pass adds to the pairs of the passes before it, by the ids that those had seen."""
+    return pair_more(in_scope(gateway, requests, pairs, last_pg_id, last_request_id), requests, pairs)

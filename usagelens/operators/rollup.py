@@ -157,22 +157,30 @@ def model_totals(requests: DataFrame, gateway: DataFrame, pairs: DataFrame) -> D
     return seen.join(loose, "model", "full").select("model", *map(zero, ["requests", "output_tokens", "unpaired", "unpaired_output"]))
 
 
-def model_sessions(requests: DataFrame, gateway: DataFrame, pairs: DataFrame, sessions: DataFrame, model: str, limit: int = 100) -> DataFrame:
-    """Newest sessions that used a model, by their transcript, or where that says nothing by the gateway.
+def routed(requests: DataFrame, gateway: DataFrame, pairs: DataFrame, sessions: DataFrame, model: str) -> DataFrame:
+    """Gateway rows of a model, asked for or resolved to, with the session they name, else that of their pair, else null."""
+    owner = pairs.select("pg_id", "request_id").join(requests.select("request_id", F.col("session_id").alias("_paired")), "request_id").select("pg_id", "_paired")
+    rows = gateway.where((F.col("model") == model) | (F.col("resolved_via") == model))
+    rows = rows.withColumnRenamed("session_id", "_named").join(owner, "pg_id", "left")
+    named = sessions.select(F.col("session_id").alias("_s"), F.col("session_id").cast("string").alias("_named"))
+    return rows.join(named, "_named", "left").withColumn("session_id", F.coalesce("_s", "_paired")).drop("_s", "_paired")
 
-    A gateway row belongs to the session it names, else to that of the request it is paired with.
-    """
+
+def model_sessions(requests: DataFrame, gateway: DataFrame, pairs: DataFrame, sessions: DataFrame, model: str, limit: int = 100) -> DataFrame:
+    """Newest sessions that used a model, by their transcript, or where that says nothing by the gateway."""
     used = [F.count("*").alias("requests"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.max("ts_us").alias("last_us")]
     seen = requests.where(F.col("model") == model).groupBy("session_id").agg(*used).withColumn("via", F.lit("transcript"))
-    owner = pairs.select("pg_id", "request_id").join(requests.select("request_id", F.col("session_id").alias("_paired")), "request_id").select("pg_id", "_paired")
-    rows = gateway.where(F.col("model") == model).withColumnRenamed("session_id", "_named").join(owner, "pg_id", "left")
-    known = sessions.select("session_id", "title", "project")
-    named = known.select(F.col("session_id").alias("_s"), F.col("session_id").cast("string").alias("_named"))
-    rows = rows.join(named, "_named", "left").withColumn("session_id", F.coalesce("_s", "_paired")).where("session_id IS NOT NULL")
-    routed = rows.groupBy("session_id").agg(*used).withColumn("via", F.lit("router"))
-    both = seen.unionByName(routed.join(seen.select("session_id"), "session_id", "left_anti"))
+    other = routed(requests, gateway, pairs, sessions, model).where("session_id IS NOT NULL").groupBy("session_id").agg(*used).withColumn("via", F.lit("router"))
+    both = seen.unionByName(other.join(seen.select("session_id"), "session_id", "left_anti"))
     newest = both.orderBy(F.desc("last_us"), F.col("session_id").cast("string")).limit(limit)
-    return newest.join(known, "session_id")
+    return newest.join(sessions.select("session_id", "title", "project"), "session_id")
+
+
+def model_traffic(requests: DataFrame, gateway: DataFrame, pairs: DataFrame, sessions: DataFrame, model: str) -> DataFrame:
+    """All that the gateway saw of a model, and how many of those rows belong to no session: one row."""
+    none = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    rows = routed(requests, gateway, pairs, sessions, model)
+    return rows.agg(F.count("*").alias("requests"), none("input_tokens"), none("output_tokens"), F.count_if(F.col("session_id").isNull()).alias("unpaired"))
 
 
 def telemetry_events(rows: DataFrame) -> DataFrame:

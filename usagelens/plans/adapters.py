@@ -124,6 +124,7 @@ def gateway(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("model") == "haiku", "chat").otherwise("anthropic").alias("api_class"),
         F.lit(200).alias("status"), "input_tokens", "output_tokens", "cache_read", "cache_write", "write_5m", "write_1h",
         F.array_join(F.concat(head, marks), ",").alias("chain"),
+        F.when((i % 29 == 0) & (i % 3 != 0), "opus").otherwise("").alias("resolved_via"),
     )
 
 
@@ -183,6 +184,40 @@ def transcript_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select(file.alias("file"), F.col("turn").alias("line"), F.to_json(line).alias("value"))
 
 
+def agent_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn as a line of an agent's transcript, of the kind that `blocks` gives it; a boundary follows every tenth."""
+    b = blocks(spark, sf_dir)
+    kind, text, col = F.col("kind"), F.col("text"), F.col
+    made = lambda **fields: F.parse_json(F.to_json(F.array(F.struct(*[v.alias(k) for k, v in fields.items()]))))
+    use_id = F.concat_ws("-", F.lit("u"), col("file_id"), col("tool_use_id"))
+    listed = F.to_variant_object(F.array(
+        F.struct(F.lit("text").alias("type"), text.alias("text")), F.struct(F.lit("image").alias("type"), F.lit("").alias("text"))
+    ))
+    asked = F.struct(text.alias("pattern"), F.array(F.struct(F.lit("deep").alias("in"))).alias("more"))
+    content = (
+        F.when(kind == "tool_result", made(type=F.lit("tool_result"), tool_use_id=use_id, is_error=col("is_error"), content=F.when(col("file_id") % 2 == 0, listed).otherwise(text.cast("variant"))))
+        .when(kind == "tool_use", made(type=F.lit("tool_use"), id=use_id, name=col("tool"), input=asked))
+        .when(kind == "thinking", made(type=F.lit("thinking"), thinking=text))
+        .when(kind == "assistant_text", made(type=F.lit("text"), text=text))
+        .otherwise(text.cast("variant"))
+    )
+    call = F.concat_ws("-", col("file_id"), F.expr("pos div 2"))
+    line = F.struct(
+        F.when(kind.isin("user_text", "meta_text", "tool_result"), "user").otherwise("assistant").alias("type"), (kind == "meta_text").alias("isMeta"),
+        F.timestamp_micros("ts_us").alias("timestamp"), F.concat(F.lit("r"), call).alias("requestId"),
+        F.when(col("file_id") % 3 == 0, F.concat(F.lit("p"), col("file_id").cast("string"))).alias("promptId"),
+        F.struct(F.concat(F.lit("m"), call).alias("id"), content.alias("content")).alias("message"),
+    )
+    file = F.concat(F.lit("/p/"), col("file_id").cast("string"), F.lit(".jsonl")).alias("file")
+    utc = {"timeZone": "UTC", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ssXXX"}
+    said = b.select(file, (col("pos") * 2).alias("line"), F.to_json(line, utc).alias("value"))
+    cut = F.struct(
+        F.lit("system").alias("type"), F.lit("compact_boundary").alias("subtype"), F.timestamp_micros("ts_us").alias("timestamp"),
+        F.struct(F.lit("auto").alias("trigger"), (col("pos") * 100).alias("preTokens")).alias("compactMetadata"),
+    )
+    return said.unionByName(b.where("pos % 10 = 9").select(file, (col("pos") * 2 + 1).alias("line"), F.to_json(cut, utc).alias("value")))
+
+
 VIEWS = f"""WITH v_request AS (SELECT event_id AS request_id, user_id AS session_id,
   CAST({EPOCH_US} + floor((epoch_us(ts) - {EPOCH_US}) / {SQUEEZE}.0) AS BIGINT) AS ts_us,
   CASE WHEN event_type IN ('click','view','purchase') THEN 'opus' WHEN event_type = 'signup' THEN 'haiku' ELSE 'local' END AS model,
@@ -211,7 +246,8 @@ v_gw AS (SELECT request_id AS pg_id, ts_us - (request_id % 120) * 1000000 AS ts_
   input_tokens, output_tokens, cache_read, cache_write, write_5m, write_1h,
   CASE WHEN request_id % 17 = 0 THEN 'tX' ELSE 't' END || ',' || CASE WHEN request_id % 19 = 0 THEN 'sX' ELSE 's' END || ',' ||
   array_to_string(list_transform(range(0, k + 1), lambda i: 'm' || i || CASE WHEN request_id % 13 = 0 AND i = k // 2 THEN 'X' ELSE '' END
-   || CASE WHEN request_id % 2 = 0 AND i = k THEN 'Y' ELSE '' END), ',') AS chain
+   || CASE WHEN request_id % 2 = 0 AND i = k THEN 'Y' ELSE '' END), ',') AS chain,
+  CASE WHEN request_id % 29 = 0 AND request_id % 3 <> 0 THEN 'opus' ELSE '' END AS resolved_via
   FROM v_gw0 WHERE request_id % 4 <> 0 AND NOT (model = 'haiku' AND request_id % 3 = 0)),
 v_trial AS (SELECT o_orderkey % 20 AS run_id, o_orderpriority AS arm, o_orderkey AS trial_id,
   CASE o_orderstatus WHEN 'O' THEN 'ok' WHEN 'F' THEN 'fail' ELSE 'timeout' END AS status, o_custkey * 10 AS duration_ms,

@@ -11,7 +11,7 @@ from usagelens.functions import times
 from usagelens.operators import cache, merge, pairing, residency, rollup, search, session, trials, wire
 from usagelens.plans import adapters as a
 from usagelens.plans.adapters import VIEWS
-from usagelens.sources import otel, transcripts
+from usagelens.sources import gateway, otel, transcripts
 from usagelens.streaming import telemetry
 
 SINCE = a.EPOCH_US + 3 * 3600 * 1000000
@@ -34,6 +34,7 @@ class Tables:
     trials = property(lambda self: self.of(a.trials))
     exports = property(lambda self: self.of(a.otel_exports))
     lines = property(lambda self: self.of(a.transcript_lines))
+    agent_lines = property(lambda self: self.of(a.agent_lines))
 
     @property
     def transitions(self) -> DataFrame:
@@ -273,11 +274,23 @@ register(
     lambda t: wire.by_class(wire.transitions(wire.chain_rows(t.gateway, pairing.pair(t.gateway, t.requests), t.requests, t.sessions).withColumnRenamed("pg_id", "request_id"), t.compactions)),
     None,
 )
+
+
+def _in_two_passes(t: Tables) -> DataFrame:
+    """What came in the first half of the ids is paired first, then the rest against what is left."""
+    half = t.raw("events").agg(F.floor(F.max("event_id") / 2)).first()[0] or 0
+    first = pairing.pair(t.gateway.where(F.col("pg_id") <= half), t.requests.where(F.col("request_id") <= half))
+    more = pairing.pair_new(t.gateway, t.requests, first, half, half)
+    return first.withColumn("pass", F.lit(1)).unionByName(more.withColumn("pass", F.lit(2)))
+
+
+register("gw_pairing_incremental", _in_two_passes, None)
+register("model_traffic", lambda t: rollup.model_traffic(t.requests, t.gateway, pairing.pair(t.gateway, t.requests), t.sessions, "opus"), None)
 register("model_totals", lambda t: rollup.model_totals(t.requests, t.gateway, pairing.pair(t.gateway, t.requests)), None)
 register(
     "model_sessions", lambda t: rollup.model_sessions(t.requests, t.gateway, pairing.pair(t.gateway, t.requests), t.sessions, "opus"),
     """, S AS (SELECT session_id, input_tokens, output_tokens, ts_us, 'transcript' AS via FROM v_request WHERE model = 'opus'),
-    G AS (SELECT owner AS session_id, input_tokens, output_tokens, ts_us, 'router' AS via FROM v_gw WHERE model = 'opus' AND session_id <> '' AND owner NOT IN (SELECT session_id FROM S)),
+    G AS (SELECT owner AS session_id, input_tokens, output_tokens, ts_us, 'router' AS via FROM v_gw WHERE (model = 'opus' OR resolved_via = 'opus') AND session_id <> '' AND owner NOT IN (SELECT session_id FROM S)),
     B AS (SELECT session_id, count(*) AS requests, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens, max(ts_us) AS last_us, via FROM (SELECT * FROM S UNION ALL SELECT * FROM G) GROUP BY session_id, via)
     SELECT B.*, title, project FROM B JOIN v_session s ON s.session_id = B.session_id ORDER BY last_us DESC, B.session_id::VARCHAR LIMIT 100""",
 )
@@ -323,16 +336,84 @@ _EVENTS = lambda t: t.raw("documents").select(
     (F.col("doc_id") % 40).alias("file_id"), F.col("doc_id").alias("pos"), (a.EPOCH_US + F.col("doc_id") * 1000000).alias("ts_us"),
     (F.col("doc_id") % 3 == 0).alias("is_source"), F.col("doc_id").alias("block_id"), "text",
 )
+_VERDICTS = f"""T AS (SELECT *, flatten(list_transform(list_transform(regexp_extract_all(text, '[A-Za-z0-9_./-]+'), lambda x: regexp_replace(x, '^[./-]+|[./-]+$', '', 'g')), lambda x: CASE WHEN contains(x, '/') THEN [x, string_split(x, '/')[-1]] ELSE [x] END)) AS l FROM S),
+    I AS (SELECT file_id, pos, src, id FROM (SELECT file_id, pos, src, unnest(l) AS id, unnest(range(1, len(l) + 1)) AS i FROM T) WHERE {_DISTINCTIVE} GROUP BY file_id, pos, src, id QUALIFY src OR row_number() OVER (PARTITION BY file_id, pos ORDER BY min(i)) <= 800),
+    E AS (SELECT *, coalesce(sum(src::INT) OVER (PARTITION BY file_id, id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS epoch FROM I),
+    P AS (SELECT file_id, id, epoch, min(pos) FILTER (src) AS closer, count(*) FILTER (NOT src) AS claims FROM E GROUP BY ALL),
+    C AS (SELECT P.*, ts_us FROM P LEFT JOIN S ON S.file_id = P.file_id AND S.pos = P.closer),
+    H AS (SELECT E.file_id, E.pos, count(*) AS ids, count(*) FILTER (closer IS NOT NULL AND claims <= 8) AS hits, list_sort(list({{'p': closer, 't': ts_us}}) FILTER (closer IS NOT NULL AND claims <= 8)) AS h
+      FROM E JOIN C ON C.file_id = E.file_id AND C.id = E.id AND C.epoch = E.epoch WHERE NOT src GROUP BY 1, 2),
+    R AS (SELECT S.file_id, S.pos, coalesce(ids, 0) AS ids, coalesce(hits, 0) AS hits, CASE WHEN hits >= least(2, ids) THEN 1 WHEN hits = 0 THEN 2 ELSE 0 END AS referenced,
+      CASE WHEN hits >= least(2, ids) THEN h[least(2, ids)].t END AS first_ref_us FROM S LEFT JOIN H ON H.file_id = S.file_id AND H.pos = S.pos WHERE NOT src)"""
 register(
     "reference_verdicts", lambda t: search.verdicts(_EVENTS(t)),
-    f""", A AS ({_TOKENS}),
-    I AS (SELECT doc_id, id FROM (SELECT doc_id, unnest(l) AS id, unnest(range(1, len(l) + 1)) AS i FROM A) WHERE {_DISTINCTIVE} GROUP BY doc_id, id QUALIFY doc_id % 3 = 0 OR row_number() OVER (PARTITION BY doc_id ORDER BY min(i)) <= 800),
-    E AS (SELECT doc_id % 40 AS file_id, doc_id AS pos, doc_id % 3 = 0 AS src, id, coalesce(sum((doc_id % 3 = 0)::INT) OVER (PARTITION BY doc_id % 40, id ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS epoch FROM I),
-    P AS (SELECT file_id, id, epoch, min(pos) FILTER (src) AS closer, count(*) FILTER (NOT src) AS claims FROM E GROUP BY ALL),
-    H AS (SELECT E.file_id, pos, count(*) AS ids, count(*) FILTER (closer IS NOT NULL AND claims <= 8) AS hits, list_sort(list(closer) FILTER (closer IS NOT NULL AND claims <= 8)) AS h FROM E JOIN P ON P.file_id = E.file_id AND P.id = E.id AND P.epoch = E.epoch WHERE NOT src GROUP BY 1, 2)
-    SELECT doc_id % 40 AS file_id, doc_id AS block_id, coalesce(ids, 0) AS ids, coalesce(hits, 0) AS hits, CASE WHEN hits >= least(2, ids) THEN 1 WHEN hits = 0 THEN 2 ELSE 0 END AS referenced,
-    CASE WHEN hits >= least(2, ids) THEN {a.EPOCH_US} + h[least(2, ids)] * 1000000 END AS first_ref_us FROM documents LEFT JOIN H ON H.pos = doc_id WHERE doc_id % 3 <> 0""",
+    f""", S AS (SELECT doc_id % 40 AS file_id, doc_id AS pos, {a.EPOCH_US} + doc_id * 1000000 AS ts_us, doc_id % 3 = 0 AS src, text FROM documents), {_VERDICTS}
+    SELECT file_id, pos AS block_id, ids, hits, referenced, first_ref_us FROM R""",
+)
+register(
+    "transcript_verdicts",
+    lambda t: search.verdicts(transcripts.reference_events(transcripts.blocks(transcripts.parse(t.agent_lines)))).select(F.col("file_id").alias("file"), F.col("block_id.line").alias("line"), "ids", "hits", "referenced", "first_ref_us"),
+    f""", S AS (SELECT file_id, pos, ts_us, kind <> 'tool_result' AS src, CASE WHEN kind = 'tool_use' THEN text || chr(10) || 'deep' WHEN kind = 'tool_result' THEN to_json(text)::VARCHAR ELSE text END AS text FROM v_block WHERE kind <> 'meta_text'), {_VERDICTS}
+    SELECT '/p/' || file_id || '.jsonl' AS file, pos * 2 AS line, ids, hits, referenced, first_ref_us FROM R""",
+)
+_FILE = "'/p/' || file_id || '.jsonl'"
+_SEEN = f"""SELECT {_FILE} AS file, (row_number() OVER (PARTITION BY file_id ORDER BY line) - 1)::INT AS ordinal, * EXCLUDE (file_id) FROM (
+    SELECT file_id, pos * 2 AS line, kind, CASE WHEN kind = 'tool_result' THEN coalesce(last_value(CASE WHEN kind = 'tool_use' THEN tool END IGNORE NULLS) OVER (PARTITION BY file_id, tool_use_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') ELSE tool END AS tool,
+      kind = 'tool_result' AND is_error AS is_error, CASE WHEN kind = 'tool_result' AND file_id % 2 = 0 THEN text || chr(10) || '[image]' ELSE text END AS text FROM v_block
+    UNION ALL SELECT file_id, pos * 2 + 1, 'compaction', '', false, 'compaction (auto, pre: ' || pos * 100 || ' tokens)' FROM v_block WHERE pos % 10 = 9)"""
+register(
+    "transcript_reading",
+    lambda t: transcripts.entries(transcripts.parse(t.agent_lines)).select("file", "ordinal", "kind", "tool", "is_error", F.when(F.col("kind") == "tool_use", F.get_json_object("text", "$.pattern")).otherwise(F.col("text")).alias("text")),
+    f"SELECT file, ordinal, kind, tool, is_error, text FROM ({_SEEN})",
+)
+register(
+    "transcript_search", lambda t: transcripts.search_lines(t.agent_lines, "the ").select("file", "n", "matches", "ordinal", "kind"),
+    f", Z AS ({_SEEN}) SELECT file, (row_number() OVER w)::INT AS n, count(*) OVER (PARTITION BY file) AS matches, ordinal, kind FROM Z WHERE contains(lower(text), 'the ') WINDOW w AS (PARTITION BY file ORDER BY ordinal) QUALIFY n <= 3",
+)
+
+
+def _with_copies(lines: DataFrame) -> DataFrame:
+    """Every fifth conversation was resumed: its lines stand in a second file too."""
+    copies = lines.where("cast(regexp_extract(file, '[0-9]+', 0) AS long) % 5 = 0").withColumn("file", F.replace("file", F.lit("/p/"), F.lit("/p/copy-")))
+    return lines.unionByName(copies)
+
+
+register(
+    "transcript_unique",
+    lambda t: transcripts.unique(transcripts.blocks(transcripts.parse(_with_copies(t.agent_lines)))).groupBy("session_id", "kind").agg(F.count("*").alias("blocks")),
+    """, L AS (SELECT *, file_id::VARCHAR AS sid FROM v_block UNION ALL SELECT *, 'copy-' || file_id FROM v_block WHERE file_id % 5 = 0),
+    K AS (SELECT sid, kind, CASE WHEN kind IN ('tool_use', 'tool_result') THEN file_id || '-' || tool_use_id WHEN kind IN ('user_text', 'meta_text') THEN CASE WHEN file_id % 3 = 0 THEN 'p' || file_id ELSE sid END || content_hash ELSE file_id || '-' || pos // 2 || content_hash END AS key,
+      kind IN ('user_text', 'meta_text') AS said FROM L),
+    U AS (SELECT arg_min(sid, sid) AS session_id, arg_max(kind, sid) AS kind FROM K GROUP BY key, CASE WHEN said THEN 'ut' ELSE kind END)
+    SELECT session_id, kind, count(*) AS blocks FROM U GROUP BY 1, 2""",
+)
+
+
+def _pulled(t: Tables) -> DataFrame:
+    """The request log as its origin has it, pulled whole and, from a row on, again."""
+    origin = t.gateway.withColumnsRenamed({"pg_id": "id", "chain": "prefix_hash_chain"})
+    return gateway.pull(origin, "router").unionByName(gateway.pull(origin, "router", after=1000))
+
+
+register(
+    "gateway_rows", lambda t: gateway.merged(_pulled(t)).select("key", "source", "pg_id", "session_id", F.col("chain_len").cast("long").alias("chain_len")),
+    "SELECT 'router#' || pg_id AS key, 'router' AS source, pg_id, session_id, len(string_split(chain, ','))::BIGINT AS chain_len FROM v_gw",
+)
+register("gateway_cursors", lambda t: gateway.cursors(_pulled(t)), "SELECT 'router' AS source, max(pg_id) AS cursor FROM v_gw")
+
+# streams on whole tables: the same plans without a trigger
+_TIMED = lambda t: t.requests.withColumn("ts", F.timestamp_micros("ts_us"))
+register(
+    "usage_windows", lambda t: telemetry.usage_windows(_TIMED(t)).withColumn("start", F.unix_micros("start")),
+    "SELECT ts_us // 600000000 * 600000000 AS start, model, count(*) AS requests, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens FROM v_request GROUP BY 1, 2",
+)
+register(
+    "idle_islands", lambda t: telemetry.idle_islands(_TIMED(t)).withColumns({"start": F.unix_micros("start"), "end": F.unix_micros("end")}),
+    """, N AS (SELECT *, (ts_us - lag(ts_us) OVER w > 1800000000)::INT AS new FROM v_request WINDOW w AS (PARTITION BY session_id ORDER BY ts_us)),
+    G AS (SELECT *, coalesce(sum(new) OVER (PARTITION BY session_id ORDER BY ts_us), 0) AS g FROM N)
+    SELECT session_id, min(ts_us) AS start, max(ts_us) + 1800000000 AS end, count(*) AS requests FROM G GROUP BY session_id, g""",
 )
+register("session_spans", lambda t: telemetry.session_spans(t.requests), "SELECT session_id, min(ts_us) AS started_us, max(ts_us) AS ended_us FROM v_request GROUP BY 1")
 
 # trials
 _USED = """, Q AS (SELECT session_id, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens, sum(cache_read)::BIGINT AS cache_read, sum(cache_write)::BIGINT AS cache_write, sum(cost_usd) AS c FROM v_request GROUP BY 1),

@@ -21,3 +21,8 @@ def pull(origin: DataFrame, source: str, after: int = 0) -> DataFrame:
             "session_id": session, "chain_len": F.when(chain == "", 0).otherwise(F.size(F.split(chain, ","))),
         }
     ).drop("id")
+
+
+def merged(pulled: DataFrame) -> DataFrame:
+    """One row per key. A row doesn't change once it is written, so one that is pulled again adds nothing."""
+    return pulled.dropDuplicates(["key"])
