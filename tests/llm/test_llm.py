@@ -430,6 +430,16 @@ def test_bpe_equals_the_library_on_every_plane():
         assert own.decode(ids) == lib.decode(ids.tolist(), skip_special_tokens=False)
 
 
+def test_bpe_words_that_need_no_pattern_equal_the_library():
+    tokenizers = pytest.importorskip("tokenizers")
+    own, lib = bpe.Bpe(open(bpe.tokenizer_path()).read()), tokenizers.Tokenizer.from_file(bpe.tokenizer_path())
+    letters = ["a", "Zz", "é", "ñandú", "\u00aa", "\u00ba", "\u01c5", "\u024f", "\u0250", "\u02b0", "\u0301", "字", "1", "\u00b2", "_"]
+    ends = ["", ",", ".", ";", ":", "!", "?", "!!", "?,", "'s", "'s.", "…", "。", "-"]
+    for word in [a + b for a in [*letters, "", "don't", "x\u0250y", "ab1"] for b in ends]:
+        for text in (word, f"{word} {word}", f"a {word}\n{word} b", f"{word}\n\n{word}"):
+            assert own.encode(text).tolist() == lib.encode(text, add_special_tokens=False).ids, text
+
+
 def test_bpe_query_equals_the_library(spark):
     tokenizers = pytest.importorskip("tokenizers")
     lib, sf = tokenizers.Tokenizer.from_file(bpe.tokenizer_path()), "/root/testdata/sf0.001"

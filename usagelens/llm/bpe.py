@@ -35,7 +35,10 @@ LONGEST = 64
 #: What a table of pieces or of words may hold, and what an entry takes besides its contents.
 PIECE_BYTES, WORD_BYTES, ENTRY = 30_000_000, 80_000_000, 190
 PAIRS = 250_000
+NOTHING: dict[int, bool] = {}
 TOKENIZER = "byte_bpe_50k.json"
+#: Letters up to this one are letters in every version of Unicode; these marks at a word's end are pieces of their own.
+LATIN, STOPS = "\u024f", frozenset(".,;:!?")
 #: Fixed value: the byte-level cutting pattern of this kind of tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -70,15 +73,21 @@ class Bpe:
             if self.rank[one] < 0:
                 self.rank[one], self.halves[one] = n, (a, b)
         usable = {t: i for t, i in ids.items() if len(t) == 1 or i in self.halves}
-        self.sizes = {i: len(t) for t, i in usable.items()}
-        self.shorter = {i: next((usable[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in usable), None) for t, i in usable.items()}
+        self.sizes, self.shorter = [0] * (max(ids.values()) + 1), [None] * (max(ids.values()) + 1)
+        for t, i in usable.items():
+            self.sizes[i] = len(t)
+            self.shorter[i] = next((usable[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in usable), None)
         self.search = ahocorasick.Automaton()
         for t, i in usable.items():
-            self.search.add_word(t, (i, len(t) - 1))
+            if len(t) > 1:
+                self.search.add_word(t, (i, len(t) - 1))
         self.search.make_automaton()
+        #: tokens of one byte: what starts at a byte if no longer one does
+        self.single = [ids.get(chr(b), 0) for b in range(256)].__getitem__
         #: compatible pairs as far as they have come up; nothing goes before a first token
-        self.none_before = {(-1, i): True for i in usable.values()}
-        self.follows: dict[tuple[int, int], bool] = dict(self.none_before)
+        self.none_before = {i: True for i in usable.values()}
+        self.follows: dict[int, dict[int, bool]] = {-1: self.none_before}
+        self.n_pairs = 0
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
             raise ValueError("added tokens that strip or need word ends are not served")
@@ -101,8 +110,6 @@ class Bpe:
         Both are undone merge by merge, latest first. Whenever the tokens that meet at the border
         could have merged before the merge undone last, the border would not have survived.
         """
-        if left < 0:
-            return True
         a, b, ok = left, right, True
         # a merge over the border counts if it comes before `bound`, the rank undone last; on
         # equal rank the one further left comes first
@@ -119,30 +126,34 @@ class Bpe:
                 bound, a = x, self.halves[a][1]
             else:
                 bound, b = y + 1, self.halves[b][0]
-        self.follows[left, right] = ok
+        self.follows.setdefault(left, {})[right] = ok
+        self.n_pairs += 1
         return ok
 
-    def piece(self, data: str) -> list[int]:
-        """Ids of one piece, given as bytes in characters."""
+    def piece(self, data: bytes) -> list[int]:
+        """Ids of one piece."""
         n = len(data)
-        longest = [0] * (n + 1)
-        for end, (token, back) in self.search.iter(data):
+        longest = [*map(self.single, data), 0]
+        for end, (token, back) in self.search.iter(data.decode("latin-1")):
             longest[end - back] = token  # of matches with one start, longer ones end later
-        sizes, follows = self.sizes, self.follows
+        sizes, follows, shorter = self.sizes, self.follows, self.shorter
         last, token = -1, longest[0]
+        after = follows[-1]  # what may follow the last token, as far as known
         out: list[int] = []
         shut = None  # positions given up
         at = 0
         while at < n:
-            end = at + sizes[token]
-            ok = follows.get((last, token))
+            ok = after.get(token)
             if ok is None:
                 ok = self.compatible(last, token)
-            if ok and (shut is None or not shut[end]):
-                out.append(token)
-                last, at, token = token, end, longest[end]
-                continue
-            token = self.shorter[token]
+                after = follows[last]
+            if ok:
+                end = at + sizes[token]
+                if shut is None or not shut[end]:
+                    out.append(token)
+                    last, at, token, after = token, end, longest[end], follows.get(token, NOTHING)
+                    continue
+            token = shorter[token]
             if token is None:
                 if shut is None:
                     shut = bytearray(n + 1)
@@ -150,6 +161,7 @@ class Bpe:
                 token = out.pop()
                 at -= sizes[token]
                 last = out[-1] if out else -1
+                after = follows.get(last, NOTHING)
         return out
 
     def known(self, piece: str) -> bytes:
@@ -166,9 +178,9 @@ class Bpe:
         return found
 
     def fresh(self, piece: str) -> bytes:
-        if len(self.follows) >= PAIRS:
-            self.follows = dict(self.none_before)
-        return array("i", self.piece(piece.encode().decode("latin-1"))).tobytes()
+        if self.n_pairs >= PAIRS:
+            self.follows, self.n_pairs = {-1: self.none_before}, 0
+        return array("i", self.piece(piece.encode())).tobytes()
 
     def word(self, word: str) -> bytes:
         """Ids of a word with the space before it, or of a line end: these are cut alike wherever they stand."""
@@ -177,8 +189,11 @@ class Bpe:
             return found
         found = self.old_words.get(word)
         if found is None:
-            if word.isascii() and word[word.startswith(" ") :].isalpha():  # one piece, kept among the words only
+            stem = word[1:] if word[:1] == " " else word
+            if stem.isalpha() and (stem.isascii() or max(stem) <= LATIN):  # one piece, kept among the words only
                 found = self.cache.get(word) or self.fresh(word)
+            elif stem[-1:] in STOPS and stem[:-1].isalpha() and max(stem) <= LATIN:  # two pieces, whatever comes after
+                found = self.known(word[:-1]) + self.known(word[-1])
             else:
                 get = self.known
                 found = b"".join([get(p) for p in self.cut.findall(word)])
