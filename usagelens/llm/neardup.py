@@ -41,7 +41,7 @@ PERMS = BANDS * ROWS
 SMALL = 8
 BLOCK = 256
 THRESHOLD = 80  # percent
-WORD_CACHE = 300_000
+WORD_CACHE, LONGEST = 300_000, 64  # words kept, and bytes of the longest of them
 _M = (1 << 64) - 1
 _EQUAL = np.array([(not x >> 4) + (not x & 15) for x in range(256)], dtype=np.uint16)  # equal minima in a byte of a xor
 
@@ -56,9 +56,11 @@ class Words(dict):
     """64-bit fingerprints of words, kept for the words met last."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORD_CACHE:
-            self.clear()
-        self[word] = found = xxhash.xxh3_64_intdigest(word)
+        found = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= LONGEST:
+            if len(self) >= WORD_CACHE:
+                self.clear()
+            self[word] = found
         return found
 
 
