@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from usagelens.llm import ann, bpe, licenses, mixing, neardup, packing, quality, secrets, sharding, toxicity
+from usagelens.llm import ann, bpe, licenses, mixing, neardup, packing, pstable, quality, secrets, sharding, toxicity
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_backtracking_bpe": bpe.op8,
     "op9_license_dice": licenses.op9,
     "op10_bounded_ring": sharding.op10,
+    "op11_pstable_copies": pstable.op11,
 }
 ORACLES = {
     "op2_bbit_minhash": neardup.ORACLE,
     "op4_line_quality": quality.ORACLE,
     "op9_license_dice": licenses.ORACLE,
+    "op11_pstable_copies": pstable.ORACLE,
 }
