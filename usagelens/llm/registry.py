@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from usagelens.llm import ann, bpe, licenses, mixing, neardup, packing, pstable, quality, secrets, sharding, toxicity
+from usagelens.llm import ann, bpe, crosstok, licenses, mixing, neardup, packing, pstable, quality, secrets, sharding, toxicity, zfast
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1,
@@ -16,10 +16,13 @@ QUERIES = {
     "op9_license_dice": licenses.op9,
     "op10_bounded_ring": sharding.op10,
     "op11_pstable_copies": pstable.op11,
+    "op12_galloping_alignment": crosstok.op12,
+    "op13_zfast_trie": zfast.op13,
 }
 ORACLES = {
     "op2_bbit_minhash": neardup.ORACLE,
     "op4_line_quality": quality.ORACLE,
     "op9_license_dice": licenses.ORACLE,
     "op11_pstable_copies": pstable.ORACLE,
+    "op13_zfast_trie": zfast.ORACLE,
 }
