@@ -134,22 +134,69 @@ def test_incremental_pairing(spark):
     assert pairing.pair_new(g, r, done, 300, 300).count() == 0
 
 
-def test_streamed_pairing_equals_its_passes(spark, tmp_path):
+def test_busy_output_number_is_many_groups(spark):
+    """Rows of one output number, without a pause: conflict groups part them, and islands within a group by stretches."""
+    rng = random.Random(9)
+    minute = 60 * 10**6
+    req = [(i, i * minute // 4, i % 3, rng.choice([5, 5, 5, 1000 + i % 40]), 1, rng.choice([0, 7, 7, 995 + i % 40]), 0) for i in range(1500)]
+    gw = [(i, r[1] + rng.randrange(-20, 20) * minute, rng.choice(["", str(r[2])]), rng.choice(["anthropic", "chat"]), *r[3:]) for i, r in enumerate(req)]
+    gw = [(*g[:4], g[4] + g[6], *g[5:]) if g[3] == "chat" and g[0] % 3 == 0 else g for g in gw]  # gross prompts
+    columns = "input_tokens long, output_tokens long, cache_read long, cache_write long"
+    r = spark.createDataFrame(req, f"request_id long, ts_us long, session_id long, {columns}")
+    g = spark.createDataFrame(gw, f"pg_id long, ts_us long, session_id string, api_class string, {columns}").withColumn("status", F.lit(200))
+    got = {(x.pg_id, x.request_id) for x in pairing.pair(g, r).collect()}
+    assert got == sequential(gw, req, pairing.WINDOW_US) and len(got) > 1000
+    line = g.selectExpr("true g", "pg_id id", "ts_us", "session_id", "api_class = 'chat' chat", *pairing.USAGE)
+    line = line.union(r.selectExpr("false g", "request_id id", "ts_us", "cast(session_id as string)", "false", *pairing.USAGE))
+    groups = pairing.conflict_groups(line, pairing.WINDOW_US)
+    assert groups.select("cell").distinct().count() > 20
+    most = groups.groupBy("cell").count().orderBy(F.desc("count")).first()
+    dealt = pairing.islands(groups.where(F.col("cell") == most.cell), ["output_tokens", "cell"], pairing.WINDOW_US, 30 * minute)
+    assert dealt.select("island").distinct().count() == 1 and dealt.count() == most["count"] > 300
+
+
+def test_islands_are_those_of_one_window(spark):
+    rng = random.Random(4)
+    rows = [(k, rng.randrange(40_000)) for k in ("a", "b", "c") for _ in range(200)] + [("d", 5), ("d", 5)]
+    df = spark.createDataFrame(rows, "k string, ts_us long")
+    for stretch in (100, 1000, 10**9):
+        got = {}
+        for x in pairing.islands(df, ["k"], 150, stretch).collect():
+            got.setdefault((x.k, x.island), []).append(x.ts_us)
+        want = []
+        for k in "abcd":
+            for _, t in sorted(r for r in rows if r[0] == k):
+                if want and want[-1][0] == k and t - want[-1][1][-1] <= 150:
+                    want[-1][1].append(t)
+                else:
+                    want.append((k, [t]))
+        assert sorted((k, sorted(v)) for (k, _), v in got.items()) == sorted(want)
+
+
+def test_streamed_pairing_is_the_batch_result_with_bounded_state(spark, tmp_path):
     gw, req, g, r = traffic(spark, 5)
-    first, second = in_two_passes(gw, req, lambda x: x[0] <= 180, lambda x: x[0] > 180)
-    rows = g.withColumn("request_id", F.lit(None).cast("long")).unionByName(r.withColumn("session_id", F.col("session_id").cast("string")), allowMissingColumns=True)
-    number = F.coalesce("pg_id", "request_id")
-    rows.where(number <= 180).coalesce(1).write.parquet(f"{tmp_path}/in/a.parquet")
-    path, live = str(tmp_path / "out"), spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in/*")
-    go = lambda: pairing_stream.pair_stream(live, path, f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
-    go()
-    rows.where(number > 180).coalesce(1).write.parquet(f"{tmp_path}/in/b.parquet")
-    go()
-    found = lambda: {(x.batch, x.pg_id, x.request_id) for x in spark.read.parquet(f"{path}/pairs").collect()}
-    want = {(0, *x) for x in first} | {(1, *x) for x in second}
-    assert found() == want
-    pairing_stream.pass_of(rows.where(number > 180), 1, path)  # run again
-    assert found() == want
+    shift = 10**12  # away from the epoch, where watermarks begin
+    gw, req = [(i, ts + shift, *x) for i, ts, *x in gw], [(i, ts + shift, *x) for i, ts, *x in req]
+    later = lambda df: df.withColumn("ts_us", F.col("ts_us") + shift)
+    rows = pairing_stream.arrivals(later(g), later(r))
+    rng, late, far = random.Random(8), 20 * 60 * 10**6, 10**12
+    every = sorted(rows.collect(), key=lambda x: x.ts_us + rng.randrange(late))  # up to 20 minutes after their time
+    for n in range(6):
+        part = every[n * len(every) // 6 : (n + 1) * len(every) // 6]
+        spark.createDataFrame(part, rows.schema).coalesce(1).write.parquet(f"{tmp_path}/in/{n}.parquet")
+    for n in (6, 7):  # time goes on
+        one = spark.createDataFrame([(False, 10**6 + n, far * n, "9", False, 1, 99, 0, 0)], rows.drop("ts").schema)
+        one.withColumn("ts", F.timestamp_micros("ts_us")).coalesce(1).write.parquet(f"{tmp_path}/in/{n}.parquet")
+    live = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    out = pairing_stream.pairs(live, "20 minutes").writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/cp")
+    q = out.trigger(availableNow=True).start(f"{tmp_path}/out")
+    q.awaitTermination()
+    got = [(x.pg_id, x.request_id) for x in spark.read.parquet(f"{tmp_path}/out").collect()]
+    assert len(got) == len(set(got)) and set(got) == sequential(gw, req, pairing.WINDOW_US)
+    read = [p.numInputRows for p in q.recentProgress]
+    assert sum(read) == len(every) + 2  # no row is read again
+    held = [p.stateOperators[0].numRowsTotal for p in q.recentProgress]
+    assert held[-1] <= 1 < max(held)  # the number of the last row alone
 
 
 def test_traffic_of_a_model(spark):

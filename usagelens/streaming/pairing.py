@@ -1,35 +1,69 @@
-"""Pairing as rows arrive: each micro-batch is an incremental pass over what came before it."""
+"""Pairing as rows arrive: bounded state, each row read once."""
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
+
+from usagelens.operators.pairing import USAGE, WINDOW_US, Sweep, fit
+
+PAIR = "pg_id long, request_id long, skew_us long"
 
-from usagelens.operators import pairing
 
-GATEWAY = ["pg_id", "ts_us", "session_id", "api_class", "status", *pairing.USAGE]
-REQUEST = ["request_id", "ts_us", "session_id", *pairing.USAGE]
-PAIR = "pg_id long, request_id long, skew_us long, batch long"
+def arrivals(gateway: DataFrame, requests: DataFrame) -> DataFrame:
+    """Both streams as one: rows that can pair, with `ts`, their time."""
+    cached = [F.coalesce(c, F.lit(0)).alias(c) for c in USAGE[2:]]
+    g = gateway.where(fit()).select(
+        F.lit(True).alias("g"), F.col("pg_id").alias("id"), "ts_us", F.coalesce("session_id", F.lit("")).alias("session_id"), (F.col("api_class") == "chat").alias("chat"), *USAGE[:2], *cached
+    )
+    r = requests.where("input_tokens is not null and output_tokens is not null").select(
+        F.lit(False).alias("g"), F.col("request_id").alias("id"), "ts_us", F.col("session_id").cast("string").alias("session_id"), F.lit(False).alias("chat"), *USAGE[:2], *cached
+    )
+    return g.unionByName(r).withColumn("ts", F.timestamp_micros("ts_us"))
 
 
-def pass_of(batch: DataFrame, number: int, path: str) -> None:
-    """One pass: the batch's rows join the tables below `path`, and its pairs those of earlier batches.
+def pairs(rows: DataFrame, late: str = "1 hour", window_us: int = WINDOW_US) -> DataFrame:
+    """pg_id, request_id, skew_us of the pairs of `arrivals`, once each, as the batch operator makes them.
 
-    batch: rows of GATEWAY (request_id null) and of REQUEST (pg_id null). Each batch has its own
-    partition in the three tables and reads only earlier pairs, so a batch that is run again
-    writes the same.
+    A row may come up to `late` after others of its time. The watermark decides: a gateway row is
+    paired once it has passed the row's time and the window, by then everything that it could
+    pair with has come, in whatever order. State per output number: gateway rows not decided yet and
+    requests of the last two windows before the watermark; it goes when both are gone. What comes
+    after the watermark is dropped by Spark.
     """
-    spark = batch.sparkSession
-    put = lambda rows, name: rows.write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
-    put(batch.where("pg_id IS NOT NULL").select(*GATEWAY), "gateway")
-    put(batch.where("pg_id IS NULL").select(*REQUEST), "requests")
-    upto = lambda name: spark.read.parquet(f"{path}/{name}").where(F.col("batch") <= number)
-    gateway, requests = upto("gateway"), upto("requests")
-    before = upto("pairs").where(F.col("batch") < number) if number else spark.createDataFrame([], PAIR)
-    new = F.col("batch") == number
-    put(pairing.pair_more(pairing.scope(gateway, requests.where(new), before, new), requests, before), "pairs")
-
-
-def pair_stream(arrivals: DataFrame, path: str, checkpoint: str):
-    """A stream of both kinds of rows into the pairs below `path`; a transcript that comes late still finds its row."""
-    return arrivals.writeStream.foreachBatch(lambda batch, number: pass_of(batch, number, path)).option("checkpointLocation", checkpoint)
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        sweep = Sweep(window_us)
+        if state.exists:
+            waiting, requests, taken = json.loads(state.get[0])
+            for ts, pg_id, session, chat, usage in waiting:
+                sweep.gateway(ts, pg_id, session, chat, tuple(usage))
+            for ts, request_id, session, usage in requests:
+                sweep.request(ts, request_id, session, tuple(usage))
+            sweep.taken = set(taken)
+        for batch in batches:
+            for x in batch.itertuples(index=False):
+                usage = (int(x.input_tokens), int(x.cache_read), int(x.cache_write))
+                if x.g:
+                    sweep.gateway(int(x.ts_us), int(x.id), x.session_id, bool(x.chat), usage)
+                else:
+                    sweep.request(int(x.ts_us), int(x.id), x.session_id, usage)
+        passed = state.getCurrentWatermarkMs() * 1000
+        found = list(sweep.decided(passed)) if passed > 0 else []
+        if sweep.waiting or sweep.requests:
+            state.update((json.dumps([sweep.waiting, sweep.requests, sorted(sweep.taken)]),))
+            # called again when the oldest row can be decided, or dropped
+            due = [sweep.waiting[0][0] + window_us] if sweep.waiting else []
+            due += [sweep.requests[0][0] + 2 * window_us] if sweep.requests else []
+            state.setTimeoutTimestamp(max(min(due) // 1000, passed // 1000) + 1)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(found, columns=[c.split()[0] for c in PAIR.split(", ")])
+
+    held = rows.withWatermark("ts", late).groupBy("output_tokens")
+    return held.applyInPandasWithState(step, PAIR, "rows string", "append", GroupStateTimeout.EventTimeTimeout)
