@@ -92,6 +92,7 @@ def odd_texts():
     for _ in range(60):
         texts.append("".join(chr(rng.choice([rng.randrange(1, 128), rng.randrange(128, 0x800), rng.randrange(0x2000, 0x2800), rng.randrange(0x1F300, 0x1F700)])) for _ in range(rng.randrange(1, 60))))
     texts.append(" ".join(rng.choice(words) + str(i % 89) for i in range(5000)))
+    texts += ["word " * 300 + "é" * 1200, " " * 1100 + "x" * 3000, "a\n" * 600 + "\t" * 1500 + "b", "ab" * 5000]  # pieces that the other encoder takes
     return texts + texts[9:12]
 
 

@@ -15,9 +15,9 @@ places of two neighbours is the range of tokens that overlap.
    of its ids: the bound of what is broadcast) marks the best.
 3. Each block's documents meet its totals.
 
-Words and line starts are encoded alike wherever they stand, as no piece of either tokenizer goes
-over a space that follows something else or over a line end (the model is checked for that); a
-task keeps the last ones, in at most 2 x WORD_BYTES. Results don't depend on it.
+The first tokenizer's ids come from tiktoken over the ranks of the tokenizer file, where merges are ranked as
+their tokens are (checked), and pieces of over LONG characters from this library's own encoder, which stays
+linear there; the second's from sentencepiece.
 
 Defined results: a text that is null, empty, or that either tokenizer doesn't give back byte by byte
 (such as one with U+2581, which the second takes for a space) has no tokens: zeros and an empty digest;
@@ -28,6 +28,7 @@ table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from array import array
 from bisect import bisect_left
@@ -36,17 +37,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usagelens.llm.bpe import LONGEST, Bpe, content_of, tokenizer_path
+from usagelens.llm.bpe import PATTERN, Bpe, byte_of_char, content_of, tokenizer_path
 from usagelens.llm.common import materialize, with_shared
 
 PIECES = "piece_bpe_32k.model"
 #: Distinct linked pairs, summed over its documents, that a block holds, and pairs of one row.
 HELD, ROW = 1_500_000, 1 << 15
-WORD_BYTES, ENTRY = 50_000_000, 330
+LONG = 1000
+BLANK = re.compile(r"\s{%d}" % LONG)
 MARK = "▁"
 
 
@@ -107,45 +110,25 @@ class Aligner:
         self.blob = np.frombuffer(b"".join(told), dtype=np.uint8)
         self.offsets = np.concatenate([[0], np.cumsum([len(x) for x in told])])
         self.sizes_a, self.sizes_b = np.diff(self.bpe.offsets), np.diff(self.offsets)
-        self.by_word = not any(re.search(f"[^{MARK}]{MARK}|\n", p) for p in pieces) and self.sp.encode("\n") == [self.sp.piece_to_id(MARK), self.sp.piece_to_id("<0x0A>")]
-        self.words: dict[str, tuple[bytes, bytes]] = {}
-        self.old_words: dict[str, tuple[bytes, bytes]] = {}
-        self.held = 0
-        n_a = len(self.sizes_a)
-        self.told = [f"{i}{mark}" for ids, marks in ((n_a, ",|"), (n, ",;")) for mark in marks for i in range(ids)]
-        self.told_at = (0, n_a, 2 * n_a, 2 * n_a + n)
-
-    def ids_a(self, text: str) -> bytes:
-        get = self.bpe.known
-        return b"".join([get(p) for p in self.bpe.cut.findall(text)])
-
-    def learn(self, words: list[str]) -> dict[str, tuple[bytes, bytes]]:
-        """Ids of words (a space before them, or at a line's start, or line ends) by both tokenizers."""
-        found = {}
-        # a line end goes before those without a space, instead of the space that the tokenizer puts there
-        asked = [w[1:] if w[0] == " " else "\n" + w for w in words]
-        for word, ids in zip(words, self.sp.encode(asked, num_threads=1), strict=True):
-            ids = ids if word[0] == " " else ids[2:]
-            one = found[word] = (self.ids_a(word), array("i", ids).tobytes())
-            if len(word) <= LONGEST:
-                self.held += ENTRY + 4 * len(word) + len(one[0]) + len(one[1])
-                if self.held > WORD_BYTES:
-                    self.words, self.old_words, self.held = {}, self.words, 0
-                self.words[word] = one
-        return found
+        spec = json.loads(content)
+        to_byte = byte_of_char()
+        added = {t["id"] for t in spec["added_tokens"]}
+        ranks = {bytes(to_byte[c] for c in t): i for t, i in spec["model"]["vocab"].items() if i not in added}
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
+        made = [spec["model"]["vocab"][a + b] for a, b in pairs]
+        #: none if ranks of merges and ids of tokens differ
+        self.quick = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}) if made == sorted(set(made)) and len(made) + 256 == len(ranks) else None
+        marks = [*[f"{i}{mark}" for mark in ",|" for i in range(len(self.sizes_a))], *[f"{i}{mark}" for mark in ",;" for i in range(n)]]
+        self.told = np.array([m.encode() for m in marks])  # of fixed width, zeros behind
+        self.told_at = (0, len(self.sizes_a), 2 * len(self.sizes_a), 2 * len(self.sizes_a) + n)
 
     def encoded(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        if not self.by_word or "\x00" in text or " ".join(text.split()) != text.replace("\n", " "):
-            a, b = self.ids_a(" " + text), array("i", self.sp.encode(text, num_threads=1)).tobytes()
+        if self.quick is None or len(text) > LONG and (BLANK.search(text) or max(map(len, text.split()), default=0) > LONG):
+            get = self.bpe.known
+            a = np.frombuffer(b"".join([get(p) for p in self.bpe.cut.findall(" " + text)]), dtype=np.int32)
         else:
-            words = (" " + text).replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")[1:]
-            get, old = self.words.get, self.old_words.get
-            found = [get(w) or old(w) for w in words]
-            if None in found:
-                fresh = self.learn(list({w for w, x in zip(words, found, strict=True) if x is None}))
-                found = [x or fresh[w] for w, x in zip(words, found, strict=True)]
-            a, b = b"".join([x[0] for x in found]), b"".join([x[1] for x in found])
-        return np.frombuffer(a, dtype=np.int32), np.frombuffer(b, dtype=np.int32)
+            a = np.array(self.quick.encode_ordinary(" " + text), dtype=np.int32)
+        return a, np.frombuffer(array("i", self.sp.encode(text, num_threads=1)).tobytes(), dtype=np.int32)
 
     def align(self, text: str | None) -> Aligned | None:
         """None if the text has no tokens."""
@@ -175,7 +158,7 @@ class Aligner:
         out = np.empty(len(text_a) + len(text_b), dtype=np.int64)
         out[np.arange(len(text_a)) + np.repeat(one.cut_b + 1 - size_b, size_a)] = text_a  # behind the b of the groups before
         out[np.arange(len(text_b)) + np.repeat(one.cut_a + 1, size_b)] = text_b
-        return hashlib.sha256("".join(map(self.told.__getitem__, out.tolist()))[:-1].encode()).hexdigest()
+        return hashlib.sha256(self.told[out].tobytes().translate(None, b"\0")[:-1]).hexdigest()
 
 
 _LOADED: dict[str, Aligner] = {}
