@@ -1,6 +1,7 @@
 """Transcripts kept as one JSON object a file: session/*/*.json, message/*/*.json, part/*/*.json.
 
-The same three tables kept in a database (id, parents, JSON column `data`) go through `decoded`.
+The same three tables kept in a database (id, parents, JSON column `data`) are read by `database`, all or
+only what changed since a manifest of keys, lengths and times (`database_keys`).
 Sizes count the decoded text of a result, not its JSON form. A message changes while it is
 written, so later versions win (`merge.last_wins`). Objects without an id are counted, not read.
 """
@@ -10,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from usagelens.sources import files, ranges
+
 #: The fields read of each kind, and what keys of requests and blocks begin with.
 SESSION = "id string, slug string, directory string, title string, time struct<created:long,updated:long>"
 MESSAGE = """id string, sessionID string, role string, modelID string, providerID string, cost double, finish string,
@@ -26,10 +29,56 @@ def read(spark: SparkSession, root: str, kind: str) -> DataFrame:
     return rows.withColumn("folder", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1))
 
 
-def decoded(rows: DataFrame, kind: str, folder: str) -> DataFrame:
-    """Rows of a database's table: JSON in `data`, the object's id in `id`, its parent's in column `folder`."""
-    whole = rows.select(F.col("id").alias("_id"), F.col(folder).alias("folder"), F.from_json("data", KINDS[kind]).alias("e"))
-    return whole.select("_id", "folder", "e.*").withColumn("id", F.coalesce("id", "_id")).drop("_id")
+def decoded(rows: DataFrame, kind: str, folder: str, more: list[str] | None = None) -> DataFrame:
+    """Rows of a database's table: JSON in `data`, the object's id in `id`, its parent's in column `folder`; also the columns `more`."""
+    more = more or []
+    whole = rows.select(F.col("id").alias("_id"), F.col(folder).alias("folder"), *more, F.from_json("data", KINDS[kind]).alias("e"))
+    return whole.select("_id", "folder", *more, "e.*").withColumn("id", F.coalesce("id", "_id")).drop("_id")
+
+
+#: The columns of the database's tables besides `data`.
+PARENTS = {"session": [], "message": ["session_id"], "part": ["message_id", "session_id"]}
+MANIFEST = "kind string, id string, size long, updated long"
+
+
+def _database(path: str) -> dict:
+    return {"driver": "sqlite3", "dsn": f"file:{path}?mode=ro", "connect": '{"uri": true, "timeout": 5}'}
+
+
+def database_keys(spark: SparkSession, path: str, kind: str, span: int = ranges.SPAN) -> DataFrame:
+    """kind, id, size, updated and place of each row of a table; `data` is measured, not read."""
+    size = "0" if kind == "session" else "coalesce(length(data), 0)"
+    rows = ranges.table(
+        spark, "id string, size long, updated long, place long", table=kind, key="rowid", range=span, expr_size=size, expr_updated="coalesce(time_updated, 0)", expr_place="rowid", **_database(path)
+    )
+    return rows.withColumn("kind", F.lit(kind)).select("kind", "id", "size", "updated", "place")
+
+
+def database(spark: SparkSession, path: str, kind: str, before: DataFrame | None = None) -> DataFrame:
+    """Objects of one kind as `read` gives them; with a manifest, only those that are new or differ from it.
+
+    Keys, lengths and times are compared first; then only the payloads of changed rows are read,
+    on the executors. A session's fields are columns, so it has no payload.
+    """
+    if kind == "session":
+        fields = "id string, slug string, directory string, title string, time_created long, time_updated long"
+        rows = ranges.table(spark, fields, table="session", key="rowid", **_database(path))
+        if before is not None:
+            keys = files.changed_rows(database_keys(spark, path, kind), before, ["kind", "id"])
+            rows = rows.join(keys.select("id"), "id", "left_semi")
+        time = F.struct(F.col("time_created").alias("created"), F.col("time_updated").alias("updated"))
+        return rows.select("id", "slug", "directory", "title", time.alias("time"), F.lit("").alias("folder"))
+    fields = ", ".join(f"{c} string" for c in ("id", *PARENTS[kind], "data"))
+    if before is None:
+        rows = ranges.table(spark, fields, table=kind, key="rowid", **_database(path))
+    else:
+        keys = files.changed_rows(database_keys(spark, path, kind), before, ["kind", "id"])
+        rows = ranges.payloads(keys.select(F.col("place").alias("rowid")), fields, table=kind, key="rowid", **_database(path))
+    rows = decoded(rows, kind, "session_id", PARENTS[kind])
+    # ids and parents are columns there, and those count
+    rows = rows.withColumn("sessionID", F.col("session_id"))
+    rows = rows.withColumn("messageID", F.col("message_id")) if kind == "part" else rows
+    return rows.drop(*PARENTS[kind])
 
 
 def broken(rows: DataFrame) -> DataFrame:
