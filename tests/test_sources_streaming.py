@@ -2,7 +2,9 @@
 
 import json
 
-from usagelens.sources import files, gateway, otel
+import pytest
+
+from usagelens.sources import files, gateway, otel, sink
 from usagelens.streaming import telemetry
 
 
@@ -74,18 +76,80 @@ def test_streams(spark, tmp_path):
     assert spark.table("span").select("session_id", "started_us").collect() == [("s", 5_000_000)]
 
 
+HOW = {"key": ["key"], "order": ["seq"], "partition": "day"}
+
+
+def dated(spark, *x):
+    return spark.createDataFrame(x, "day string, key string, v long, seq long")
+
+
+def state(spark, path, at=None):
+    return {(r.day, r.key): r.v for r in sink.read(spark, path, at).collect()}
+
+
 def test_keyed_sink_merges_and_is_idempotent(spark, tmp_path):
-    from usagelens.sources.sink import upsert
+    path = "file://" + str(tmp_path / "table")
+    first = {("01", "a"): 5, ("01", "b"): 6, ("2", "c"): 7, (None, "n"): 1}
+    assert sink.upsert(dated(spark, *[(d, k, v, 0) for (d, k), v in first.items()]), path, **HOW) == 1
+    untouched = sink.Folder(spark, path).manifest(1)["parts"]
+    again = dated(spark, ("01", "a", 9, 1), ("01", "d", 1, 1), ("01", "b", 0, -1))
+    for n in (2, 3):
+        assert sink.upsert(again, path, **HOW) == n
+        assert state(spark, path) == first | {("01", "a"): 9, ("01", "d"): 1}  # a partition "01" stays text
+    assert state(spark, path, 1) == first
+    parts = sink.Folder(spark, path).manifest(3)["parts"]
+    assert sum(parts[k] == untouched[k] for k in untouched) == 2  # others' folders as they were
+    sink.vacuum(spark, path, keep=1)
+    assert state(spark, path) == first | {("01", "a"): 9, ("01", "d"): 1} and sink.Folder(spark, path).versions() == [3]
+    assert len(list((tmp_path / "table" / "data").iterdir())) == 2
+
+
+def test_a_write_that_dies_leaves_the_old_table(spark, tmp_path):
+    path = "file://" + str(tmp_path / "table")
+    sink.upsert(dated(spark, ("1", "a", 5, 0), ("2", "c", 7, 0)), path, **HOW)
+
+    def dying(batches):
+        for batch in batches:
+            if "x" in batch.column("key").to_pylist():
+                raise OSError("gone")
+            yield batch
+
+    rows = dated(spark, ("1", "a", 6, 1), ("2", "x", 1, 1)).repartition(2, "key")
+    with pytest.raises(Exception, match="gone"):
+        sink.upsert(rows.mapInArrow(dying, rows.schema), path, **HOW)
+    assert state(spark, path) == {("1", "a"): 5, ("2", "c"): 7} and sink.version(spark, path) == 1
+    # rows written, but killed before the commit
+    commit = sink.Folder.commit
+    try:
+        sink.Folder.commit = lambda *_: (_ for _ in ()).throw(KeyboardInterrupt())
+        with pytest.raises(KeyboardInterrupt):
+            sink.upsert(dated(spark, ("1", "a", 6, 1)), path, **HOW)
+    finally:
+        sink.Folder.commit = commit
+    assert state(spark, path) == {("1", "a"): 5, ("2", "c"): 7}
+    sink.upsert(dated(spark, ("1", "a", 8, 2)), path, **HOW)
+    sink.vacuum(spark, path)
+    assert state(spark, path) == {("1", "a"): 8, ("2", "c"): 7}
+
+
+def test_a_write_from_an_old_version_is_refused(spark, tmp_path):
+    path = "file://" + str(tmp_path / "table")
+    one = sink.upsert(dated(spark, ("1", "a", 5, 0)), path, **HOW)
+    sink.upsert(dated(spark, ("1", "a", 6, 1)), path, based_on=one, **HOW)
+    with pytest.raises(sink.Conflict):
+        sink.upsert(dated(spark, ("1", "a", 0, 9)), path, based_on=one, **HOW)
+    folder = sink.Folder(spark, path)
+    assert not folder.commit("versions/000000000002.json", "{}")  # two that commit at once: one rename wins
+    assert state(spark, path) == {("1", "a"): 6}
+
 
+def test_stream_into_the_sink(spark, tmp_path):
     path = "file://" + str(tmp_path / "table")
-    rows = lambda *x: spark.createDataFrame(x, "day long, key string, v long, seq long")
-    how = {"key": ["key"], "order": ["seq"], "partition": "day"}
-    upsert(rows((1, "a", 5, 0), (1, "b", 6, 0), (2, "c", 7, 0)), path, **how)
-    again = rows((1, "a", 9, 1), (1, "d", 1, 1), (1, "b", 0, -1))
-    for _ in range(2):
-        upsert(again, path, **how)
-        got = {(r.day, r.key): r.v for r in spark.read.parquet(path).collect()}
-        assert got == {(1, "a"): 9, (1, "b"): 6, (1, "d"): 1, (2, "c"): 7}
+    for n, part in enumerate(([("1", "a", 5, 0), ("1", "b", 1, 0)], [("1", "a", 7, 1), ("2", "c", 2, 0)])):
+        dated(spark, *part).coalesce(1).write.parquet(f"{tmp_path}/in/{n}.parquet")
+    live = spark.readStream.schema(dated(spark).schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    sink.upsert_stream(live, path, f"{tmp_path}/cp", **HOW).trigger(availableNow=True).start().awaitTermination(120)
+    assert state(spark, path) == {("1", "a"): 7, ("1", "b"): 1, ("2", "c"): 2}
 
 
 def test_paired_chains_take_the_session_of_their_request(spark):
