@@ -1,6 +1,8 @@
+import time
+
 from pyspark.sql import functions as F
 
-from usagelens.operators import cache, residency, trials, wire
+from usagelens.operators import cache, residency, session, trials, wire
 
 MIN = 60 * 1000000
 REQ = "request_id long, session_id long, model string, ts_us long, input_tokens long, output_tokens long, cache_read long, cache_write long, write_5m long, write_1h long"
@@ -73,3 +75,20 @@ def test_percentile_rule(spark):
     wanted = {2: 2, 3: 3, 4: 3, 5: 4}
     rows = spark.createDataFrame([(n, i) for n in wanted for i in range(1, n + 1)], "arm int, x int")
     assert {r.arm: r.value for r in trials.percentiles(rows, "arm", [("p", "x", 0.5)]).collect()} == wanted
+
+
+def test_long_session_takes_one_pass(spark):
+    """A session of 50,000 blocks and as many requests: frames that grow, no frame looked through again at each row."""
+    n = 50_000
+    blocks = spark.range(n).selectExpr(
+        "id AS block_id", "1L AS session_id", "id * 10 AS ts_us", "CASE id % 3 WHEN 0 THEN 'thinking' WHEN 1 THEN 'user_text' ELSE 'tool_result' END AS kind", "2L AS est_tokens"
+    )
+    requests = spark.range(n).selectExpr("id AS request_id", "1L AS session_id", "id * 10 + 5 AS ts_us")
+    marks = spark.range(1, 5).selectExpr("1L AS session_id", "id * 100000 + 1 AS ts_us")
+    begin = time.time()
+    got = {r.block_id: r.requests for r in residency.resident(blocks, requests, marks).collect()}
+    place = {r.block_id: r.request_idx for r in session.block_to_request(blocks, requests).collect()}
+    assert time.time() - begin < 60
+    end = lambda i: next((m * 10_000 for m in range(1, 5) if m * 10_000 >= i), n)  # noqa: E731  requests before the block's boundary
+    assert len(got) == n and all(got[i] == (min(end(i), i + 1) if i % 3 == 0 else min(end(i), n)) - i for i in range(0, n - 3, 7))
+    assert place == {i: i for i in range(n)}

@@ -18,7 +18,9 @@ def resident(blocks: DataFrame, requests: DataFrame, boundaries: DataFrame) -> D
     other = lambda df, row: df.select("session_id", "ts_us", F.lit(row).alias("row"), none.alias("block"), F.lit(False).alias("human"))
     line = b.unionByName(other(requests, "r")).unionByName(other(boundaries, "c"))
     by = Window.partitionBy("session_id").orderBy("ts_us")
-    after, upto = by.rangeBetween(1, Window.unboundedFollowing), by.rangeBetween(Window.unboundedPreceding, 0)
+    # what comes later goes before in falling order: a frame that grows, taken in one pass
+    after = Window.partitionBy("session_id").orderBy(F.desc("ts_us")).rangeBetween(Window.unboundedPreceding, -1)
+    upto = by.rangeBetween(Window.unboundedPreceding, 0)
     before = by.rangeBetween(Window.unboundedPreceding, -1)
     is_request = (F.col("row") == "r").cast("long")
     end = F.when(F.col("row") == "c", F.struct("ts_us", F.coalesce(F.sum(is_request).over(before), F.lit(0)).alias("n")))

@@ -31,7 +31,8 @@ def block_to_request(blocks: DataFrame, requests: DataFrame) -> DataFrame:
     by = Window.partitionBy("session_id").orderBy("ts_us", "request_id")
     idx = requests.select("session_id", "ts_us", (F.row_number().over(by) - 1).alias("idx"), F.lit(None).cast("long").alias("block_id"))
     line = idx.unionByName(blocks.select("session_id", "ts_us", F.lit(None).cast("int").alias("idx"), "block_id"))
-    after = Window.partitionBy("session_id").orderBy("ts_us").rangeBetween(0, Window.unboundedFollowing)
+    # from here on, in falling order: a frame that grows, taken in one pass
+    after = Window.partitionBy("session_id").orderBy(F.desc("ts_us")).rangeBetween(Window.unboundedPreceding, 0)
     every = Window.partitionBy("session_id")
     line = line.select("*", F.min("idx").over(after).alias("next"), F.max("idx").over(every).alias("last"))
     return line.where(F.col("block_id").isNotNull() & F.col("last").isNotNull()).select(
