@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 
@@ -60,3 +60,29 @@ def union_of_eras(old: DataFrame, new: DataFrame, key: list[str], order: list[st
     """Rows of two storage eras, one version of each key: the later one by `order`, the new era's of equal ones."""
     both = old.withColumn("_era", F.lit(0)).unionByName(new.withColumn("_era", F.lit(1)), allowMissingColumns=True)
     return last_wins(both, key, [*order, "_era"]).drop("_era")
+
+
+def absorbed(table: DataFrame | None, rows: DataFrame, key: list[str], order: list[str], last: bool = True, seen: Observation | None = None) -> DataFrame:
+    """`table` with `rows` merged in: the last version of each key, or with `last` false the one that is there already, else the first.
+
+    Of the rows of a key that is new, one is new; all others are repetitions (updates, if the last
+    version wins, else duplicates). `seen` gets both numbers from the write of the result itself,
+    no pass is made for them.
+    """
+    both = rows.withColumn("_in", F.lit(1))
+    if table is not None:
+        both = table.withColumn("_in", F.lit(0)).unionByName(both)
+    columns = [c for c in rows.columns if c not in key]
+    by = F.struct("_in", *order)
+    pick = F.max_by if last else F.min_by
+    merged = both.groupBy(*key).agg(pick(F.struct(*columns), by).alias("_l"), F.sum("_in").alias("_n"), F.min("_in").alias("_new"))
+    merged = merged.select(*key, "_l.*", F.col("_new").cast("long").alias("_new"), (F.col("_n") - F.col("_new")).alias("_again")).select(*rows.columns, "_new", "_again")
+    if seen is not None:
+        merged = merged.observe(seen, F.coalesce(F.sum("_new"), F.lit(0)).alias("new"), F.coalesce(F.sum("_again"), F.lit(0)).alias("repeated"))
+    return merged
+
+
+def counted(merged: DataFrame, kind: str) -> DataFrame:
+    """The numbers of `absorbed` as a row: kind, rows now, new and repeated ones."""
+    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).alias(name)
+    return merged.agg(F.lit(kind).alias("kind"), F.count("*").alias("rows"), total("_new", "new"), total("_again", "repeated"))

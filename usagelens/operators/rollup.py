@@ -126,12 +126,13 @@ def projects(sessions: DataFrame) -> DataFrame:
 def session_list(
     sessions: DataFrame, requests: DataFrame, project: str | None = None, from_us: int | None = None, text: str | None = None, limit: int = 100
 ) -> DataFrame:
-    """Newest sessions first, with their usage; filters on project, time and title or slug."""
+    """Newest sessions first, with their usage; filters on project, time, and a text within title, slug, folder or id (% and _ match any, case doesn't count)."""
     rows = sessions if project is None else sessions.where(F.col("project") == project)
     rows = rows.withColumn("last_us", F.greatest("started_us", "ended_us"))
     rows = rows if from_us is None else rows.where(F.col("last_us") >= from_us)
     if text is not None:
-        rows = rows.where(F.lower("title").contains(text.lower()) | F.lower("slug").contains(text.lower()))
+        like = "%" + text.replace("\\", "\\\\") + "%"
+        rows = rows.where(F.col("title").ilike(like) | F.col("slug").ilike(like) | F.col("cwd").ilike(like) | F.col("harness_id").ilike(like))
     rows = rows.orderBy(F.desc("last_us"), "session_id").limit(limit)
     used = requests.groupBy("session_id").agg(F.count("*").alias("requests"), F.sum(sum(map(F.col, TOKENS), F.lit(0))).alias("tokens"))
     return rows.join(used, "session_id", "left").select(
@@ -195,3 +196,20 @@ def session_source(sessions: DataFrame, sources: DataFrame, session: int | None
     """Kind and root of the source that each session, or the named one, comes from."""
     rows = sessions if session is None else sessions.where(F.col("session_id") == session)
     return rows.join(sources, "source_id").select("session_id", "kind", "root")
+
+
+def crosscheck(events: DataFrame, requests: DataFrame, event: str = "api_request") -> DataFrame:
+    """Telemetry events of requests against transcripts, by request id: how many match, and both sides' tokens of those that do.
+
+    Events without an id match nothing, and don't take part in the join's shuffle by id.
+    """
+    sent = events.where(F.col("event") == event)
+    known = requests.where("harness_request_id <> ''").select("harness_request_id", F.col("input_tokens").alias("r_in"), F.col("output_tokens").alias("r_out"))
+    named = sent.where("request_id <> ''").join(known, F.col("request_id") == F.col("harness_request_id"), "left")
+    rows = named.unionByName(sent.where("coalesce(request_id, '') = ''"), allowMissingColumns=True)
+    there = F.col("harness_request_id").isNotNull()
+    total = lambda c, name: F.coalesce(F.sum(F.when(there, F.col(c))), F.lit(0)).alias(name)
+    return rows.agg(
+        F.count("*").alias("events"), F.count(F.when(there, 1)).alias("matched"), total("input_tokens", "event_input"), total("output_tokens", "event_output"),
+        total("r_in", "request_input"), total("r_out", "request_output"),
+    )

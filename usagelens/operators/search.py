@@ -19,10 +19,14 @@ def entries(blocks: DataFrame) -> DataFrame:
 
 def page(rows: DataFrame, file_id: int, offset: int = 0, limit: int = PAGE, query: str | None = None) -> DataFrame:
     """Entries offset .. offset + limit of one conversation, filtered first if a query is given."""
-    rows = entries(rows.where(F.col("file_id") == file_id))
+    return page_of(entries(rows.where(F.col("file_id") == file_id)), "file_id", offset, limit, query)
+
+
+def page_of(rows: DataFrame, by: str, offset: int = 0, limit: int = PAGE, query: str | None = None) -> DataFrame:
+    """Entries (`by`, ordinal, text, ...) offset .. offset + limit of each conversation, filtered first if a query is given."""
     if query:
         rows = rows.where(F.lower("text").contains(query.lower()))
-    at = F.row_number().over(Window.partitionBy("file_id").orderBy("ordinal"))
+    at = F.row_number().over(Window.partitionBy(by).orderBy("ordinal"))
     return rows.withColumn("_at", at).where((F.col("_at") > offset) & (F.col("_at") <= offset + limit)).drop("_at")
 
 
@@ -54,14 +58,30 @@ def search_sessions(sessions: DataFrame, blocks: DataFrame, query: str, limit: i
     return rows.where((F.col("matches") > 0) | named).join(F.broadcast(total)).select("session_id", "slug", "last_us", "matches", "truncated")
 
 
+#: A run of name characters from its first letter, digit or _ to its last.
+NAME = "[A-Za-z0-9_](?:[A-Za-z0-9_./-]*[A-Za-z0-9_])?"
+MARKED = "[0-9_./-]|[a-z][A-Z]"
+
+
+def names(text: Column) -> Column:
+    """Distinct names of a text in their order, a path's base name right after it."""
+    paired = lambda x: F.when(x.contains("/"), F.array(x, F.substring_index(x, "/", -1))).otherwise(F.array(x))
+    return F.array_distinct(F.flatten(F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(NAME), F.lit(0))), paired)))
+
+
+def distinctive(name: Column) -> Column:
+    return F.length(name).between(5, 80) & name.rlike(MARKED) & name.rlike("[A-Za-z]")
+
+
 def identifiers(text: Column) -> Column:
     """Distinct distinctive identifiers of a text in their order, a path's base name right after it."""
-    trimmed = lambda x: F.array(F.regexp_replace(x, "^[./-]+|[./-]+$", ""))
-    # the inner transform over a one-element array lets each run be trimmed once
-    named = lambda x: F.transform(trimmed(x), lambda t: F.array(t, F.when(t.contains("/"), F.substring_index(t, "/", -1))))
-    found = F.flatten(F.flatten(F.transform(F.regexp_extract_all(text, F.lit("[A-Za-z0-9_./-]+"), F.lit(0)), named)))
-    distinctive = lambda x: F.length(x).between(5, 80) & x.rlike("[A-Za-z]") & x.rlike("[0-9_./-]|[a-z][A-Z]")
-    return F.array_distinct(F.filter(found, distinctive))
+    return F.filter(names(text), distinctive)
+
+
+def identifier_rows(rows: DataFrame, text: str) -> DataFrame:
+    """A row for each identifier of a text, beside the other columns; judged row by row, in compiled code."""
+    rest = [c for c in rows.columns if c != text]
+    return rows.select(*rest, F.explode(names(F.col(text))).alias("identifier")).where(distinctive(F.col("identifier")))
 
 
 def verdicts(events: DataFrame) -> DataFrame:
@@ -71,8 +91,8 @@ def verdicts(events: DataFrame) -> DataFrame:
     source credits the results that brought it, unless more than MOST_CLAIMS did, and starts
     anew. Two windows over one partitioning: texts are read and taken apart once.
     """
-    ids = F.slice(identifiers(F.col("text")), 1, MOST_IDENTIFIERS)
-    ids = F.when(F.col("is_source"), identifiers(F.col("text"))).otherwise(ids)
+    every = F.lit((1 << 31) - 1)
+    ids = F.slice(identifiers(F.col("text")), 1, F.when(F.col("is_source"), every).otherwise(MOST_IDENTIFIERS))
     rows = events.select("file_id", "pos", "ts_us", "is_source", "block_id", F.explode_outer(ids).alias("id"))
     source = F.col("is_source").cast("long")
     before = Window.partitionBy("file_id", "id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)

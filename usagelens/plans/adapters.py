@@ -38,6 +38,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(eid % 3 != 0, (eid % 2) * 1000).cast("long").alias("write_5m"),
         F.when(eid % 3 != 0, F.lit(500)).cast("long").alias("write_1h"),
         ((eid % 8) / 8).alias("cost_usd"),
+        F.concat(F.lit("req-"), eid.cast("string")).alias("harness_request_id"),
     )
 
 
@@ -98,9 +99,48 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("S-"), F.col("session_id").cast("string")).alias("slug"),
         F.when(F.col("session_id") % 2 == 0, F.concat(F.lit("Task "), F.col("session_id").cast("string"))).otherwise("").alias("title"),
         "started_us", "ended_us",
+        F.concat(F.lit("/work/"), F.lower(F.coalesce("project", F.lit("none"))), F.lit("/"), F.col("session_id").cast("string")).alias("cwd"),
+        F.concat(F.lit("ses_"), F.lpad(F.col("session_id").cast("string"), 6, "0")).alias("harness_id"), F.expr("session_id div 2").alias("source_id"),
     )
 
 
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transcript roots: one for each two sessions, of one of two harnesses."""
+    ids = requests(spark, sf_dir).select(F.expr("session_id div 2").alias("source_id")).distinct()
+    return ids.select("source_id", F.when(F.col("source_id") % 2 == 0, "tree").otherwise("lines").alias("kind"), F.concat(F.lit("/runs/"), F.col("source_id").cast("string")).alias("root"))
+
+
+def request_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Telemetry of the requests, as export requests: some without a request id, some with one that no transcript has."""
+    col, eid = F.col, F.col("event_id")
+    named = F.when(eid % 6 == 0, "").when(eid % 10 == 3, F.concat(F.lit("gone-"), eid.cast("string"))).otherwise(F.concat(F.lit("req-"), eid.cast("string")))
+    attrs = F.array(
+        attribute("request_id", "stringValue", named), attribute("input_tokens", "intValue", eid % 97), attribute("output_tokens", "stringValue", F.floor(col("value") * 10).cast("long"))
+    )
+    nanos = (F.unix_micros(col("ts").cast("timestamp")) * 1000).cast("string")
+    record = F.struct(nanos.alias("timeUnixNano"), F.struct(F.when(eid % 9 == 0, "app.tool_result").otherwise("app.api_request").alias("stringValue")).alias("body"), attrs.alias("attributes"))
+    request = F.struct(F.array(F.struct(F.array(F.struct(F.array(record).alias("logRecords"))).alias("scopeLogs"))).alias("resourceLogs"))
+    return table(spark, sf_dir, "events").select(F.to_json(request).alias("value"))
+
+
+def tree_objects(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """Messages or parts as a database keeps them: ids, parents, and a JSON column; each turn is a message with one part."""
+    b = blocks(spark, sf_dir)
+    col, what = F.col, F.col("kind")
+    session, message = col("file_id").cast("string").alias("session_id"), F.concat(F.lit("m"), F.lpad(col("file_id").cast("string"), 9, "0"), F.lpad(col("pos").cast("string"), 6, "0"))
+    if kind == "message":
+        role = F.when(what.isin("user_text", "meta_text", "tool_result"), "user").otherwise("assistant")
+        data = F.struct(role.alias("role"), F.struct(F.expr("ts_us div 1000").alias("created")).alias("time"))
+        return b.select(message.alias("id"), session, F.to_json(data).alias("data"))
+    tooled = what.isin("tool_use", "tool_result")
+    asked = F.when(tooled, F.struct(F.struct(col("text").alias("pattern")).alias("input"), F.when(what == "tool_result", col("text")).alias("output"), F.when(col("is_error"), "error").otherwise("done").alias("status")))
+    data = F.struct(
+        F.when(tooled, "tool").when(what == "thinking", "reasoning").otherwise("text").alias("type"), F.when(~tooled, col("text")).alias("text"),
+        F.when(tooled, col("tool")).alias("tool"), asked.alias("state"),
+    )
+    return b.select(F.concat(F.lit("p"), F.substring(message, 2, 15)).alias("id"), message.alias("message_id"), session, F.to_json(data).alias("data"))
+
+
 def gateway(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
@@ -143,7 +183,8 @@ def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
         (key % 20).alias("run_id"), F.col("o_orderpriority").alias("arm"), key.alias("trial_id"),
         F.when(ok, "ok").when(F.col("o_orderstatus") == "F", "fail").otherwise("timeout").alias("status"),
         (F.col("o_custkey") * 10).alias("duration_ms"), F.when(key % 5 != 0, F.col("o_totalprice")).alias("cost_usd"),
-        (key % 150).alias("session_id"), checks.alias("checks_json"),
+        F.when(key % 7 == 0, "").when(key % 2 == 0, "tree").otherwise("lines").alias("harness"), F.concat(F.lit("m"), (key % 3).cast("string")).alias("model"),
+        F.concat(F.lit("/runs/"), (key % 110).cast("string")).alias("transcript_root"), checks.alias("checks_json"),
     )
 
 
@@ -225,7 +266,7 @@ VIEWS = f"""WITH v_request AS (SELECT event_id AS request_id, user_id AS session
   CAST(CASE WHEN event_type = 'error' THEN 0 WHEN event_id % 7 = 0 THEN 1000 ELSE 20000 + (event_id % 5) * 500 END AS BIGINT) AS cache_read,
   CAST(CASE WHEN event_type = 'error' THEN 0 ELSE (event_id % 11) * 400 END AS BIGINT) AS cache_write,
   CAST(CASE WHEN event_id % 3 <> 0 THEN (event_id % 2) * 1000 END AS BIGINT) AS write_5m,
-  CAST(CASE WHEN event_id % 3 <> 0 THEN 500 END AS BIGINT) AS write_1h, (event_id % 8)::DOUBLE / 8 AS cost_usd FROM events),
+  CAST(CASE WHEN event_id % 3 <> 0 THEN 500 END AS BIGINT) AS write_1h, (event_id % 8)::DOUBLE / 8 AS cost_usd, 'req-' || event_id AS harness_request_id FROM events),
 v_compaction AS (SELECT DISTINCT session_id, ts_us FROM v_request WHERE request_id % 25 = 0),
 v_block0 AS (SELECT *, CASE WHEN role = 'system' THEN 'meta_text' WHEN role = 'user' AND turn % 4 = 2 THEN 'tool_result' WHEN role = 'user' THEN 'user_text'
   WHEN turn % 4 = 3 THEN 'thinking' WHEN turn % 6 = 5 THEN 'tool_use' ELSE 'assistant_text' END AS kind,
@@ -238,7 +279,8 @@ v_block AS (SELECT conv_id * 1000 + turn AS block_id, conv_id % 150 AS session_i
   CASE WHEN kind IN ('tool_use','tool_result') THEN turn // 8 END AS tool_use_id, strlen(text)::BIGINT AS byte_len, ((strlen(text) + 3) // 4)::BIGINT AS est_tokens, substr(sha256(text), 1, 16) AS content_hash,
   turn % 5 = 4 AS is_error, (conv_id % 3)::INT AS referenced, text FROM v_block0),
 v_session AS (SELECT r.session_id, coalesce(n_name, '') AS project, 'S-' || r.session_id AS slug,
-  CASE WHEN r.session_id % 2 = 0 THEN 'Task ' || r.session_id ELSE '' END AS title, min(ts_us) AS started_us, max(ts_us) AS ended_us
+  CASE WHEN r.session_id % 2 = 0 THEN 'Task ' || r.session_id ELSE '' END AS title, min(ts_us) AS started_us, max(ts_us) AS ended_us,
+  '/work/' || lower(coalesce(n_name, 'none')) || '/' || r.session_id AS cwd, 'ses_' || lpad(r.session_id::VARCHAR, 6, '0') AS harness_id, r.session_id // 2 AS source_id
   FROM v_request r LEFT JOIN nation ON r.session_id % 25 = n_nationkey GROUP BY ALL),
 v_gw0 AS (SELECT *, row_number() OVER (PARTITION BY session_id, model ORDER BY ts_us, request_id) AS k FROM v_request),
 v_gw AS (SELECT request_id AS pg_id, ts_us - (request_id % 120) * 1000000 AS ts_us, CASE WHEN request_id % 3 = 0 THEN '' ELSE session_id::VARCHAR END AS session_id,
@@ -251,6 +293,7 @@ v_gw AS (SELECT request_id AS pg_id, ts_us - (request_id % 120) * 1000000 AS ts_
   FROM v_gw0 WHERE request_id % 4 <> 0 AND NOT (model = 'haiku' AND request_id % 3 = 0)),
 v_trial AS (SELECT o_orderkey % 20 AS run_id, o_orderpriority AS arm, o_orderkey AS trial_id,
   CASE o_orderstatus WHEN 'O' THEN 'ok' WHEN 'F' THEN 'fail' ELSE 'timeout' END AS status, o_custkey * 10 AS duration_ms,
-  CASE WHEN o_orderkey % 5 <> 0 THEN o_totalprice END AS cost_usd, o_orderkey % 150 AS session_id,
+  CASE WHEN o_orderkey % 5 <> 0 THEN o_totalprice END AS cost_usd, 
+  CASE WHEN o_orderkey % 7 = 0 THEN '' WHEN o_orderkey % 2 = 0 THEN 'tree' ELSE 'lines' END AS harness, 'm' || (o_orderkey % 3) AS model, '/runs/' || (o_orderkey % 110) AS transcript_root,
   list_filter([CASE WHEN o_orderkey % 2 <> 0 THEN 'build' END, CASE WHEN o_orderkey % 3 <> 0 THEN 'tests' END], lambda x: x IS NOT NULL) AS failed FROM orders)
 """

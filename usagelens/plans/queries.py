@@ -11,7 +11,7 @@ from usagelens.functions import times
 from usagelens.operators import cache, merge, pairing, residency, rollup, search, session, trials, wire
 from usagelens.plans import adapters as a
 from usagelens.plans.adapters import VIEWS
-from usagelens.sources import gateway, otel, transcripts
+from usagelens.sources import gateway, otel, part_trees, transcripts
 from usagelens.streaming import telemetry
 
 SINCE = a.EPOCH_US + 3 * 3600 * 1000000
@@ -35,6 +35,13 @@ class Tables:
     exports = property(lambda self: self.of(a.otel_exports))
     lines = property(lambda self: self.of(a.transcript_lines))
     agent_lines = property(lambda self: self.of(a.agent_lines))
+    sources = property(lambda self: self.of(a.sources))
+    request_events = property(lambda self: self.of(a.request_events))
+
+    @property
+    def tree_entries(self) -> DataFrame:
+        made = {kind: part_trees.decoded(self.of(lambda *at, k=kind: a.tree_objects(*at, k)), kind, "session_id", part_trees.PARENTS[kind]) for kind in ("message", "part")}
+        return part_trees.entries(made["part"].withColumn("messageID", F.col("message_id")), made["message"])
 
     @property
     def transitions(self) -> DataFrame:
@@ -132,6 +139,14 @@ register(
     "session_list", lambda t: rollup.session_list(t.sessions, t.requests, text="task"),
     f"SELECT {_LIST}, count(*) AS requests, sum(input_tokens + output_tokens + cache_read + cache_write)::BIGINT AS tokens FROM v_session s JOIN v_request r ON r.session_id = s.session_id WHERE lower(title) LIKE '%task%' GROUP BY ALL ORDER BY last_us DESC, s.session_id LIMIT 100",
 )
+register(
+    "session_list_by_folder", lambda t: rollup.session_list(t.sessions, t.requests, text="/WORK/nation_1"),
+    f"SELECT {_LIST}, count(*) AS requests, sum(input_tokens + output_tokens + cache_read + cache_write)::BIGINT AS tokens FROM v_session s JOIN v_request r ON r.session_id = s.session_id WHERE cwd ILIKE '%/WORK/nation_1%' GROUP BY ALL ORDER BY last_us DESC, s.session_id LIMIT 100",
+)
+register(
+    "session_list_by_id", lambda t: rollup.session_list(t.sessions, t.requests, text="es_0000_7"),
+    f"SELECT {_LIST}, count(*) AS requests, sum(input_tokens + output_tokens + cache_read + cache_write)::BIGINT AS tokens FROM v_session s JOIN v_request r ON r.session_id = s.session_id WHERE harness_id LIKE '%es_0000_7%' GROUP BY ALL ORDER BY last_us DESC, s.session_id LIMIT 100",
+)
 register(
     "session_by_prefix", lambda t: rollup.by_prefix(t.sessions, "s-1", "slug").orderBy(F.desc("ended_us"), "session_id").limit(1).select("session_id", "slug", "ended_us"),
     "SELECT session_id, slug, ended_us FROM v_session WHERE slug ILIKE 's-1%' ORDER BY ended_us DESC, session_id LIMIT 1",
@@ -299,8 +314,10 @@ register(
     "SELECT pg_id, ts_us FROM v_gw, (SELECT min(ts_us) - 1800000000 AS lo, max(ts_us) + 1800000000 AS hi FROM v_request WHERE request_id > 4000) WHERE pg_id % 2 <> 1 AND (pg_id > 5000 OR ts_us BETWEEN lo AND hi)",
 )
 register(
-    "otel_crosscheck", lambda t: t.gateway.alias("e").join(t.requests.alias("r"), F.expr("e.pg_id = r.request_id"), "left").agg(F.count("*").alias("events"), F.count("r.request_id").alias("matched"), F.sum("e.output_tokens").alias("event_output"), F.sum("r.output_tokens").alias("request_output")),
-    "SELECT count(*) AS events, count(r.request_id) AS matched, sum(e.output_tokens)::BIGINT AS event_output, sum(r.output_tokens)::BIGINT AS request_output FROM v_gw e LEFT JOIN v_request r ON r.request_id = e.pg_id",
+    "otel_crosscheck", lambda t: rollup.crosscheck(otel.events(t.request_events, "app."), t.requests),
+    """, E AS (SELECT event_id % 97 AS i, floor(value * 10)::BIGINT AS o, CASE WHEN event_id % 6 <> 0 AND event_id % 10 <> 3 THEN 'req-' || event_id END AS rid FROM events WHERE event_id % 9 <> 0)
+    SELECT count(*) AS events, count(r.request_id) AS matched, coalesce(sum(i) FILTER (r.request_id IS NOT NULL), 0)::BIGINT AS event_input, coalesce(sum(o) FILTER (r.request_id IS NOT NULL), 0)::BIGINT AS event_output,
+      coalesce(sum(r.input_tokens), 0)::BIGINT AS request_input, coalesce(sum(r.output_tokens), 0)::BIGINT AS request_output FROM E LEFT JOIN v_request r ON r.harness_request_id = E.rid""",
 )
 
 # search and transcripts
@@ -329,7 +346,7 @@ register(
 _TOKENS = "SELECT doc_id, flatten(list_transform(list_transform(regexp_extract_all(text, '[A-Za-z0-9_./-]+'), lambda x: regexp_replace(x, '^[./-]+|[./-]+$', '', 'g')), lambda x: CASE WHEN contains(x, '/') THEN [x, string_split(x, '/')[-1]] ELSE [x] END)) AS l FROM documents"
 _DISTINCTIVE = "length(id) BETWEEN 5 AND 80 AND regexp_matches(id, '[A-Za-z]') AND regexp_matches(id, '[0-9_./-]|[a-z][A-Z]')"
 register(
-    "identifiers", lambda t: t.raw("documents").select("doc_id", F.explode(search.identifiers(F.col("text"))).alias("identifier")),
+    "identifiers", lambda t: search.identifier_rows(t.raw("documents").select("doc_id", "text"), "text"),
     f", A AS ({_TOKENS}) SELECT doc_id, id AS identifier FROM (SELECT DISTINCT doc_id, unnest(l) AS id FROM A) WHERE {_DISTINCTIVE}",
 )
 _EVENTS = lambda t: t.raw("documents").select(
@@ -372,6 +389,41 @@ register(
 )
 
 
+_TREE = """(SELECT file_id::VARCHAR AS session_id, (row_number() OVER (PARTITION BY file_id ORDER BY pos, sub) - 1)::INT AS ordinal, * EXCLUDE (file_id) FROM (
+    SELECT file_id, pos, 0 AS sub, ts_us // 1000 * 1000 AS ts_us, CASE WHEN kind IN ('user_text', 'meta_text', 'tool_result') THEN 'user' ELSE 'assistant' END AS role,
+      CASE kind WHEN 'meta_text' THEN 'user_text' WHEN 'tool_result' THEN 'tool_use' ELSE kind END AS kind, tool, false AS is_error, text, kind IN ('tool_use', 'tool_result') AS asks FROM v_block
+    UNION ALL SELECT file_id, pos, 1, ts_us // 1000 * 1000, 'user', 'tool_result', tool, is_error, text, false FROM v_block WHERE kind = 'tool_result'))"""
+register(
+    "tree_entries",
+    lambda t: t.tree_entries.withColumn("text", F.when(F.col("kind") == "tool_use", F.get_json_object("text", "$.pattern")).otherwise(F.col("text"))),
+    f"SELECT session_id, ordinal, ts_us, role, kind, tool, is_error, text FROM {_TREE}",
+)
+register(
+    "tree_page", lambda t: search.page_of(t.tree_entries.where("session_id = '3'"), "session_id", 1, 4).select("session_id", "ordinal", "kind", "tool", "is_error"),
+    f"SELECT session_id, ordinal, kind, tool, is_error FROM {_TREE} WHERE session_id = '3' AND ordinal >= 1 AND ordinal < 5",
+)
+register(
+    "tree_search", lambda t: search.search(t.tree_entries.withColumns({"file_id": F.col("session_id"), "pos": F.col("ordinal"), "block_id": F.col("ordinal")}), "the ").select("session_id", "n", "matches", F.col("block_id").alias("ordinal"), "kind"),
+    f"SELECT session_id, (row_number() OVER w)::INT AS n, count(*) OVER (PARTITION BY session_id) AS matches, ordinal, kind FROM {_TREE} WHERE contains(lower(text), 'the ') WINDOW w AS (PARTITION BY session_id ORDER BY ordinal) QUALIFY n <= 3",
+)
+
+
+def _ingested_again(t: Tables) -> DataFrame:
+    """The first three quarters of the requests and blocks, then all of both again: what is new and what repeats."""
+    def again(rows: DataFrame, kind: str, key: str, order: str, last: bool) -> DataFrame:
+        early = rows.where(F.col("ts_us") < SINCE)
+        return merge.counted(merge.absorbed(early, rows, [key], [order], last), kind)
+
+    return again(t.requests, "request", "request_id", "ts_us", False).unionByName(again(t.blocks.drop("text"), "block", "block_id", "ts_us", True))
+
+
+register(
+    "ingest_counts", _ingested_again,
+    f"""SELECT 'request' AS kind, count(*) AS rows, count(*) FILTER (ts_us >= {SINCE}) AS new, count(*) FILTER (ts_us < {SINCE}) AS repeated FROM v_request
+    UNION ALL SELECT 'block', count(*), count(*) FILTER (ts_us >= {SINCE}), count(*) FILTER (ts_us < {SINCE}) FROM v_block""",
+)
+
+
 def _with_copies(lines: DataFrame) -> DataFrame:
     """Every fifth conversation was resumed: its lines stand in a second file too."""
     copies = lines.where("cast(regexp_extract(file, '[0-9]+', 0) AS long) % 5 = 0").withColumn("file", F.replace("file", F.lit("/p/"), F.lit("/p/copy-")))
@@ -416,17 +468,19 @@ register(
 register("session_spans", lambda t: telemetry.session_spans(t.requests), "SELECT session_id, min(ts_us) AS started_us, max(ts_us) AS ended_us FROM v_request GROUP BY 1")
 
 # trials
-_USED = """, Q AS (SELECT session_id, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens, sum(cache_read)::BIGINT AS cache_read, sum(cache_write)::BIGINT AS cache_write, sum(cost_usd) AS c FROM v_request GROUP BY 1),
-U AS (SELECT trial_id, arm, status, CASE WHEN status IN ('ok','fail') THEN duration_ms END AS duration_ms, input_tokens, output_tokens, cache_read, cache_write, coalesce(cost_usd, CASE WHEN c > 0 THEN c END) AS cost_usd FROM v_trial LEFT JOIN Q ON Q.session_id = v_trial.session_id)
+_USED = """, Q AS (SELECT kind, root, count(*) AS requests, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens, sum(cache_read)::BIGINT AS cache_read, sum(cache_write)::BIGINT AS cache_write, sum(cost_usd) AS c
+  FROM (SELECT DISTINCT source_id, CASE WHEN source_id % 2 = 0 THEN 'tree' ELSE 'lines' END AS kind, '/runs/' || source_id AS root FROM v_session) src JOIN v_session s ON s.source_id = src.source_id JOIN v_request r ON r.session_id = s.session_id GROUP BY 1, 2),
+U AS (SELECT trial_id, arm, harness, model, status, CASE WHEN status IN ('ok','fail') THEN duration_ms END AS duration_ms, coalesce(requests, 0) AS requests, input_tokens, output_tokens, cache_read, cache_write, coalesce(cost_usd, CASE WHEN c > 0 THEN c END) AS cost_usd
+  FROM v_trial LEFT JOIN Q ON Q.kind = harness AND Q.root = transcript_root)
 """
 _PCT = lambda name, c, p: f"list_sort(list({c}) FILTER ({c} IS NOT NULL))[least(floor(count({c}) * {p} + 0.5)::INT, count({c}) - 1) + 1] AS {name}"
 register(
-    "arm_comparison", lambda t: trials.compare(trials.usage(t.trials, t.requests)),
-    f"{_USED} SELECT arm, count(*) AS trials, count(*) FILTER (status IN ('ok','fail')) AS done, count(*) FILTER (status = 'ok') AS passed, {', '.join(_PCT(*m) for m in trials.MEASURES)} FROM U GROUP BY 1",
+    "arm_comparison", lambda t: trials.compare(trials.usage(t.trials, t.sources, t.sessions, t.requests)),
+    f"{_USED} SELECT arm, arg_min(harness, trial_id) AS harness, arg_min(model, trial_id) AS model, count(*) FILTER (requests = 0) AS without_usage, count(*) AS trials, count(*) FILTER (status IN ('ok','fail')) AS done, count(*) FILTER (status = 'ok') AS passed, {', '.join(_PCT(*m) for m in trials.MEASURES)} FROM U GROUP BY 1",
 )
 register(
-    "trial_usage", lambda t: trials.usage(t.trials, t.requests).select("trial_id", "arm", "cost_usd", F.coalesce("output_tokens", F.lit(0)).alias("tokens")),
-    f"{_USED} SELECT trial_id, arm, cost_usd, coalesce(output_tokens, 0)::BIGINT AS tokens FROM U",
+    "trial_usage", lambda t: trials.usage(t.trials, t.sources, t.sessions, t.requests).select("trial_id", "arm", "requests", "cost_usd", F.coalesce("output_tokens", F.lit(0)).alias("tokens")),
+    f"{_USED} SELECT trial_id, arm, requests, cost_usd, coalesce(output_tokens, 0)::BIGINT AS tokens FROM U",
 )
 register("run_list", lambda t: trials.runs(t.trials), "SELECT run_id, count(*) AS trials, count(*) FILTER (status IN ('ok','fail')) AS done FROM v_trial GROUP BY 1 ORDER BY run_id DESC LIMIT 20")
 register("run_by_prefix", lambda t: trials.run_by_prefix(t.trials, "1"), "SELECT run_id, count(*) AS trials, count(*) FILTER (status IN ('ok','fail')) AS done FROM v_trial WHERE run_id::VARCHAR LIKE '1%' GROUP BY 1 ORDER BY run_id DESC LIMIT 1")

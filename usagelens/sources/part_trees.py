@@ -8,7 +8,7 @@ written, so later versions win (`merge.last_wins`). Objects without an id are co
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from usagelens.sources import files, ranges
@@ -143,3 +143,35 @@ def blocks(parts: DataFrame, messages: DataFrame) -> DataFrame:
     ).where("kind IS NOT NULL AND session_id IS NOT NULL AND octet_length(body) > 0").withColumns(
         {"byte_len": F.octet_length("body").cast("long"), "est_tokens": F.expr("(octet_length(body) + 3) div 4"), "content_hash": F.substring(F.sha2("body", 256), 1, 16)}
     )
+
+
+def entries(parts: DataFrame, messages: DataFrame) -> DataFrame:
+    """What a reader sees of each session, in order: session_id, ordinal, ts_us, role, kind, tool, is_error, text.
+
+    Text and reasoning are an entry each; a tool part holds the call and, once there is output, its
+    result too. Messages go by id, parts by id within them; parts of messages that aren't there
+    are left out. Of a result that is a list of typed blocks, texts and a mark for each image are shown.
+    """
+    parent = _session(_there(messages)).groupBy("id").agg(
+        F.max_by(F.struct("role", "session_id", F.col("time.created").alias("created")), F.coalesce("time.completed", "time.created", F.lit(0))).alias("m")
+    )
+    rows = _there(parts).withColumn("_of", F.coalesce(F.nullif(F.col("messageID"), F.lit("")), "folder")).withColumnRenamed("id", "part_id")
+    rows = rows.join(parent, F.col("_of") == F.col("id"))
+    kind, role = F.col("type"), F.coalesce("m.role", F.lit(""))
+    text = lambda c: F.coalesce(c, F.lit(""))
+    one = lambda name, said, tool=F.lit(""), bad=F.lit(False): F.struct(F.lit(name).alias("kind") if isinstance(name, str) else name.alias("kind"), tool.alias("tool"), bad.alias("is_error"), said.alias("text"))
+    listed = F.from_json("state.output", "array<struct<type:string,text:string>>")
+    shown = F.transform(F.filter(listed, lambda b: b["type"].isin("text", "image")), lambda b: F.when(b["type"] == "image", "[image]").otherwise(text(b["text"])))
+    typed = F.col("state.output").startswith("[") & F.exists(listed, lambda b: b["type"].isNotNull())
+    output = F.when(typed, F.array_join(shown, "\n")).otherwise(text(F.col("state.output")))
+    call = one("tool_use", text(F.col("state.input")), text(F.col("tool")))
+    result = one("tool_result", output, text(F.col("tool")), F.coalesce(F.col("state.status") == "error", F.lit(False)))
+    seen = (
+        F.when(kind == "text", F.array(one(F.when(role == "assistant", "assistant_text").otherwise("user_text"), text(F.col("text")))))
+        .when(kind == "reasoning", F.array(one("thinking", text(F.col("text")))))
+        .when((kind == "tool") & (F.length(text(F.col("state.output"))) > 0), F.array(call, result))
+        .when(kind == "tool", F.array(call))
+    )
+    by = Window.partitionBy("session_id").orderBy("_of", "part_id", "_n")
+    rows = rows.select(F.col("m.session_id").alias("session_id"), "_of", "part_id", (F.nullif(F.col("m.created"), F.lit(0)) * 1000).alias("ts_us"), role.alias("role"), F.posexplode(seen).alias("_n", "e"))
+    return rows.select("session_id", (F.row_number().over(by) - 1).alias("ordinal"), "ts_us", "role", "e.*")
