@@ -269,16 +269,64 @@ def test_repeated_vectors_and_rows(spark):
 
 
 def test_pfair_deviation_stays_under_one_block():
-    weights = [Fraction(5), Fraction(3), Fraction(1), Fraction(1, 5)]
-    parts = mixing.in_parts(weights)
-    assert parts == [25, 15, 5, 1]
-    slots, size = mixing.period(parts, 1000), sum(parts)
-    assert sorted(sum(slots, [])) == list(range(size))
+    parts = tuple(mixing.in_parts([Fraction(5), Fraction(3), Fraction(1), Fraction(1, 5)]))
+    assert parts == (25, 15, 5, 1)
+    slots, size = mixing.Edf(parts).period(), sum(parts)
+    assert sorted(np.concatenate(slots)) == list(range(size))
     for found, n in zip(slots, parts, strict=True):
         for t in range(size + 1):
             assert abs(sum(s < t for s in found) - Fraction(t * n, size)) < 1
-    rounded = mixing.in_parts([Fraction(1, 3), Fraction(1, 7), Fraction(1, 11)], 100)
-    assert sum(rounded) == 100 and min(rounded) >= 1
+
+
+def test_slots_of_single_blocks_are_those_of_the_whole_schedule():
+    """A block's own window tells its slot, whatever the shares: against the schedule run from slot 0."""
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        parts = tuple(mixing.in_parts([Fraction(int(w)) for w in rng.choice([1, 1, 2, 3, 5, int(rng.integers(1, 60)), int(rng.integers(1, 3000))], int(rng.integers(1, 8)))]))
+        edf, slots = mixing.Edf(parts), {}
+        for slot, k, j in edf.run(0, min(2 * edf.size, 3000)):
+            assert edf.release(k, j) <= slot < edf.due(k, j)
+            slots.setdefault(k, []).append(slot)
+        for k, found in slots.items():
+            some = rng.choice(len(found), min(len(found), 9), replace=False)
+            assert (edf.slots(k, some) == np.array(found)[some]).all()
+        left = [int(x) for x in rng.integers(1, 200, len(parts))]
+        had = [0] * len(parts)
+        for slot, k, _ in edf.run(0, 10**9):
+            had[k] += 1
+            if had[k] == left[k]:
+                break
+        assert edf.until(left) == (slot + 1, had)
+
+
+def test_four_digit_weights_stay_exact_far_out():
+    """A period of 70,217 slots, a phase of over 100,000 blocks: every source is within a block of its share throughout."""
+    weights = [Fraction(repr(w)) for w in (2.0131, 1.5077, 0.5009, 1.0)]
+    of, blocks = [1, 1, 1, 3], [50_000, 50_000, 50_000, 90_000]  # the last class has three sources
+    stretches = [mixing.Turns({n // m: m}).stretches() for n, m in zip(blocks, of, strict=True)]
+    ((begin, parts, _), *_) = mixing.phases(stretches, weights)
+    assert begin == 0 and sum(parts) == 70_217 > mixing.MOST_SLOTS
+    length, had = mixing.Edf(parts).until(blocks)
+    assert length > 100_000 and sum(had) == length
+    slots = {}
+    for slot, k, _ in mixing.Edf(parts).run(0, length):
+        slots.setdefault(k, []).append(slot)
+    for k, found in slots.items():
+        n = np.arange(1, len(found) + 1)
+        share = np.array(found) + 1  # times parts over the size: what is due after that slot
+        assert (np.abs(n * sum(parts) - share * parts[k]) < sum(parts)).all()
+        some = np.array([0, 1, 17, len(found) // 2, len(found) - 2, len(found) - 1])
+        assert (mixing.slots_of(parts, k, some) == np.array(found)[some]).all()
+
+
+def test_phases_of_very_many_block_counts():
+    """10,000 sources with as many numbers of blocks in each of three classes: as many phases, worked out without their periods."""
+    weights = [Fraction(1, 2), Fraction(1), Fraction(3)]
+    stretches = [mixing.Turns({n: 1 for n in range(first, 10_000, 3)}).stretches() for first in (1, 2, 3)]
+    found = mixing.phases(stretches, weights)
+    total = sum(n for s in stretches for _, n in s)
+    assert 3_000 < len(found) <= 10_000 and sum(len(str(p)) for p in found) < 200 * len(found)
+    assert all(a[0] < b[0] for a, b in zip(found, found[1:], strict=False)) and found[-1][0] < total
 
 
 @pytest.mark.parametrize("seed", range(4))
@@ -646,8 +694,9 @@ def test_licences_in_long_units_of_few_bigrams(spark):
 
 
 def test_licences_of_repeated_rows_and_whole_texts(spark):
-    named = {name: text for name, text in licenses.TEMPLATES if len(text) > 1000}
-    assert {"MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC"} <= set(named)
+    whole = ("MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC")  # licences whose whole text is a template
+    named = {name: max((t for k, t in licenses.TEMPLATES if k == name), key=len) for name in whole}
+    assert min(map(len, named.values())) > 500
     rows = [(1, "Licensed under the MIT License.")] * 3 + [(1, "Licensed under CC BY 4.0."), (None, "Released under the MIT License.")]
     rows += [(10 + i, text.replace(". ", ".\n", 3).replace("(c)", "(c) 2024 Some Body")) for i, text in enumerate(named.values())]
     got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
@@ -676,3 +725,11 @@ def test_pipeline_keeps_columns_and_round_trips(spark):
             last = {r.doc_id: r.text for r in docs.collect()}
     got = {r.doc_id: r.decoded_sha256 for r in docs.collect()}
     assert got == {d: hashlib.sha256(t.encode()).hexdigest() for d, t in last.items()} and set(got) <= set(seen)
+
+
+def test_shards_of_text_ids(spark):
+    rows = [(f"doc-{i % 90}" if i % 11 else None, "x" * (i % 7)) for i in range(200)]
+    got = sharding.assign(spark.createDataFrame(rows, "doc_id string, text string"), shards=5).collect()
+    assert Counter((r.doc_id, r.size) for r in got) == Counter((d, len(t) + 1) for d, t in rows)
+    assert sorted(Counter(r.shard for r in got).values()) == [40] * 5
+    assert all(sorted(r.slot for r in got if r.shard == s) == list(range(40)) for s in range(5))

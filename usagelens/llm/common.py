@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,6 +38,26 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+_WRITTEN: list[str] = []
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """On leaving, deletes the tables that `materialize` has written within, but for those put in the list."""
+    begin, kept = len(_WRITTEN), []
+    yield kept
+    stay = {getattr(df, "_usagelens_path", None) for df in kept}
+    for path in _WRITTEN[begin:]:
+        if path not in stay:
+            deleted(spark, path)
+    _WRITTEN[begin:] = [p for p in _WRITTEN[begin:] if p in stay]
+
+
 def materialize(df: DataFrame, name: str, replaces: DataFrame | None = None) -> DataFrame:
     """Write `df` into the shared folder and read it back: its lineage ends in that table.
 
@@ -44,10 +66,10 @@ def materialize(df: DataFrame, name: str, replaces: DataFrame | None = None) ->
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _WRITTEN.append(path)
     old = getattr(replaces, "_usagelens_path", None)
     if old is not None:
-        place = spark._jvm.org.apache.hadoop.fs.Path(old)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        deleted(spark, old)
     out = spark.read.schema(df.schema).parquet(path)
     out._usagelens_path = path
     return out

@@ -79,9 +79,8 @@ def assign(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES, slack: f
     )
     rows = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("n"))
     rows = rows.withColumn("blk", F.explode(F.sequence(F.lit(0), F.expr(f"(n - 1) div {COPIES}"))))
-    rows = rows.withColumn("n", F.least(F.lit(COPIES), F.col("n") - F.col("blk") * COPIES)).withColumn(
-        "arc", arc_of(F.xxhash64(F.coalesce("doc_id", "text_crc32")))
-    )
+    named = F.col("text_crc32").cast(dict(docs.dtypes)["doc_id"])  # ids may be numbers or texts
+    rows = rows.withColumn("n", F.least(F.lit(COPIES), F.col("n") - F.col("blk") * COPIES)).withColumn("arc", arc_of(F.xxhash64(F.coalesce("doc_id", named))))
     rows = materialize(rows, "sharding")
     found = rows.groupBy("arc").agg(F.sum("n").alias("rows"), F.count("*").alias("entries")).collect()
     counts = np.zeros(len(points), dtype=np.int64)
