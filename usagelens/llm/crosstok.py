@@ -15,9 +15,7 @@ places of two neighbours is the range of tokens that overlap.
    of its ids: the bound of what is broadcast) marks the best.
 3. Each block's documents meet its totals.
 
-The first tokenizer's ids come from tiktoken over the ranks of the tokenizer file, where merges are ranked as
-their tokens are (checked), and pieces of over LONG characters from this library's own encoder, which stays
-linear there; the second's from sentencepiece.
+The first tokenizer's ids come from `ranks`, the second's from sentencepiece.
 
 Defined results: a text that is null, empty, or that either tokenizer doesn't give back byte by byte
 (such as one with U+2581, which the second takes for a space) has no tokens: zeros and an empty digest;
@@ -28,8 +26,6 @@ table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import json
-import re
 from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -37,19 +33,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import sentencepiece
-import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usagelens.llm.bpe import PATTERN, Bpe, byte_of_char, content_of, tokenizer_path
+from usagelens.llm.bpe import content_of, tokenizer_path
 from usagelens.llm.common import materialize, with_shared
+from usagelens.llm.ranks import Ranks
 
 PIECES = "piece_bpe_32k.model"
 #: Distinct linked pairs, summed over its documents, that a block holds, and pairs of one row.
 HELD, ROW = 1_500_000, 1 << 15
-LONG = 1000
-BLANK = re.compile(r"\s{%d}" % LONG)
 MARK = "▁"
 
 
@@ -101,8 +95,8 @@ class Aligned:
 
 class Aligner:
     def __init__(self, content: str, model: bytes):
-        self.bpe = Bpe(content)
-        self.bpe.cut_added = None  # special tokens in a text are plain text
+        self.ranks = Ranks(content)
+        self.bpe = self.ranks.bpe
         self.sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         n = self.sp.get_piece_size()
         pieces = [self.sp.id_to_piece(i) for i in range(n)]
@@ -110,24 +104,12 @@ class Aligner:
         self.blob = np.frombuffer(b"".join(told), dtype=np.uint8)
         self.offsets = np.concatenate([[0], np.cumsum([len(x) for x in told])])
         self.sizes_a, self.sizes_b = np.diff(self.bpe.offsets), np.diff(self.offsets)
-        spec = json.loads(content)
-        to_byte = byte_of_char()
-        added = {t["id"] for t in spec["added_tokens"]}
-        ranks = {bytes(to_byte[c] for c in t): i for t, i in spec["model"]["vocab"].items() if i not in added}
-        pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
-        made = [spec["model"]["vocab"][a + b] for a, b in pairs]
-        #: none if ranks of merges and ids of tokens differ
-        self.quick = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}) if made == sorted(set(made)) and len(made) + 256 == len(ranks) else None
         marks = [*[f"{i}{mark}" for mark in ",|" for i in range(len(self.sizes_a))], *[f"{i}{mark}" for mark in ",;" for i in range(n)]]
         self.told = np.array([m.encode() for m in marks])  # of fixed width, zeros behind
         self.told_at = (0, len(self.sizes_a), 2 * len(self.sizes_a), 2 * len(self.sizes_a) + n)
 
     def encoded(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        if self.quick is None or len(text) > LONG and (BLANK.search(text) or max(map(len, text.split()), default=0) > LONG):
-            get = self.bpe.known
-            a = np.frombuffer(b"".join([get(p) for p in self.bpe.cut.findall(" " + text)]), dtype=np.int32)
-        else:
-            a = np.array(self.quick.encode_ordinary(" " + text), dtype=np.int32)
+        a = self.ranks.plain(" " + text)
         return a, np.frombuffer(array("i", self.sp.encode(text, num_threads=1)).tobytes(), dtype=np.int32)
 
     def align(self, text: str | None) -> Aligned | None:

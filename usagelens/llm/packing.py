@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from usagelens.llm import ranks
 from usagelens.llm.bpe import content_of, loaded
 from usagelens.llm.common import materialize, root_of, with_offsets
 
@@ -113,11 +114,12 @@ def pieces_of(docs: DataFrame, length: int, path: str | None) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(content.value)
+        coder = ranks.loaded(content.value)
+        bpe = coder.bpe
         for batch in batches:
             ids, at, sizes, data = [], [], [], []
             for row, text in enumerate(batch.column(1).to_pylist()):
-                whole = np.frombuffer(bpe.encode_bytes(text or ""), dtype=np.int32)
+                whole = coder.encode(text or "")
                 packed = whole.astype("<u2" if bpe.narrow else "<i4").tobytes()
                 width = 2 if bpe.narrow else 4
                 for piece, begin in enumerate(range(0, len(whole), length)):
