@@ -17,8 +17,12 @@ Equal vectors are one entry first. Of each entry only the K + 1 smallest ids can
 list (ties go to the smaller id), so an entry keeps those, and the queries with that vector share
 one search. No row is dropped that could be in a result.
 
-Queries whose probes find fewer than K others meet all vectors, in the same blocks; so do those,
-where norms differ, whose last place a longer vector elsewhere could take.
+Where norms differ, nearness by inner product isn't nearness of directions. There a vector gets one more
+component, what it lacks to the longest one's norm, and a query gets 0: of such vectors, all of one
+norm, the order by angle to the query is that of the inner products, so these are what is hashed. Scores
+stay those of the vectors themselves.
+
+Queries whose probes find fewer than K others meet all vectors, in the same blocks.
 
 On vectors without structure, such as the test table's, neighbours are hardly nearer than others
 and the measured number of probes ranks a large part of all rows; see the README.
@@ -126,6 +130,12 @@ def best(scores: np.ndarray, ids: list[np.ndarray], k: int) -> tuple[np.ndarray,
     return flat[order], each[order]
 
 
+def levelled(x: np.ndarray, longest: float, ask: bool) -> np.ndarray:
+    """Rows with a component more: for entries what they lack to the norm `longest`, for queries 0."""
+    lacks = np.zeros(len(x)) if ask else np.sqrt(np.maximum(0.0, longest**2 - (x * x).sum(axis=1)))
+    return np.column_stack([x, lacks])
+
+
 def usable(vector: Column) -> Column:
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     return vector.isNotNull() & F.forall(vector, finite) & F.exists(vector, lambda x: x != 0)
@@ -212,13 +222,16 @@ def nearest(rows: DataFrame, k: int = K, every: int = EVERY, tables: int = TABLE
     order = Window.partitionBy("d").orderBy(F.xxhash64("entry"), "entry")
     sample = materialize(entries.where("asks").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= SAMPLE), "sample")
     exact = materialize(merging(lists(whole(entries.join(F.broadcast(sample.select("d").distinct()), "d", "left_semi")), whole(sample), F.lit(SAMPLE))), "exact")
-    functions = {r["d"]: functions_for(r["n"], r["d"], vectors) for r in per_size.collect()}
-    probes = probes_of(exact, sample, entries, tables, functions, k)
-    sent = spark.sparkContext.broadcast((functions, probes))
+    sizes = per_size.collect()
+    #: the longest norm, where norms differ by more than rounding
+    longest = {r["d"]: r["top"] for r in sizes if r["top"] > r["low"] * (1 + NORMS)}
+    functions = {r["d"]: functions_for(r["n"], r["d"] + (r["d"] in longest), vectors) for r in sizes}
+    probes = probes_of(exact, sample, entries, tables, functions, longest, k)
+    sent = spark.sparkContext.broadcast((functions, probes, longest))
 
     @F.pandas_udf("array<struct<t:int,b:long>>")
     def buckets(embeddings: pd.Series, asking: pd.Series) -> pd.Series:
-        functions, probes = sent.value
+        functions, probes, longest = sent.value
         out: list = [None] * len(embeddings)
         sizes, asks = embeddings.map(len).to_numpy(), asking.to_numpy()
         for size in np.unique(sizes):
@@ -227,6 +240,7 @@ def nearest(rows: DataFrame, k: int = K, every: int = EVERY, tables: int = TABLE
                 n = probes[int(size)] if ask else 1
                 if len(at) and n:
                     x = stacked(embeddings.iloc[at])
+                    x = levelled(x, longest[int(size)], ask) if int(size) in longest else x
                     found = [probed(x, t, functions[int(size)], n) for t in range(tables)]
                     for i, row in enumerate(at):
                         out[row] = [{"t": t, "b": int(b)} for t in range(tables) for b in found[t][i]]
@@ -244,13 +258,10 @@ def nearest(rows: DataFrame, k: int = K, every: int = EVERY, tables: int = TABLE
     found = lists(counted(held), counted(asks), F.col("a"))
     merged = materialize(merging(found), "merged")
 
-    # queries with too short a list, or, where norms differ, that a longer vector elsewhere could still enter
-    last = F.element_at("scores", -1)
-    short = F.size("scores") < k + 1
-    open_ = (F.col("top") > F.col("low") * (1 + NORMS)) & (last < F.col("norm") * F.col("top"))
-    lost = F.col("scores").isNull()
+    # queries with too short a list
+    short = F.coalesce(F.size("scores") < k + 1, F.lit(True))
     known = merged.select("entry", "scores")
-    again = materialize(entries.where("asks").join(known, "entry", "left").where(lost | short | open_).drop("scores"), "again")
+    again = materialize(entries.where("asks").join(known, "entry", "left").where(short).drop("scores"), "again")
     n_again = again.count()
     if n_again:
         more = merging(lists(whole(entries.join(again.select("d").distinct(), "d", "left_semi")), whole(again), F.lit(n_again)))
@@ -268,7 +279,7 @@ def nearest(rows: DataFrame, k: int = K, every: int = EVERY, tables: int = TABLE
     return found.select("query_id", "x.rank", "x.vec_id", "x.score")
 
 
-def probes_of(exact: DataFrame, sample: DataFrame, entries: DataFrame, tables: int, functions: dict[int, int], k: int) -> dict[int, int]:
+def probes_of(exact: DataFrame, sample: DataFrame, entries: DataFrame, tables: int, functions: dict[int, int], longest: dict[int, float], k: int) -> dict[int, int]:
     """For each length of vectors the least of PROBES that finds TARGET of the sample's neighbours; 0 if none does.
 
     At most SAMPLE queries of each length and their neighbours' vectors reach the driver.
@@ -280,6 +291,8 @@ def probes_of(exact: DataFrame, sample: DataFrame, entries: DataFrame, tables: i
     out = {}
     for size, its in got.groupby(got["q"].map(len)):
         q, x, f = stacked(its["q"]), stacked(its["x"]), functions[int(size)]
+        if int(size) in longest:
+            q, x = levelled(q, longest[int(size)], True), levelled(x, longest[int(size)], False)
         first = np.full(len(q), np.iinfo(np.int64).max)
         for t in range(tables):
             same = probed(q, t, f, max(PROBES)) == probed(x, t, f, 1)

@@ -87,8 +87,18 @@ def placed(pieces: Column, matches: Column) -> Column:
     )
 
 
-def counted(window: Column, char: Column) -> Column:
-    return F.length(window) - F.length(F.replace(window, char, F.lit("")))
+#: What a candidate is made of: a character's place here is that of its count.
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-."
+ZERO = ord("A")
+
+
+def counted(counts: Column, place: Column) -> Column:
+    """The count at a place of a string of counts, A for none."""
+    return F.ascii(F.substring(counts, place, 1)) - ZERO
+
+
+def changed(counts: Column, place: Column, n: Column) -> Column:
+    return F.overlay(counts, F.chr(n + ZERO), place, F.lit(1))
 
 
 def xlogx(n: Column) -> Column:
@@ -96,41 +106,49 @@ def xlogx(n: Column) -> Column:
 
 
 def entropy_spans(run: Column, threshold: Column, window: int = WINDOW) -> Column:
-    """array<struct<s, e>>: merged windows of the ASCII string `run` at or over the threshold."""
-    # s and e are the span still open (e is -1 before the first); the threshold is worked out once, not at each step
-    kinds = "struct<i:int,w:string,sum:double,s:int,e:int,out:array<struct<s:int,e:int>>,t:double>"
-    state = F.struct(F.lit(0), F.lit(""), F.lit(0.0), F.lit(-1), F.lit(-1), F.array(), threshold).cast(kinds)
+    """array<struct<s, e>>: merged windows of the ASCII string `run` at or over the threshold.
 
-    def leave(acc: Column, char: Column) -> Column:
-        first = F.substring(acc["w"], 1, 1)
-        n = counted(acc["w"], first)
-        full = F.length(acc["w"]) == window
+    The state holds how often each character is in the window: at each step the one that comes in
+    goes one up, the one that leaves one down, and the entropy's sum follows both.
+    """
+    # s and e are the span still open (e is -1 before the first); the threshold is worked out once, not at each step
+    kinds = "struct<i:int,n:string,sum:double,s:int,e:int,out:array<struct<s:int,e:int>>,t:double>"
+    state = F.struct(F.lit(0), F.lit(chr(ZERO) * len(LETTERS)), F.lit(0.0), F.lit(-1), F.lit(-1), F.array(), threshold).cast(kinds)
+    place = lambda char: F.position(char, F.lit(LETTERS))
+
+    def named(acc: Column, char: Column) -> Column:
+        """Places of the characters that come and leave (0 if the window isn't full yet)."""
+        gone = F.substring(run, acc["i"] - window + 1, F.lit(1))
+        return F.struct(place(char).alias("come"), F.when(acc["i"] >= window, place(gone)).otherwise(0).alias("gone"))
+
+    def leave(acc: Column, at: Column) -> Column:
+        n = counted(acc["n"], at["gone"])
+        full = at["gone"] > 0
         return F.struct(
-            F.when(full, F.substring(acc["w"], 2, window)).otherwise(acc["w"]).alias("w"),
+            at["come"].alias("come"), F.when(full, changed(acc["n"], at["gone"], n - 1)).otherwise(acc["n"]).alias("n"),
             F.when(full, acc["sum"] - xlogx(n) + xlogx(n - 1)).otherwise(acc["sum"]).alias("sum"),
-            char.alias("c"),
-        )
+        )
 
-    def enter(acc: Column, left: Column) -> Column:
-        n = counted(left["w"], left["c"])
-        return F.struct(F.concat(left["w"], left["c"]).alias("w"), (left["sum"] - xlogx(n) + xlogx(n + 1)).alias("sum"))
+    def enter(left: Column) -> Column:
+        n = counted(left["n"], left["come"])
+        return F.struct(changed(left["n"], left["come"], n + 1).alias("n"), (left["sum"] - xlogx(n) + xlogx(n + 1)).alias("sum"))
 
     closed = lambda acc: F.concat(acc["out"], F.array(F.struct(acc["s"].alias("s"), acc["e"].alias("e"))))
 
     def note(acc: Column, now: Column) -> Column:
         end = acc["i"] + 1
         begin = end - window
-        hot = (F.length(now["w"]) == window) & (F.log2(F.lit(float(window))) - now["sum"] / window >= acc["t"] - 1e-9)
+        hot = (end >= window) & (F.log2(F.lit(float(window))) - now["sum"] / window >= acc["t"] - 1e-9)
         apart = hot & (acc["e"] < begin)
         return F.struct(
-            end.alias("i"), now["w"].alias("w"), now["sum"].alias("sum"), F.when(apart, begin).otherwise(acc["s"]).alias("s"),
+            end.alias("i"), now["n"].alias("n"), now["sum"].alias("sum"), F.when(apart, begin).otherwise(acc["s"]).alias("s"),
             F.when(hot, end).otherwise(acc["e"]).alias("e"), F.when(apart & (acc["e"] >= 0), closed(acc)).otherwise(acc["out"]).alias("out"), acc["t"].alias("t"),
         )
 
     def step(acc: Column, char: Column) -> Column:
         # each inner transform over a one-element array gives a name to what it holds
-        left = F.transform(F.array(leave(acc, char)), lambda x: enter(acc, x))
-        return F.get(F.transform(left, lambda x: note(acc, x)), F.lit(0))
+        left = F.transform(F.array(named(acc, char)), lambda x: leave(acc, x))
+        return F.get(F.transform(F.transform(left, enter), lambda x: note(acc, x)), F.lit(0))
 
     chars = F.filter(F.split(run, ""), lambda c: c != "")
     return F.aggregate(chars, state, step, lambda acc: F.when(acc["e"] >= 0, closed(acc)).otherwise(acc["out"]))
@@ -159,16 +177,20 @@ def suspicious(found: Column) -> Column:
 
 
 def joined(spans: Column) -> Column:
-    """array<struct<s, e>> in order, those that meet made one."""
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.get(acc, F.size(acc) - 1)
-        longer = F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"))
-        return F.when(last["e"] >= x["s"], F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(longer))).otherwise(
-            F.concat(acc, F.array(x))
-        )
-
-    return F.aggregate(F.sort_array(spans), F.expr("CAST(array() AS array<struct<s:int,e:int>>)"), step)
+    """array<struct<s, e>> in order, those that meet made one.
+
+    Ends so far by running maxima; a span opens where it begins behind all ends before it. Linear in the spans.
+    """
+    def of(xs: Column, tops: Column) -> Column:
+        before = F.slice(F.concat(F.array(F.lit(-1)), tops), 1, F.size(xs))
+        opens = F.zip_with(xs, before, lambda x, b: x["s"] > b)
+        begins = F.filter(xs, lambda x, i: F.get(opens, i))
+        # a span's end: the running maximum where the next one opens, or the last of all
+        ends = F.filter(tops, lambda t, i: F.coalesce(F.get(opens, i + 1), F.lit(True)))
+        return F.zip_with(begins, ends, lambda x, t: F.struct(x["s"].alias("s"), t.alias("e")))
+
+    sides = F.transform(F.array(F.sort_array(spans)), lambda xs: F.struct(xs.alias("x"), running(F.transform(xs, lambda x: x["e"]), F.greatest).alias("t")))
+    return F.get(F.transform(sides, lambda z: of(z["x"], z["t"])), F.lit(0))
 
 
 def without_stated(text: Column) -> Column:
