@@ -1,6 +1,9 @@
 """Transcripts of one object a file, titles, text values, and the streaming cache doctor."""
 
 import json
+import random
+
+from pyspark.sql import Row
 
 from usagelens.operators import cache
 from usagelens.plans import adapters
@@ -55,16 +58,28 @@ def test_titles_and_values(spark):
 
 
 def test_live_doctor(spark, tmp_path):
+    """Shuffled arrivals within the watermark, and requests that change while they wait, give the batch result; state goes."""
     requests, marks = adapters.requests(spark, SF), adapters.compactions(spark, SF)
-    rows = requests.unionByName(marks, allowMissingColumns=True).cache()
-    half = rows.selectExpr("percentile_approx(ts_us, 0.5)").first()[0]
-    for early in (True, False):
-        rows.where((rows["ts_us"] <= half) == early).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    rows = requests.unionByName(marks, allowMissingColumns=True).select("request_id", "session_id", "model", "ts_us", *doctor.NUMBERS)
+    rng, late = random.Random(6), 30 * 60 * 10**6
+    arrivals = [(x.ts_us + rng.randrange(late), x) for x in rows.collect()]
+    for at, x in arrivals[::5]:  # an earlier version of a message, on its way before the last one
+        if x.request_id is not None:
+            arrivals.append((max(x.ts_us, at - 1), Row(**x.asDict() | {"cache_read": 1, "input_tokens": 0})))
+    arrivals = [x for _, x in sorted(arrivals, key=lambda a: a[0])]
+    far = max(x.ts_us for x in arrivals)
+    later = [[Row(request_id=10**9 + i, session_id=10**6, model="m", ts_us=far + days * 86_400 * 10**6, **dict.fromkeys(doctor.NUMBERS, 0))] for i, days in enumerate((1, 3, 40, 80))]
+    n = 6
+    for i, part in enumerate([arrivals[i * len(arrivals) // n : (i + 1) * len(arrivals) // n] for i in range(n)] + later):
+        spark.createDataFrame(part, rows.schema).coalesce(1).write.parquet(f"{tmp_path}/in/{i}.parquet")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
     q = doctor.live_transitions(stream).writeStream.format("memory").queryName("doctor").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    q.awaitTermination(240)
     want = cache.transitions(requests, marks)
-    assert want.count() and sorted(map(tuple, spark.table("doctor").select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+    got = spark.table("doctor").where("session_id < 1000000").select(*want.columns)
+    assert want.count() and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    held = [p.stateOperators[0].numRowsTotal for p in q.recentProgress]
+    assert max(held) > 10 and held[-1] <= 1  # sessions without a row for long are forgotten
 
 
 def test_live_requests(spark, tmp_path):

@@ -101,3 +101,23 @@ def test_reference_sources_by_kind(spark):
 def test_values_of_what_is_no_json(spark):
     df = spark.createDataFrame([("{cut off",), ('{"a":["x",{"b":"y"}],"c":1}',), (None,)], "v string")
     assert [r[0] for r in df.select(t.string_values("v")).collect()] == [["{cut off"], ["x", "y"], None]
+
+
+def test_lines_are_numbered_in_each_file_over_its_parts(spark, tmp_path):
+    sizes = {"a": 4000, "b": 1, "c": 700, "d": 3}
+    for name, n in sizes.items():
+        (tmp_path / f"{name}.jsonl").write_text("".join(f'{{"n": {i}}}' + " " * (i % 90) + "\n" for i in range(1, n + 1)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        rows = t.read(spark, str(tmp_path))
+        parts = spark.read.text(str(tmp_path)).selectExpr("_metadata.file_block_start AS b").distinct().count()
+        got = {}
+        for r in rows.collect():
+            got.setdefault(r.file[-7:-6], []).append((r.line, json.loads(r.value)["n"]))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", old[1])
+    assert parts > 5  # the largest file is read in several
+    assert {k: sorted(v) for k, v in got.items()} == {k: [(i, i) for i in range(1, n + 1)] for k, n in sizes.items()}

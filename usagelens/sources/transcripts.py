@@ -26,10 +26,26 @@ _PATHS = ("file_path", "filePath", "path", "notebook_path")
 SYNTHETIC = "<synthetic>"
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """Rows read from text files as file, line (1, 2, ... in each file), value; nothing is sorted or gathered.
+
+    A task numbers the lines of each part of a file that it reads, as they lie one after the other.
+    What comes before a part is the sum of the lines of the parts before it: a row per part is
+    counted for that, and only parts that don't begin a file have something to add.
+    """
+    part = ["file", "_block"]
+    rows = rows.select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), "value"
+    )
+    parts = rows.groupBy(*part).agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(*part, (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_base"))
+    return rows.join(parts, part).select("file", (F.col("_id") + F.col("_base")).alias("line"), "value")
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Lines below `path` with file, and their order in it as far as the reader keeps it (`line`)."""
-    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(path)
-    return rows.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"), "value")
+    """Lines below `path` with their file and number in it, from 1, however many parts a file is read in."""
+    return numbered(spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(path))
 
 
 def parse(lines: DataFrame) -> DataFrame:
