@@ -753,3 +753,39 @@ def test_shards_of_text_ids(spark):
     assert Counter((r.doc_id, r.size) for r in got) == Counter((d, len(t) + 1) for d, t in rows)
     assert sorted(Counter(r.shard for r in got).values()) == [40] * 5
     assert all(sorted(r.slot for r in got if r.shard == s) == list(range(40)) for s in range(5))
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, odd, empty):
+    """Every stage over nulls, empty and long texts, ties, repeated rows and clashing columns: each is written and read again."""
+    import corpus_pipeline
+
+    for rows in (odd, empty):
+        docs, counts = corpus_pipeline.materialize(rows, "odd"), []
+        for name, stage in corpus_pipeline.STAGES:
+            made = corpus_pipeline.materialize(stage(spark, docs, None), name)
+            if name != "bpe_tokens":
+                assert made.columns == rows.columns, name
+            counts.append(made.count())
+            docs = made
+        assert counts[1:] == sorted(counts[1:], reverse=True) and counts[1] == counts[-1]
+        assert rows is odd or counts == [0] * 5
+        positions = sorted(r.position for r in docs.collect())
+        assert positions == list(range(len(positions)))
+    # rows that line rules reject don't come this far: the later stages on all odd rows
+    docs = corpus_pipeline.materialize(odd, "odd")
+    for name, stage in corpus_pipeline.STAGES[2:]:
+        docs = corpus_pipeline.materialize(stage(spark, docs, None), name)
+    assert docs.count() == odd.count() and docs.where("doc_id is null").count() == 1
+    assert Counter(r.n_tokens for r in docs.collect())[0] == 2  # null and empty texts
+
+
+def test_scratch_deletes_what_is_not_kept(spark):
+    import os
+
+    from usagelens.llm import common
+
+    with common.scratch(spark) as kept:
+        one, two = common.materialize(spark.range(3), "one"), common.materialize(spark.range(4), "two")
+        kept.append(two)
+    there = lambda df: os.path.exists(df._usagelens_path.removeprefix("file://"))
+    assert not there(one) and there(two) and two.count() == 4
