@@ -13,13 +13,15 @@ EQUAL_CONTENT = ["append", "identical", "marker_rotation"]
 
 def transitions(rows: DataFrame, boundaries: DataFrame) -> DataFrame:
     """rows: request_id, session_id, model, ts_us, usage and chain (comma-joined)."""
-    rows = with_boundary(rows, boundaries).withColumn("c", F.split("chain", ","))
+    rows = with_boundary(rows, boundaries)
     stream = Window.partitionBy("session_id", "model").orderBy("ts_us", "request_id")
     prev = lambda c: F.lag(c).over(stream)
     rows = rows.select(
-        "*", prev("c").alias("p"), prev("ts_us").alias("prev_us"), prev("write_5m").alias("prev_5m"), prev("write_1h").alias("prev_1h"),
+        "*", prev("chain").alias("prev_chain"), prev("ts_us").alias("prev_us"), prev("write_5m").alias("prev_5m"), prev("write_1h").alias("prev_1h"),
         prev(F.col("input_tokens") + F.col("cache_read") + F.col("cache_write")).alias("expected"),
-    ).where(F.col("p").isNotNull())
+    ).where(F.col("prev_chain").isNotNull())
+    # chains travel through the sorts as text and are taken apart where they are compared
+    rows = rows.withColumns({"p": F.split("prev_chain", ","), "c": F.split("chain", ",")})
     differ = F.array_position(F.zip_with("p", "c", lambda a, b: a.eqNullSafe(b)), F.lit(False))
     was, now, common = F.size("p"), F.size("c"), F.col("common")
     rows = rows.withColumn("common", F.when(differ == 0, F.least(was, now)).otherwise(differ - 1).cast("int"))
