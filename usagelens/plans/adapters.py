@@ -130,7 +130,15 @@ def tree_objects(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     session, message = col("file_id").cast("string").alias("session_id"), F.concat(F.lit("m"), F.lpad(col("file_id").cast("string"), 9, "0"), F.lpad(col("pos").cast("string"), 6, "0"))
     if kind == "message":
         role = F.when(what.isin("user_text", "meta_text", "tool_result"), "user").otherwise("assistant")
-        data = F.struct(role.alias("role"), F.struct(F.expr("ts_us div 1000").alias("created")).alias("time"))
+        # some report no tokens, some aren't completed, of these some have no tokens so far
+        created = F.expr("ts_us div 1000")
+        tokens = F.struct(
+            F.when(col("pos") % 14 == 7, 0).otherwise(col("est_tokens")).alias("total"), col("est_tokens").alias("input"), col("pos").alias("output"), F.struct((col("file_id") % 5).alias("read")).alias("cache")
+        )
+        data = F.struct(
+            role.alias("role"), F.concat(F.lit("m"), (col("file_id") % 3).cast("string")).alias("modelID"), F.when(col("pos") % 5 != 4, tokens).alias("tokens"),
+            F.struct(created.alias("created"), F.when(col("pos") % 7 != 0, created + 1500).alias("completed")).alias("time"),
+        )
         return b.select(message.alias("id"), session, F.to_json(data).alias("data"))
     tooled = what.isin("tool_use", "tool_result")
     asked = F.when(tooled, F.struct(F.struct(col("text").alias("pattern")).alias("input"), F.when(what == "tool_result", col("text")).alias("output"), F.when(col("is_error"), "error").otherwise("done").alias("status")))
@@ -243,11 +251,15 @@ def agent_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(text.cast("variant"))
     )
     call = F.concat_ws("-", col("file_id"), F.expr("pos div 2"))
+    # usage comes with each line of a call; only some split what was written to the cache
+    split = F.when(col("file_id") % 2 == 0, F.struct(col("est_tokens").alias("ephemeral_5m_input_tokens"), F.lit(3).alias("ephemeral_1h_input_tokens")))
+    usage = F.struct(col("est_tokens").alias("input_tokens"), F.expr("pos div 2").alias("output_tokens"), (col("file_id") % 7).alias("cache_read_input_tokens"), split.alias("cache_creation"))
+    usage = F.when(~kind.isin("user_text", "meta_text", "tool_result") & (col("pos") % 9 != 1), usage)
     line = F.struct(
         F.when(kind.isin("user_text", "meta_text", "tool_result"), "user").otherwise("assistant").alias("type"), (kind == "meta_text").alias("isMeta"),
         F.timestamp_micros("ts_us").alias("timestamp"), F.concat(F.lit("r"), call).alias("requestId"),
         F.when(col("file_id") % 3 == 0, F.concat(F.lit("p"), col("file_id").cast("string"))).alias("promptId"),
-        F.struct(F.concat(F.lit("m"), call).alias("id"), content.alias("content")).alias("message"),
+        F.struct(F.concat(F.lit("m"), call).alias("id"), F.lit("m").alias("model"), content.alias("content"), usage.alias("usage")).alias("message"),
     )
     file = F.concat(F.lit("/p/"), col("file_id").cast("string"), F.lit(".jsonl")).alias("file")
     utc = {"timeZone": "UTC", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ssXXX"}

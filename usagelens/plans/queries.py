@@ -11,7 +11,7 @@ from usagelens.functions import times
 from usagelens.operators import cache, merge, pairing, residency, rollup, search, session, trials, wire
 from usagelens.plans import adapters as a
 from usagelens.plans.adapters import VIEWS
-from usagelens.sources import gateway, otel, part_trees, transcripts
+from usagelens.sources import files, gateway, otel, part_trees, transcripts
 from usagelens.streaming import telemetry
 
 SINCE = a.EPOCH_US + 3 * 3600 * 1000000
@@ -38,10 +38,13 @@ class Tables:
     sources = property(lambda self: self.of(a.sources))
     request_events = property(lambda self: self.of(a.request_events))
 
+    def tree(self, kind: str) -> DataFrame:
+        rows = part_trees.decoded(self.of(lambda *at: a.tree_objects(*at, kind)), kind, "session_id", part_trees.PARENTS[kind])
+        return rows.withColumn("messageID", F.col("message_id")) if kind == "part" else rows
+
     @property
     def tree_entries(self) -> DataFrame:
-        made = {kind: part_trees.decoded(self.of(lambda *at, k=kind: a.tree_objects(*at, k)), kind, "session_id", part_trees.PARENTS[kind]) for kind in ("message", "part")}
-        return part_trees.entries(made["part"].withColumn("messageID", F.col("message_id")), made["message"])
+        return part_trees.entries(self.tree("part"), self.tree("message"))
 
     @property
     def transitions(self) -> DataFrame:
@@ -408,6 +411,30 @@ register(
 )
 
 
+_MESSAGE = "lpad(file_id::VARCHAR, 9, '0') || lpad(pos::VARCHAR, 6, '0')"
+register(
+    "tree_requests", lambda t: part_trees.requests(t.tree("message")).select("key", "session_id", "ts_us", "model", "input_tokens", "output_tokens", "cache_read", "cache_write"),
+    f"""SELECT 'oc:m' || {_MESSAGE} AS key, file_id::VARCHAR AS session_id, (ts_us // 1000 + CASE WHEN pos % 7 <> 0 THEN 1500 ELSE 0 END) * 1000 AS ts_us, 'm' || (file_id % 3) AS model,
+    est_tokens AS input_tokens, pos AS output_tokens, file_id % 5 AS cache_read, 0::BIGINT AS cache_write FROM v_block WHERE kind NOT IN ('user_text', 'meta_text', 'tool_result') AND pos % 5 <> 4 AND (pos % 7 <> 0 OR pos % 14 <> 7)""",
+)
+register(
+    "tree_blocks", lambda t: part_trees.blocks(t.tree("part"), t.tree("message")).select("key", "session_id", "ts_us", "kind", "tool", "is_error", "byte_len", "est_tokens", "content_hash"),
+    f"""SELECT 'oc:pb:p' || {_MESSAGE} AS key, file_id::VARCHAR AS session_id, ts_us // 1000 * 1000 AS ts_us, CASE kind WHEN 'meta_text' THEN 'user_text' ELSE kind END AS kind, tool, kind = 'tool_result' AND is_error AS is_error,
+    byte_len, est_tokens, content_hash FROM v_block WHERE kind <> 'tool_use'""",
+)
+register(
+    "transcript_requests", lambda t: merge.first_wins(transcripts.requests(transcripts.parse(t.agent_lines)), ["key"], ["file", "line"]).select("key", "session_id", "input_tokens", "output_tokens", "cache_read_input_tokens", "write_5m", "write_1h"),
+    """SELECT 'cc:m' || file_id || '-' || (pos // 2) || ':r' || file_id || '-' || (pos // 2) AS key, file_id::VARCHAR AS session_id, est_tokens AS input_tokens, pos // 2 AS output_tokens, file_id % 7 AS cache_read_input_tokens,
+    CASE WHEN file_id % 2 = 0 THEN est_tokens END AS write_5m, CASE WHEN file_id % 2 = 0 THEN 3 END::BIGINT AS write_1h FROM v_block
+    WHERE kind NOT IN ('user_text', 'meta_text', 'tool_result') AND pos % 9 <> 1 QUALIFY row_number() OVER (PARTITION BY file_id, pos // 2 ORDER BY pos) = 1""",
+)
+_KEYS = lambda rows: rows.select(F.col("request_id").alias("id"), F.col("output_tokens").alias("size"), F.col("ts_us").alias("updated"))
+register(
+    "changed_rows", lambda t: files.changed_rows(_KEYS(merge.last_wins(t.versions, ["request_id"], ["seq"])), _KEYS(t.requests.where(F.col("ts_us") < SINCE)), ["id"]),
+    f"SELECT request_id AS id, CASE WHEN request_id % 2 = 0 THEN output_tokens + 5 ELSE output_tokens END AS size, ts_us AS updated FROM v_request WHERE request_id % 2 = 0 OR ts_us >= {SINCE}",
+)
+
+
 def _ingested_again(t: Tables) -> DataFrame:
     """The first three quarters of the requests and blocks, then all of both again: what is new and what repeats."""
     def again(rows: DataFrame, kind: str, key: str, order: str, last: bool) -> DataFrame:
