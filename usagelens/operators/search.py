@@ -109,3 +109,9 @@ def verdicts(events: DataFrame) -> DataFrame:
         "file_id", "block_id", "ids", hits.cast("long").alias("hits"), verdict.alias("referenced"),
         F.when(verdict == 1, F.get("h", need - 1)["ts_us"]).alias("first_ref_us"),
     )
+
+
+def verdict_counts(judged: DataFrame) -> DataFrame:
+    """How many results were taken up by later text, and how many were judged and weren't: one row."""
+    of = lambda v, name: F.count(F.when(F.col("referenced") == v, 1)).alias(name)
+    return judged.agg(of(1, "found"), of(2, "missing"), F.count("*").alias("results"))

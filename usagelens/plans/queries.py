@@ -376,6 +376,12 @@ register(
     f""", S AS (SELECT file_id, pos, ts_us, kind <> 'tool_result' AS src, CASE WHEN kind = 'tool_use' THEN text || chr(10) || 'deep' WHEN kind = 'tool_result' THEN to_json(text)::VARCHAR ELSE text END AS text FROM v_block WHERE kind <> 'meta_text'), {_VERDICTS}
     SELECT '/p/' || file_id || '.jsonl' AS file, pos * 2 AS line, ids, hits, referenced, first_ref_us FROM R""",
 )
+register(
+    "reference_counts",
+    lambda t: search.verdict_counts(search.verdicts(transcripts.reference_events(transcripts.blocks(transcripts.parse(t.agent_lines))))),
+    f""", S AS (SELECT file_id, pos, ts_us, kind <> 'tool_result' AS src, CASE WHEN kind = 'tool_use' THEN text || chr(10) || 'deep' WHEN kind = 'tool_result' THEN to_json(text)::VARCHAR ELSE text END AS text FROM v_block WHERE kind <> 'meta_text'), {_VERDICTS}
+    SELECT count(*) FILTER (referenced = 1) AS found, count(*) FILTER (referenced = 2) AS missing, count(*) AS results FROM R""",
+)
 _FILE = "'/p/' || file_id || '.jsonl'"
 _SEEN = f"""SELECT {_FILE} AS file, (row_number() OVER (PARTITION BY file_id ORDER BY line) - 1)::INT AS ordinal, * EXCLUDE (file_id) FROM (
     SELECT file_id, pos * 2 AS line, kind, CASE WHEN kind = 'tool_result' THEN coalesce(last_value(CASE WHEN kind = 'tool_use' THEN tool END IGNORE NULLS) OVER (PARTITION BY file_id, tool_use_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') ELSE tool END AS tool,
