@@ -9,7 +9,8 @@ is exactly that of merging by rank. Decoding gathers byte ranges by a table of t
 
 Spark deals the documents; tasks encode Arrow batches. Words and pieces recur, so a task keeps the
 ids of the last ones of up to LONGEST characters, as many as take PIECE_BYTES and WORD_BYTES (a full
-table is put aside and read until the next is full); results don't depend on it. The
+table is put aside and read until the next is full), until it ends: a worker that waits for its next
+task, maybe beside another stage's, holds the vocabulary only. Results don't depend on it. The
 vocabulary (1.5 MB, fixed by the tokenizer file) is broadcast.
 
 Defined results: a null text counts as empty and has no tokens; repeated rows are each encoded;
@@ -96,13 +97,17 @@ class Bpe:
         words = {i: t.encode("latin-1") for t, i in ids.items()} | {i: t.encode() for t, i in self.added.items()}
         self.blob = np.frombuffer(b"".join(words.get(i, b"") for i in range(max(words) + 1)), dtype=np.uint8)
         self.offsets = np.concatenate([[0], np.cumsum([len(words.get(i, b"")) for i in range(max(words) + 1)])])
+        self.forget()
+        self.narrow = len(self.offsets) <= 1 << 16
+        self.told = [str(i) for i in range(len(self.offsets) - 1)]
+
+    def forget(self) -> None:
+        """Empties the tables of pieces and words."""
         self.cache: dict[str, bytes] = {}
         self.old_cache: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
         self.old_words: dict[str, bytes] = {}
         self.held_pieces = self.held_words = 0
-        self.narrow = len(self.offsets) <= 1 << 16
-        self.told = [str(i) for i in range(len(self.offsets) - 1)]
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether merging by rank can leave these two tokens side by side.
@@ -274,6 +279,7 @@ def encode(docs: DataFrame, path: str | None = None, carry: tuple[str, ...] = ()
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(sums, pa.string()), pa.array(back, pa.string()), pa.array(packed, pa.binary()), *batch.columns[2:]],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", *carry],
             )
+        bpe.forget()
 
     kinds = dict(docs.dtypes)
     more = "".join(f", {c} {kinds[c]}" for c in carry)
