@@ -108,30 +108,33 @@ def xlogx(n: Column) -> Column:
 def entropy_spans(run: Column, threshold: Column, window: int = WINDOW) -> Column:
     """array<struct<s, e>>: merged windows of the ASCII string `run` at or over the threshold.
 
-    The state holds how often each character is in the window: at each step the one that comes in
-    goes one up, the one that leaves one down, and the entropy's sum follows both.
+    The state holds the window, to tell which character leaves, and how often each is in it: at each
+    step the one that comes in goes one up, the one that leaves one down, and the entropy's sum follows both.
     """
     # s and e are the span still open (e is -1 before the first); the threshold is worked out once, not at each step
-    kinds = "struct<i:int,n:string,sum:double,s:int,e:int,out:array<struct<s:int,e:int>>,t:double>"
-    state = F.struct(F.lit(0), F.lit(chr(ZERO) * len(LETTERS)), F.lit(0.0), F.lit(-1), F.lit(-1), F.array(), threshold).cast(kinds)
+    kinds = "struct<i:int,w:string,n:string,sum:double,s:int,e:int,out:array<struct<s:int,e:int>>,t:double>"
+    state = F.struct(F.lit(0), F.lit(""), F.lit(chr(ZERO) * len(LETTERS)), F.lit(0.0), F.lit(-1), F.lit(-1), F.array(), threshold).cast(kinds)
     place = lambda char: F.position(char, F.lit(LETTERS))
 
     def named(acc: Column, char: Column) -> Column:
         """Places of the characters that come and leave (0 if the window isn't full yet)."""
-        gone = F.substring(run, acc["i"] - window + 1, F.lit(1))
-        return F.struct(place(char).alias("come"), F.when(acc["i"] >= window, place(gone)).otherwise(0).alias("gone"))
+        full = acc["i"] >= window
+        return F.struct(
+            place(char).alias("come"), F.when(full, place(F.substring(acc["w"], 1, 1))).otherwise(0).alias("gone"),
+            F.concat(F.when(full, F.substring(acc["w"], 2, window)).otherwise(acc["w"]), char).alias("w"),
+        )
 
     def leave(acc: Column, at: Column) -> Column:
         n = counted(acc["n"], at["gone"])
         full = at["gone"] > 0
         return F.struct(
-            at["come"].alias("come"), F.when(full, changed(acc["n"], at["gone"], n - 1)).otherwise(acc["n"]).alias("n"),
+            at["w"].alias("w"), at["come"].alias("come"), F.when(full, changed(acc["n"], at["gone"], n - 1)).otherwise(acc["n"]).alias("n"),
             F.when(full, acc["sum"] - xlogx(n) + xlogx(n - 1)).otherwise(acc["sum"]).alias("sum"),
         )
 
     def enter(left: Column) -> Column:
         n = counted(left["n"], left["come"])
-        return F.struct(changed(left["n"], left["come"], n + 1).alias("n"), (left["sum"] - xlogx(n) + xlogx(n + 1)).alias("sum"))
+        return F.struct(left["w"].alias("w"), changed(left["n"], left["come"], n + 1).alias("n"), (left["sum"] - xlogx(n) + xlogx(n + 1)).alias("sum"))
 
     closed = lambda acc: F.concat(acc["out"], F.array(F.struct(acc["s"].alias("s"), acc["e"].alias("e"))))
 
@@ -141,7 +144,7 @@ def entropy_spans(run: Column, threshold: Column, window: int = WINDOW) -> Colum
         hot = (end >= window) & (F.log2(F.lit(float(window))) - now["sum"] / window >= acc["t"] - 1e-9)
         apart = hot & (acc["e"] < begin)
         return F.struct(
-            end.alias("i"), now["n"].alias("n"), now["sum"].alias("sum"), F.when(apart, begin).otherwise(acc["s"]).alias("s"),
+            end.alias("i"), now["w"].alias("w"), now["n"].alias("n"), now["sum"].alias("sum"), F.when(apart, begin).otherwise(acc["s"]).alias("s"),
             F.when(hot, end).otherwise(acc["e"]).alias("e"), F.when(apart & (acc["e"] >= 0), closed(acc)).otherwise(acc["out"]).alias("out"), acc["t"].alias("t"),
         )
 
@@ -181,16 +184,20 @@ def joined(spans: Column) -> Column:
 
     Ends so far by running maxima; a span opens where it begins behind all ends before it. Linear in the spans.
     """
-    def of(xs: Column, tops: Column) -> Column:
+    def opened(xs: Column, tops: Column) -> Column:
         before = F.slice(F.concat(F.array(F.lit(-1)), tops), 1, F.size(xs))
-        opens = F.zip_with(xs, before, lambda x, b: x["s"] > b)
-        begins = F.filter(xs, lambda x, i: F.get(opens, i))
-        # a span's end: the running maximum where the next one opens, or the last of all
-        ends = F.filter(tops, lambda t, i: F.coalesce(F.get(opens, i + 1), F.lit(True)))
-        return F.zip_with(begins, ends, lambda x, t: F.struct(x["s"].alias("s"), t.alias("e")))
+        with_top = F.zip_with(xs, tops, lambda x, t: F.struct(x["s"].alias("s"), t.alias("t")))
+        return F.zip_with(with_top, before, lambda x, b: F.struct(x["s"].alias("s"), x["t"].alias("t"), (x["s"] > b).alias("opens")))
+
+    def of(rows: Column) -> Column:
+        # a span ends at the running maximum before the next one opens, or at the last of all
+        following = F.slice(F.concat(F.transform(rows, lambda r: r["opens"]), F.array(F.lit(True))), 2, F.size(rows))
+        ends = F.filter(F.zip_with(rows, following, lambda r, n: F.struct(r["t"].alias("t"), n.alias("n"))), lambda r: r["n"])
+        return F.zip_with(F.filter(rows, lambda r: r["opens"]), ends, lambda r, e: F.struct(r["s"].alias("s"), e["t"].alias("e")))
 
+    # each transform over a one-element array lets what it holds be made once
     sides = F.transform(F.array(F.sort_array(spans)), lambda xs: F.struct(xs.alias("x"), running(F.transform(xs, lambda x: x["e"]), F.greatest).alias("t")))
-    return F.get(F.transform(sides, lambda z: of(z["x"], z["t"])), F.lit(0))
+    return F.get(F.transform(F.transform(sides, lambda z: opened(z["x"], z["t"])), of), F.lit(0))
 
 
 def without_stated(text: Column) -> Column:
