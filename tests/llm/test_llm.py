@@ -9,9 +9,10 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
-from usagelens.llm import ann, bpe, licenses, mixing, neardup, packing, quality, secrets, sharding, toxicity
+from usagelens.llm import ann, bpe, common, licenses, mixing, neardup, packing, quality, secrets, sharding, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard int, slot long, node binary, label string"
 SECRET = 'token = "0a1b2c3d4e5f60718293a4b5c6d7e8f9"'
@@ -566,6 +567,37 @@ def test_sharding_is_even_gapless_and_moves_little(spark):
     assert sum(one[d] != two[d] for d in one) < 0.25 * len(one)
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_sharding_counts_ids_first_and_writes_no_table(spark, kind):
+    rows = [(None, f"t{i % 50}") for i in range(300)] + [(5, "a")] * 9000 + [(i, None) for i in range(100, 800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select(F.col("doc_id").cast(kind), "text")
+    written = list(common._WRITTEN)
+    got = sharding.assign(docs).collect()
+    assert common._WRITTEN == written
+    assert Counter((r.doc_id, r.text_crc32) for r in got) == Counter((None if d is None else d if kind == "long" else str(d), zlib.crc32((t or "").encode())) for d, t in rows)
+    counts = Counter(r.shard for r in got)
+    assert set(counts.values()) == {625} and len(counts) == 16
+    assert all(sorted(r.slot for r in got if r.shard == s) == list(range(625)) for s in counts)
+
+
+def test_sharding_stops_where_rows_came_between_its_two_reads(spark, tmp_path):
+    path = str(tmp_path / "docs")
+    spark.range(100).selectExpr("id AS doc_id", "'x' AS text").write.parquet(path)
+    again = spark.range(1).selectExpr("3L AS doc_id", "'x' AS text")
+
+    class Growing:
+        """The frame, and from its third use on the frame with a row added."""
+
+        dtypes, uses = again.dtypes, 0
+
+        def __getattr__(self, name):
+            self.uses += 1
+            return getattr(spark.read.parquet(path) if self.uses < 3 else spark.read.parquet(path).union(again), name)
+
+    with pytest.raises(PythonException, match="changed between two reads"):
+        sharding.assign(Growing()).collect()
+
+
 def test_segments_are_the_maximal_ones():
     s = np.array([4, -5, 3, -3, 1, 2, -2, 2, -2, 1, 5], dtype=float)
     assert [(a, b, v) for a, b, v in toxicity.segments(s)] == [(0, 1, 4.0), (2, 3, 3.0), (4, 11, 7.0)]

@@ -5,15 +5,18 @@ belongs to the next point clockwise, and where that shard is full it goes on clo
 next one with room. With `slack` 0 the bounds are the even shares themselves, so row counts
 differ by one at most (law `rows`); a larger slack moves fewer rows when shards come or go.
 
-Only counts per arc reach the driver: shards x vnodes numbers, whatever the table's size. From
-them `plan` decides which stretch of each arc's rows goes to which shard and slot; a row then
-needs its exact rank in its arc, which `with_offsets` gives without a window over a whole arc.
+Only counts per arc reach the driver: shards x vnodes numbers, whatever the table's size. They
+need the ids alone, and texts only where an id is null, so a first pass over those columns takes
+the place of a written table. From them `plan` decides which stretch of each arc's rows goes to
+which shard and slot; a row then needs its exact rank in its arc, which `with_offsets` gives
+without a window over a whole arc.
 Equal rows (same doc_id, size and checksum) are counted first, so a row that fills a third of
 the table is one entry, split again in blocks of COPIES.
 
 Defined results: a null text has size 1 and checksum 0; a null doc_id is placed by its checksum;
 repeated rows take one slot each; an empty table gives an empty result; extra columns are
-ignored, whatever they are called.
+ignored, whatever they are called. The rows are read twice, so `docs` must give the same ones
+each time; an arc that has more the second time ends the job, fewer go unnoticed.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from usagelens.llm.common import materialize, root_of, with_offsets
+from usagelens.llm.common import root_of, with_offsets
 
 SHARDS = 16
 VNODES = 64
@@ -74,19 +77,15 @@ def assign(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES, slack: f
         return pd.Series(np.searchsorted(points, places.to_numpy()) % len(points), dtype="int32")
 
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select(
-        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
-    )
-    rows = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("n"))
-    rows = rows.withColumn("blk", F.explode(F.sequence(F.lit(0), F.expr(f"(n - 1) div {COPIES}"))))
-    named = F.col("text_crc32").cast(dict(docs.dtypes)["doc_id"])  # ids may be numbers or texts
-    rows = rows.withColumn("n", F.least(F.lit(COPIES), F.col("n") - F.col("blk") * COPIES)).withColumn("arc", arc_of(F.xxhash64(F.coalesce("doc_id", named))))
-    rows = materialize(rows, "sharding")
-    found = rows.groupBy("arc").agg(F.sum("n").alias("rows"), F.count("*").alias("entries")).collect()
+    crc = F.crc32(text.cast("binary"))
+    id_type = dict(docs.dtypes)["doc_id"]  # ids may be numbers or texts
+    known, unknown = docs.where("doc_id is not null"), docs.where("doc_id is null")
+    places = known.select(F.xxhash64("doc_id").alias("p")).union(unknown.select(F.xxhash64(crc.cast(id_type)).alias("p")))
+    found = places.groupBy(arc_of("p").alias("arc")).agg(F.count("*").alias("rows")).collect()
     counts = np.zeros(len(points), dtype=np.int64)
     for r in found:
         counts[r["arc"]] = r["rows"]
-    total, entries = int(counts.sum()), sum(r["entries"] for r in found)
+    total = int(counts.sum())
     if slack:
         bounds = np.full(shards, -(-int(total * (1 + slack)) // shards) + 1)
     else:
@@ -97,11 +96,19 @@ def assign(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES, slack: f
 
     @F.pandas_udf("shard int, slot long")
     def lookup(arc: pd.Series, rank: pd.Series) -> pd.DataFrame:
+        if (rank.to_numpy() >= counts[arc.to_numpy()]).any():
+            raise ValueError("the documents changed between two reads")
         at = starts[arc.to_numpy()] + rank.to_numpy()
         part = np.searchsorted(begin, at, side="right") - 1
         return pd.DataFrame({"shard": shard_of[part].astype("int32"), "slot": slot_of[part] + at - begin[part]})
 
-    ranked = with_offsets(rows, ["arc"], ["doc_id", "size", "text_crc32", "blk"], F.col("n"), "before", root_of(entries))
+    rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), crc.alias("text_crc32"))
+    rows = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("n"))
+    rows = rows.withColumn("blk", F.explode(F.sequence(F.lit(0), F.expr(f"(n - 1) div {COPIES}"))))
+    place = F.xxhash64(F.coalesce("doc_id", F.col("text_crc32").cast(id_type)))
+    arc = F.coalesce(arc_of(place), F.lit(0))  # plainly never null: a filter on it would call it once more
+    rows = rows.withColumn("n", F.least(F.lit(COPIES), F.col("n") - F.col("blk") * COPIES)).withColumn("arc", arc)
+    ranked = with_offsets(rows, ["arc"], ["doc_id", "size", "text_crc32", "blk"], F.col("n"), "before", root_of(total))
     ranked = ranked.withColumn("i", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))))
     return ranked.withColumn("x", lookup("arc", F.col("before") + F.col("i"))).select(
         "doc_id", "size", "text_crc32", "x.shard", "x.slot"
